@@ -115,7 +115,7 @@ CTES = {
         SELECT entity_id, series_id, period,
           CASE transform WHEN 1 THEN lv - lag(lv) OVER w WHEN 2 THEN value - lag(value) OVER w
             WHEN 3 THEN 3 * (lv - lag(lv) OVER w) WHEN 4 THEN lv - lag(lv, 12) OVER w ELSE value END AS value
-        FROM (SELECT dense.*, ln(greatest(value, 1e-12)) AS lv, transform FROM dense JOIN meta USING (series_id))
+        FROM (SELECT dense.*, CASE WHEN value IS NOT NULL THEN ln(greatest(value, 1e-12)) END AS lv, transform FROM dense JOIN meta USING (series_id))
         WINDOW w AS (PARTITION BY entity_id, series_id ORDER BY period)""",
     "stat": """
         SELECT entity_id, series_id, coalesce(avg(value), 0) AS mu,
@@ -124,8 +124,21 @@ CTES = {
     "scaled": """
         SELECT t.entity_id, t.series_id, t.period, (t.value - s.mu) / s.sigma AS value
         FROM trans t JOIN stat s ON s.entity_id = t.entity_id AND s.series_id = t.series_id""",
+    "region_bounds": """
+        SELECT min(period) AS lo, max(period) AS hi FROM region_panel""",
+    "region_dense": """
+        SELECT s.entity_id, s.series_id, m.period, p.value
+        FROM (SELECT DISTINCT entity_id, series_id FROM region_panel) s
+        CROSS JOIN (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS period FROM region_bounds) m
+        LEFT JOIN region_panel p ON p.entity_id = s.entity_id AND p.series_id = s.series_id AND p.period = m.period""",
+    "scaled_region": """
+        SELECT entity_id, series_id, period, coalesce((d - avg(d) OVER s) / CASE WHEN stddev_pop(d) OVER s >= 1e-12 THEN stddev_pop(d) OVER s ELSE 1 END, 0) AS value
+        FROM (SELECT *, lv - lag(lv) OVER o AS d, lag(period) OVER o AS before
+              FROM (SELECT *, CASE WHEN value IS NOT NULL THEN ln(greatest(value, 1e-12)) END AS lv FROM region_dense)
+              WINDOW o AS (PARTITION BY entity_id, series_id ORDER BY period))
+        WINDOW s AS (PARTITION BY entity_id, series_id) QUALIFY before IS NOT NULL""",
     "daily": """
-        SELECT event_type AS series_id, CAST(ts AS DATE) AS day, arg_max(value, struct_pack(ts := ts, id := event_id)) AS value
+        SELECT event_type AS series_id, CAST(ts AS DATE) AS day, arg_max(value, ts) AS value
         FROM events WHERE value IS NOT NULL GROUP BY 1, 2""",
 }
 
@@ -182,13 +195,17 @@ class Tables:
             F.col("c_mktsegment").alias("entity_id"), F.col("r_name").alias("series_id"), "period"
         ).agg(F.sum("amount").cast("double").alias("value"))
 
+    def _edge(self, pick):
+        """First or last month, from the date column alone."""
+        return self.raw("orders").select(cal.month_start(pick("o_orderdate"))).scalar()
+
     @cached_property
     def dense(self) -> DataFrame:
-        return grid.align_to_grid(self.panel)
+        return grid.align_to_grid(self.panel, self._edge(F.min), self._edge(F.max))
 
     @cached_property
     def region_dense(self) -> DataFrame:
-        return grid.align_to_grid(self.region_panel)
+        return grid.align_to_grid(self.region_panel, self._edge(F.min), self._edge(F.max))
 
     @cached_property
     def meta(self) -> DataFrame:
@@ -334,4 +351,4 @@ class Tables:
     def daily(self) -> DataFrame:
         return self.raw("events").filter(F.col("value").isNotNull()).groupBy(
             F.col("event_type").alias("series_id"), F.to_date("ts").alias("day")
-        ).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+        ).agg(F.max_by("value", "ts").alias("value"))

@@ -58,6 +58,11 @@ def dot(a: Column, b: Column) -> Column:
     )
 
 
+def safe_corr(a: str, b: str) -> Column:
+    """Pearson correlation; NULL when a side does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def direction(v: Column, flat: float = 1e-6) -> Column:
     return F.when(v > flat, "up").when(v < -flat, "down").otherwise("flat")
 

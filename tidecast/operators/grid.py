@@ -60,7 +60,8 @@ def align_to_grid(
 
     ``panel`` holds one row per cell. Each series becomes one row (its length
     is bounded by the calendar) and is unfolded again on the grid, so a series
-    costs one shuffle and windows over ``keys`` reuse that partitioning.
+    costs one shuffle and windows over ``keys`` reuse that partitioning. Pass
+    the bounds when they are known: otherwise the panel is read once more.
     """
     lo = date_column(start) if start is not None else panel.select(F.min("period")).scalar()
     hi = date_column(end) if end is not None else panel.select(F.max("period")).scalar()
@@ -69,10 +70,10 @@ def align_to_grid(
     cells = F.map_from_entries(F.collect_list(F.struct("period", "value")))
     series = panel.filter(F.col("value").isNotNull()).groupBy(*keys).agg(cells.alias("cells"))
     dense = F.transform(
-        cal.months_between_inclusive(lo, hi),
+        cal.months_between_inclusive(F.col("_lo"), F.col("_hi")),
         lambda p: F.struct(p.alias("period"), F.col("cells")[p].alias("value")),
     )
-    return series.select(*keys, F.inline(dense))
+    return series.withColumns({"_lo": lo, "_hi": hi}).select(*keys, F.inline(dense))
 
 
 def grid_index(grid: DataFrame, keys: list[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.functions.numeric import dot
+from tidecast.functions.numeric import dot, safe_corr
 from tidecast.session import cut
 
 ENTITY = ["entity_id"]
@@ -75,13 +75,13 @@ def align_quarterly_xy(panel: DataFrame, target: DataFrame, keys: list[str] = EN
 
 def rank_correlation(xy: DataFrame, keys: list[str] = ENTITY) -> DataFrame:
     return xy.groupBy(*keys, "series_id").agg(
-        F.when(F.count(F.lit(1)) > 1, F.corr("value", "y")).otherwise(F.lit(0.0)).alias("score")
+        F.coalesce(safe_corr("value", "y"), F.lit(0.0)).alias("score")
     )
 
 
 def rank_tstat(xy: DataFrame, keys: list[str] = ENTITY) -> DataFrame:
     """Absolute t of the slope in a regression on one indicator and a constant."""
-    r, n = F.corr("value", "y"), F.count(F.lit(1))
+    r, n = safe_corr("value", "y"), F.count(F.lit(1))
     t = F.abs(r) * F.sqrt((n - 2) / (1 - r * r))
     return xy.groupBy(*keys, "series_id").agg(
         F.when((n > 2) & (F.abs(r) < 1), t).otherwise(F.lit(0.0)).alias("score")

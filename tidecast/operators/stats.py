@@ -91,7 +91,7 @@ def availability(grid: DataFrame, meta: DataFrame) -> DataFrame:
 def component_share(levels: DataFrame, keys: list[str]) -> DataFrame:
     """Percent of the total of its quarter."""
     total = F.sum("value").over(Window.partitionBy(*keys, "quarter"))
-    return levels.withColumn("share", F.col("value") / total * 100)
+    return levels.withColumn("share", F.try_divide(F.col("value"), total) * 100)
 
 
 def select_group_subset(meta: DataFrame, target_groups: DataFrame, minimum: int = 3) -> DataFrame:
