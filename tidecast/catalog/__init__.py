@@ -5,5 +5,5 @@ def load() -> None:
     """Import the modules that register queries."""
     import importlib
 
-    for name in ("panels", "windows", "vintages", "scores"):
+    for name in ("panels", "windows", "vintages", "scores", "models"):
         importlib.import_module(f"tidecast.catalog.{name}")

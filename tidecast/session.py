@@ -59,3 +59,20 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Place rows by key for work that is heavy per row, not per byte.
+
+    Adaptive coalescing goes by size and would run many small fits in one task;
+    a stated number of partitions is left alone.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
+def cogroup(left: DataFrame, right: DataFrame, keys: list[str]):
+    """Two tables side by side per key, each placed by key; they may share a lineage."""
+    fresh = right.toDF(*right.columns)
+    return spread(left, keys).groupBy(*keys).cogroup(spread(fresh, keys).groupBy(*keys))
