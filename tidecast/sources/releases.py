@@ -98,10 +98,9 @@ def reference_period(title: Column) -> Column:
 
 
 def with_reference(events: DataFrame) -> DataFrame:
-    """Series and reference period of each titled event."""
-    return events.withColumn("dataset_id", match_title(F.col("title"))).withColumn(
-        "ref", reference_period(F.col("title"))
-    ).select(
+    """Series and reference period of each titled event, each worked out once per row."""
+    found = F.struct(match_title(F.col("title")).alias("dataset_id"), reference_period(F.col("title")).alias("ref"))
+    return events.select("*", F.inline(F.array(found))).select(
         *events.columns, "dataset_id", F.col("ref.year").alias("ref_year"),
         F.col("ref.month_start").alias("ref_month_start"), F.col("ref.month_end").alias("ref_month_end"),
     )
@@ -168,7 +167,7 @@ def parse_forecast_tables(pages: DataFrame, labels: list[str], column: str = "ht
     )
     cells = F.regexp_extract_all(F.col("tr"), F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1))
     rows = rows.withColumn("cells", F.transform(cells, lambda c: F.trim(F.regexp_replace(c, "<[^>]+>", ""))))
-    name = F.regexp_replace(F.col("cells")[0], r"\s*\(.*?\)\s*$", "")
+    name = F.regexp_replace(F.get("cells", F.lit(0)), r"\s*\(.*?\)\s*$", "")
     name = F.regexp_replace(F.trim(name), r"\s+", " ")
     rows = rows.filter(F.size("cells") >= 3).withColumn("indicator", name)
     rows = rows.filter((F.col("indicator") != "") & ~F.col("indicator").isin(HEADINGS))

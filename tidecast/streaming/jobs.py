@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -63,26 +63,33 @@ def daily_last(events: DataFrame, keys: list[str], late: str = "1 day", width: s
 
 
 def upsert_stream(rows: DataFrame, table: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Keep one row per key in a table of versions; a replayed batch changes nothing.
+    """Append each batch, one row per key, under its own number.
 
-    Each batch writes ``table/version=<batch id>`` from the version before it
-    and its own rows. Which version is current follows from the batch id alone,
-    so a batch that is run again after a failure gives the same result.
+    A batch costs what it brings, not what the log already holds, and a batch
+    that is run again after a failure overwrites itself. ``read_log`` shows the
+    current rows; ``compact_log`` folds old batches into a new table.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        previous = f"{table}/version={batch_id - 1}"
-        base = spark.read.schema(batch.schema).parquet(previous) if batch_id > 0 else batch.limit(0)
-        upsert_log(base, batch, keys, order).select(*batch.columns).write.mode("overwrite").parquet(
-            f"{table}/version={batch_id}"
-        )
+    def append(batch: DataFrame, batch_id: int) -> None:
+        upsert_log(batch, batch.limit(0), keys, order).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     return (
-        rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def read_log(spark: SparkSession, table: str, keys: list[str], order: str) -> DataFrame:
+    """Current rows: the highest ``order`` of a key wins, the later batch among equals."""
+    rows = spark.read.parquet(table)
+    rest = [c for c in rows.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(order, "batch_id"))
+    return rows.groupBy(*keys).agg(last.alias("r")).select(*keys, "r.*").drop("batch_id")
+
+
+def compact_log(spark: SparkSession, table: str, keys: list[str], order: str, into: str) -> None:
+    read_log(spark, table, keys, order).write.mode("overwrite").parquet(f"{into}/batch_id=0")
+
+
 def run_to_table(stream: DataFrame, mode: str, label: str = "stream") -> str:
     """Run a stream over all available data into Parquet and return the folder.
 
