@@ -377,7 +377,7 @@ def news_table(t):
 
 @query("news_decompose")
 def _(t):
-    return news_table(t).drop("grp", "group_contribution", "rank")
+    return news_table(t).drop("grp", "group_contribution")
 
 
 @query("news_by_group")
@@ -387,7 +387,7 @@ def _(t):
 
 @query("news_order")
 def _(t):
-    return news_table(t).select(*E, "series_id", "contribution", "rank")
+    return news.news_order(news_table(t).select(*E, "series_id", "contribution"), E)
 
 
 # --- jobs over targets, vintages and specifications -----------------------------------------

@@ -174,11 +174,10 @@ class Tables:
     def _sales(self) -> DataFrame:
         orders = self.raw("orders").select("o_custkey", "o_totalprice", "o_orderdate")
         customer = self.raw("customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-        # orders shrink to one row per customer and month before they meet customers
-        monthly = orders.groupBy("o_custkey", cal.month_start(F.col("o_orderdate")).alias("period")).agg(
-            F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("amount")
+        return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+            "c_mktsegment", "c_nationkey", cal.month_start(F.col("o_orderdate")).alias("period"),
+            F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
         )
-        return monthly.join(customer, F.col("o_custkey") == F.col("c_custkey"))
 
     @cached_property
     def panel(self) -> DataFrame:

@@ -150,18 +150,37 @@ def _(t):
 
 
 FLAGSHIP = """
-    WITH seen AS (SELECT entity_id, vintage_date, avg(value) AS breadth, count(value) AS n_cells FROM (
-        SELECT entity_id, series_id, vintage_date, period, ln(greatest(value, 1e-12)) - lag(ln(greatest(value, 1e-12))) OVER (PARTITION BY entity_id, series_id, vintage_date ORDER BY period) AS d, value
-        FROM vpanel) GROUP BY 1, 2),
-    s AS (SELECT *, (year(run_date) * 12 + month(run_date)) - (CAST(substr(target_quarter, 1, 4) AS INTEGER) * 12 + CAST(right(target_quarter, 1) AS INTEGER) * 3 - 2) AS g
-          FROM pairs WHERE pred IS NOT NULL AND actual IS NOT NULL)
-    SELECT model, horizon, mae, n, (SELECT count(*) FROM seen WHERE n_cells > 0) AS n_vintages
-    FROM (SELECT model, CASE WHEN g < 0 THEN 'forecast' WHEN g <= 2 THEN 'm' || (g + 1) ELSE 'backcast' END AS horizon, avg(abs(actual - pred)) AS mae, count(*) AS n
-          FROM s GROUP BY 1, 2) WHERE n >= 2"""
+    WITH known AS (SELECT entity_id, vintage_date, quarter, value, lag(value) OVER (PARTITION BY entity_id, vintage_date ORDER BY quarter) AS lv
+      FROM growth JOIN vintages ON last_day(CAST(quarter + INTERVAL 2 MONTH AS DATE)) + 45 <= vintage_date),
+    fits AS (SELECT entity_id, vintage_date, max(quarter) AS last_quarter, arg_max(value, quarter) AS naive, avg(value) AS mean,
+      CASE WHEN count(lv) >= 4 THEN regr_intercept(value, lv) + regr_slope(value, lv) * arg_max(value, quarter) END AS ar1 FROM known GROUP BY 1, 2),
+    moves AS (SELECT entity_id, vintage_date, period, lv - lag(lv) OVER (PARTITION BY entity_id, series_id, vintage_date ORDER BY period) AS d
+      FROM (SELECT *, CASE WHEN value IS NOT NULL THEN ln(greatest(value, 1e-12)) END AS lv FROM vpanel)),
+    breadth AS (SELECT entity_id, vintage_date, 300 * avg(d) AS breadth FROM moves WHERE period <= vintage_date AND period >= vintage_date - INTERVAL 6 MONTH GROUP BY 1, 2),
+    preds4 AS (SELECT entity_id, vintage_date, last_quarter, unnest(['naive', 'mean', 'ar1', 'breadth']) AS model, unnest([naive, mean, ar1, breadth]) AS pred
+      FROM fits JOIN breadth USING (entity_id, vintage_date))
+    SELECT p.model, CAST((year(g.quarter) * 4 + quarter(g.quarter)) - (year(last_quarter) * 4 + quarter(last_quarter)) AS INTEGER) AS quarters_ahead, avg(abs(g.value - p.pred)) AS mae, count(*) AS n
+    FROM preds4 p JOIN growth g ON g.entity_id = p.entity_id AND g.quarter = date_trunc('quarter', p.vintage_date) WHERE p.pred IS NOT NULL GROUP BY 1, 2"""
 
 
 @query("flagship", FLAGSHIP, "mae")
 def _(t):
-    seen = t.vpanel.groupBy("entity_id", "vintage_date").agg(F.count("value").alias("n_cells"))
-    n_vintages = seen.filter("n_cells > 0").select(F.count(F.lit(1))).scalar()
-    return metrics.score_by_horizon(t.pairs, ["model"]).withColumn("n_vintages", n_vintages)
+    """Panel and target as known at each vintage, four forecasts from them, scored by distance."""
+    keys = ["entity_id", "vintage_date"]
+    due = F.date_add(F.last_day(F.add_months("quarter", 2)), 45)
+    known = vintage.build_vintages_strict(t.growth.withColumn("release_date", due), t.vintages)
+    fits = forecasts.ar1_forecast(known, keys).select(*keys, F.col("pred").alias("ar1"))
+    last = known.groupBy(*keys).agg(
+        F.max("quarter").alias("last_quarter"), F.max_by("value", "quarter").alias("naive"), F.avg("value").alias("mean")
+    )
+    moves = transforms.transform_series(t.vpanel, transforms.MOM, keys=[*KEYS, "vintage_date"])
+    recent = F.col("period").between(F.add_months("vintage_date", -6), F.col("vintage_date"))
+    breadth = moves.filter(recent).groupBy(*keys).agg((300 * F.avg("value")).alias("breadth"))
+    wide = last.join(fits, keys, "left").join(breadth, keys)
+    preds = wide.unpivot([*keys, "last_quarter"], ["naive", "mean", "ar1", "breadth"], "model", "pred")
+    actual = t.growth.select("entity_id", "quarter", F.col("value").alias("actual"))
+    pairs = preds.withColumn("quarter", cal.quarter_start(F.col("vintage_date"))).join(actual, ["entity_id", "quarter"])
+    ahead = (cal.months_apart(F.col("quarter"), F.col("last_quarter")) / 3).cast("int")
+    return metrics.complete(pairs).groupBy("model", ahead.alias("quarters_ahead")).agg(
+        metrics.mae().alias("mae"), F.count(F.lit(1)).alias("n")
+    )

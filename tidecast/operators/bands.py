@@ -61,16 +61,12 @@ def bootstrap_bands(path: DataFrame, keys: list[str], n_boot: int = 200, seed: i
     steps = path.withColumn("d", change).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("period", "d", "value"))).alias("s"), F.avg("d").alias("m")
     )
-    drawn = (
-        steps.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .select(*keys, "b", "s", "m", F.posexplode("s").alias("t", "e"))
-        .withColumn("u", uniform(F.lit(seed), *keys, "b", "t"))
-        .withColumn("pick", F.floor(F.col("u") * F.size("s")).cast("int"))
-        .select(
-            *keys, "b", "t", F.col("e.period").alias("period"), F.col("s")[0]["value"].alias("start"),
-            (F.col("s")[F.col("pick")]["d"] - F.col("m")).alias("d"),
-        )
-    )
+    position = lambda t: F.floor(uniform(F.lit(seed), *keys, "b", t) * F.size("s")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda t: F.struct(
+        t.alias("t"), F.col("s")[t]["period"].alias("period"), F.col("s")[0]["value"].alias("start"),
+        (F.col("s")[position(t)]["d"] - F.col("m")).alias("d"),
+    ))
+    drawn = steps.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).select(*keys, "b", F.inline(cells))
     run = Window.partitionBy(*keys, "b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     paths = drawn.withColumn("value", F.col("start") + F.sum("d").over(run))
     return paths.groupBy(*keys, "period").agg(

@@ -145,7 +145,8 @@ def bridge_design(specs: DataFrame, regressors: DataFrame, target: DataFrame, ke
             F.col("l0").alias(f"{name}_l0"), F.col("l1").alias(f"{name}_l1"),
         )
 
-    first = specs.join(pick("m1"), ["interp_type", "m1"])
+    # the target joins the regressors before the specifications fan them out
+    first = specs.join(pick("m1").join(goal, [*keys, "quarter"]), ["interp_type", "m1"])
     both = first.join(pick("m2"), [*keys, "interp_type", "m2", "quarter"], "left")
     if quarterly is not None:
         qq = quarterly.select(*keys, F.col("series_id").alias("q"), "quarter", F.col("l0").alias("q_l0"), F.col("l1").alias("q_l1"))
@@ -153,7 +154,7 @@ def bridge_design(specs: DataFrame, regressors: DataFrame, target: DataFrame, ke
     else:
         both = both.withColumns({"q_l0": F.lit(0.0), "q_l1": F.lit(0.0)})
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("m1_l0", "m1_l1", "m2_l0", "m2_l1", "q_l0", "q_l1")}
-    return both.withColumns(zero).join(goal, [*keys, "quarter"]).withColumn("const", F.lit(1.0)).select(
+    return both.withColumns(zero).withColumn("const", F.lit(1.0)).select(
         *keys, "spec_id", "interp_type", "m1", "m2", "quarter", *REGRESSORS, "y", "y_known"
     )
 

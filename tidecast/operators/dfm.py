@@ -199,10 +199,11 @@ def em_step(blocks: DataFrame, state: DataFrame, keys: list[str], thresh: float
 
 @dataclass
 class DfmFit:
-    """Blocks of the panel and one row of parameters and states per key."""
+    """Blocks of the panel, one row of parameters and states per key, and the states the loadings rest on."""
 
     blocks: DataFrame
     state: DataFrame
+    basis: DataFrame
     keys: list[str]
 
     def factors(self) -> DataFrame:
@@ -234,7 +235,7 @@ class DfmFit:
 
         keys = self.keys
         schema = key_schema(self.blocks, keys) + ", series_id string, c array<double>, noise double, mu double, sigma double"
-        state = self.state.select(*keys, "k", "r", "p", "groups", "zs", "vs", "size", "it")
+        state = self.basis.select(*keys, "k", "r", "p", "groups", "zs", "vs", "size", "it")
         return self.blocks.drop("start", "block").join(state, keys).mapInPandas(work, schema)
 
     def project(self, series: list[str] | None = None) -> DataFrame:
@@ -286,4 +287,6 @@ def dfm_fit(
         state = state.filter("not done")
         if state.isEmpty():
             break
-    return DfmFit(blocks, cut(state if finished is None else state.unionByName(finished), "state"), keys)
+    basis = cut(state if finished is None else state.unionByName(finished), "state")
+    # one more pass: the states under the final parameters
+    return DfmFit(blocks, cut(em_step(blocks, basis, keys, thresh, update=False), "state"), basis, keys)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.functions import calendar as cal
+
 MIN_PAIRS = 4  # fixed value: lagged pairs an AR(1) needs
 AR1_START = 12  # fixed value: rows before the expanding fit begins
 
@@ -53,21 +55,27 @@ def ar1_forecast(target: DataFrame, keys: list[str], order: str = "quarter") ->
 def last_known_before(values: DataFrame, asked: DataFrame, keys: list[str], when: str) -> DataFrame:
     """As-of join: the last value strictly before each asked date.
 
-    Both sides are stacked and read once in time order, so a key is shuffled
-    once and no pair of rows is formed. At equal dates the question sorts
-    before the value, which makes the match strict.
+    A value holds from the day after it until the next one. Its interval is
+    laid out by month, and a question meets it by key and month, so each
+    question is compared with the few values around it. The questions are not
+    sorted or gathered by key: a key with very many of them is split.
     """
-    v = values.filter(F.col("value").isNotNull()).select(
-        *keys, F.col(when).alias("_t"), F.lit(1).alias("_kind"), "value"
-    )
-    extra = [c for c in asked.columns if c not in (*keys, when)]
-    a = asked.select(*keys, F.col(when).alias("_t"), F.lit(0).alias("_kind"), *extra)
-    w = (
-        Window.partitionBy(*keys).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    horizon = asked.select(F.max(when)).scalar()
+    by_time = Window.partitionBy(*keys).orderBy("_from")
+    known = (
+        values.filter(F.col("value").isNotNull())
+        .groupBy(*keys, F.col(when).alias("_from"))
+        .agg(F.max("value").alias("last_value"))
+        .withColumn("_to", F.coalesce(F.lead("_from").over(by_time), F.greatest(horizon, F.col("_from"))))
     )
-    return (
-        v.unionByName(a, allowMissingColumns=True)
-        .withColumn("last_value", F.last("value", ignorenulls=True).over(w))
-        .filter("_kind = 0")
-        .select(*keys, F.col("_t").alias(when), *extra, "last_value")
+    months = cal.months_between_inclusive(cal.month_start(F.col("_from")), cal.month_start(F.col("_to")))
+    laid = known.withColumn("_month", F.explode(months))
+    by_month = asked.withColumn("_month", cal.month_start(F.col(when)))
+    inside = (F.col(f"q.{when}") > F.col("v._from")) & (F.col(f"q.{when}") <= F.col("v._to"))
+    same = [F.col(f"q.{k}") == F.col(f"v.{k}") for k in (*keys, "_month")]
+    on = inside
+    for c in same:
+        on = on & c
+    return by_month.alias("q").join(laid.alias("v"), on, "left").select(
+        *[F.col(f"q.{c}") for c in asked.columns], "v.last_value"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.numeric import direction
@@ -12,7 +12,7 @@ from tidecast.operators import gaussian as g
 from tidecast.operators.dfm import key_schema
 from tidecast.operators.state_space import kalman_collapse
 from tidecast.operators.vintage import vintage_diff
-from tidecast.session import spread
+from tidecast.session import cut, spread
 
 
 def news_scenarios(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,16 +71,19 @@ def news_decompose(
             yield pdf[on].assign(nowcast=[_scenario(r, k) for r in pdf.itertuples()])
 
     nowcasts = spread(rows, on).mapInPandas(run, f"{key_schema(rows, on)}, nowcast double")
-    both = Window.partitionBy(*keys)
-    end = lambda name: F.max(F.when(F.col("series_id") == name, F.col("nowcast"))).over(both)
-    moved = nowcasts.withColumns({"old_nowcast": end("<old>"), "new_nowcast": end("<new>")}).filter(
-        ~F.col("series_id").isin("<old>", "<new>")
+    # a hot key may have very many changed series: its totals are an aggregate, not a window
+    end = lambda name: F.max(F.when(F.col("series_id") == name, F.col("nowcast")))
+    moved = ~F.col("series_id").isin("<old>", "<new>")
+    nowcasts = cut(nowcasts, "scenarios")
+    totals = nowcasts.groupBy(*keys).agg(
+        end("<old>").alias("old_nowcast"), end("<new>").alias("new_nowcast"),
+        F.sum(F.when(moved, F.col("nowcast"))).alias("s"), F.count(F.when(moved, 1)).alias("n"),
     )
     raw = F.col("nowcast") - F.col("old_nowcast")
     total = F.col("new_nowcast") - F.col("old_nowcast")
-    summed = F.sum(raw).over(both)
+    summed = F.col("s") - F.col("n") * F.col("old_nowcast")
     contribution = F.when(F.abs(summed) > 1e-12, raw * total / summed).otherwise(raw)
-    return moved.withColumn("contribution", contribution).select(
+    return nowcasts.filter(moved).join(totals, keys).withColumn("contribution", contribution).select(
         *on, "old_nowcast", "new_nowcast", "contribution",
         (F.abs("contribution") / (F.abs(total) + 1e-12) * 100).alias("pct_of_total"),
         direction(F.col("contribution")).alias("direction"),
@@ -114,6 +117,5 @@ def news_by_group(news: DataFrame, meta: DataFrame, keys: list[str]) -> DataFram
 
 
 def news_order(news: DataFrame, keys: list[str]) -> DataFrame:
-    """Largest absolute contribution first, as a rank within each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("contribution")), "series_id")
-    return news.withColumn("rank", F.row_number().over(w))
+    """Largest absolute contribution of each key first: a range sort over all tasks."""
+    return news.orderBy(*keys, F.desc(F.abs("contribution")), "series_id")

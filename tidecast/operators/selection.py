@@ -198,7 +198,9 @@ def collinear_pairs(panel: DataFrame, limit: float = 0.99, keys: list[str] = ENT
     slow waves, where trending series spread out most, and each visits its own
     cell and the nearer neighbour in every dimension: no pair above the limit
     is lost and distant ones never meet. The visitor comes with both signs, so
-    that a mirrored copy is found too. ``panel`` is dense.
+    that a mirrored copy is found too. Exact copies of one series would form
+    all pairs among themselves: they are listed against the first of them, and
+    only that one meets other series. ``panel`` is dense.
     """
     whole = Window.partitionBy(*keys, "series_id")
     mean = F.avg("value").over(whole)
@@ -222,6 +224,15 @@ def collinear_pairs(panel: DataFrame, limit: float = 0.99, keys: list[str] = ENT
         .agg(F.array_sort(F.collect_list(F.struct("period", "v"))).alias("c"), *along)
         .withColumn("x", F.transform("c", lambda e: e["v"]))
     )
+    rows = cut(rows.drop("c").withColumn("x", F.transform("x", lambda v: F.round(v, 12))), "unit")
+    first = rows.groupBy(*keys, "x").agg(
+        F.min("series_id").alias("series_id"), F.count(F.lit(1)).alias("n"), *[F.first(f"p{k}").alias(f"p{k}") for k in waves]
+    )
+    copied = first.filter(F.col("n") > 1).select(*keys, "x", F.col("series_id").alias("series_a"))
+    copies = rows.join(copied, [*keys, "x"]).filter(F.col("series_id") != F.col("series_a")).select(
+        *keys, "series_a", F.col("series_id").alias("series_b"), F.lit(1.0).alias("corr")
+    )
+    rows = first
     home = rows.select(
         *keys, "series_id", "x", *[F.floor(F.col(f"p{k}") / (2 * d)).alias(f"cell{k}") for k in waves]
     )
@@ -241,4 +252,4 @@ def collinear_pairs(panel: DataFrame, limit: float = 0.99, keys: list[str] = ENT
     )
     return pairs.groupBy(*keys, F.col("series_id").alias("series_a"), F.col("other").alias("series_b")).agg(
         F.max("corr").alias("corr")
-    )
+    ).unionByName(copies)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidecast.functions import calendar as cal
 from tidecast.functions.numeric import close
 from tidecast.operators.grid import SERIES
+from tidecast.session import spread
 
 DEFAULT_LAG_DAYS = 30  # fixed value: days when neither calendar nor registry knows
 DEFAULT_MEDIAN_LAG = 45.0  # fixed value
@@ -92,14 +93,14 @@ def build_vintages(dated: DataFrame, vintages: Column, keys: list[str] = SERIES)
     published cell. Rows are placed by series before they are unfolded, so the
     shuffle carries the panel once and not once per vintage.
     """
-    rows = dated.repartition(*keys).withColumn("vintage_date", F.explode(vintages))
+    rows = spread(dated, keys).withColumn("vintage_date", F.explode(vintages))
     return _mask_edge(rows, keys)
 
 
 def ragged_edge(dated: DataFrame, vintages: Column, keys: list[str] = SERIES) -> DataFrame:
     """Vintages cut at their own month, as a pseudo-real-time loop would see them."""
     own = F.filter(vintages, lambda v: F.trunc(v, "month") >= F.col("period"))
-    return _mask_edge(dated.repartition(*keys).withColumn("vintage_date", F.explode(own)), keys)
+    return _mask_edge(spread(dated, keys).withColumn("vintage_date", F.explode(own)), keys)
 
 
 def vintage_diff(old: DataFrame, new: DataFrame, keys: list[str] = (*SERIES, "period")) -> DataFrame:

@@ -66,13 +66,13 @@ def run_news(old: DataFrame, new: DataFrame, target: str, keys: list[str], meta:
     fit = dfm.dfm_fit(old, keys, r, p, max_iter)
     at = new.filter(F.col("series_id") == target).groupBy(*keys).agg(F.max("period").alias("period"))
     params = fit.state.select(*keys, "a", "q").join(at, keys)
-    table = news.news_decompose(z(old), z(new), fit.loadings(), params, target, keys, r * p)
+    table = cut(news.news_decompose(z(old), z(new), fit.loadings(), params, target, keys, r * p), "news")
     groups = news.news_by_group(table, meta, keys).select(
         *keys, F.col("grp"), F.col("contribution").alias("group_contribution")
     )
-    tagged = news.news_order(table, keys).join(meta.select("series_id", "grp"), "series_id", "left")
+    tagged = table.join(meta.select("series_id", "grp"), "series_id", "left")
     tagged = tagged.withColumn("grp", F.coalesce("grp", F.lit("other")))
-    return tagged.join(groups, [*keys, "grp"])
+    return news.news_order(tagged.join(groups, [*keys, "grp"]), keys)
 
 
 def run_selection(panel: DataFrame, target: DataFrame, meta: DataFrame, keys: list[str], method: str = "correlation",
