@@ -79,9 +79,9 @@ def _(t):
 
 
 @query("target_usable", """
-    SELECT entity_id, series_id, count(value) AS n_obs FROM dense GROUP BY 1, 2 HAVING count(value) >= 60""")
+    SELECT entity_id, series_id, count(value) AS n_obs FROM dense GROUP BY 1, 2 HAVING count(value) >= 12""")
 def _(t):
-    return stats.target_usable(t.dense, 60, KEYS)
+    return stats.target_usable(t.dense, 12, KEYS)
 
 
 @query("ex_period_filter", "SELECT run_date, target_quarter, metric, model FROM nowcasts WHERE CAST(substr(target_quarter, 1, 4) AS INTEGER) >= 1999")
@@ -345,7 +345,7 @@ _YOY = """
     JOIN target b ON b.entity_id = a.entity_id AND CAST(b.quarter + INTERVAL 12 MONTH AS DATE) = a.quarter WHERE b.value > 0"""
 
 
-@query("join_year_ago", _YOY, "value:2 base:2 yoy")
+@query("join_year_ago", _YOY, "value:4 base:4 yoy")
 def _(t):
     return stats.level_yoy(t.target, ["entity_id"])
 
@@ -419,7 +419,7 @@ def _(t):
 
 
 @query("latest_value", """
-    SELECT entity_id, component, max(quarter) AS quarter, arg_max(value, quarter) AS value FROM components GROUP BY 1, 2""", "value:2")
+    SELECT entity_id, component, max(quarter) AS quarter, arg_max(value, quarter) AS value FROM components GROUP BY 1, 2""", "value:4")
 def _(t):
     return t.components.groupBy("entity_id", "component").agg(
         F.max("quarter").alias("quarter"), F.max_by("value", "quarter").alias("value")

@@ -174,9 +174,9 @@ def _(t):
 
 
 @query("scan_html_table", """
-    SELECT entity_id, year(quarter) AS year, 'Revenue ' || component AS indicator, 'Q' || quarter(quarter) AS label, round(value, 2) AS value FROM components""", "value:2")
+    SELECT entity_id, CAST(year(quarter) AS INTEGER) AS year, 'Revenue ' || component AS indicator, 'Q' || quarter(quarter) AS label, value FROM components""", "value:4")
 def _(t):
-    cell = F.concat(F.lit("<td class='v'><b>"), F.format_string("%,.2f", F.round("value", 2)), F.lit("</b></td>"))
+    cell = F.concat(F.lit("<td class='v'><b>"), F.format_string("%,.4f", F.round("value", 4)), F.lit("</b></td>"))
     quarters = [
         F.coalesce(F.max(F.when(F.quarter("quarter") == q, cell)), F.lit("<td>n/a</td>")) for q in (1, 2, 3, 4)
     ]

@@ -41,6 +41,8 @@ CTES = {
         SELECT s.entity_id, s.series_id, m.period, p.value
         FROM (SELECT DISTINCT entity_id, series_id FROM panel) s CROSS JOIN months m
         LEFT JOIN panel p ON p.entity_id = s.entity_id AND p.series_id = s.series_id AND p.period = m.period""",
+    "logdense": """
+        SELECT entity_id, series_id, period, ln(value) AS value FROM dense""",
     "meta": """
         SELECT 'n' || n_nationkey AS series_id, n_name AS name, r_name AS grp, 'monthly' AS freq,
                CAST(n_nationkey % 5 AS INTEGER) AS transform,

@@ -12,6 +12,11 @@ W = "WINDOW w AS (PARTITION BY entity_id, series_id ORDER BY period)"
 LOGS = "(SELECT *, CASE WHEN value IS NOT NULL THEN ln(greatest(value, 1e-12)) END AS lv FROM dense)"
 
 
+def logs(t):
+    """Log levels on the grid: where interpolation between amounts makes sense."""
+    return t.dense.withColumn("value", F.ln("value"))
+
+
 def _transform(key: str, code: int, expr: str, digits: str = "value") -> None:
     @query(key, f"SELECT entity_id, series_id, period, {expr} AS value FROM {LOGS} {W}", digits)
     def _(t):
@@ -71,7 +76,7 @@ def _(t):
 
 
 NEAR = f"""
-    WITH a AS (SELECT *, row_number() OVER w AS t FROM dense {W}),
+    WITH a AS (SELECT *, row_number() OVER w AS t FROM logdense {W}),
     b AS (SELECT *, CASE WHEN value IS NOT NULL THEN t END AS vt FROM a),
     n AS (SELECT entity_id, series_id, period, value, t,
       count(value) OVER (PARTITION BY entity_id, series_id) AS nv,
@@ -82,28 +87,28 @@ NEAR = f"""
 BETWEEN = "CASE WHEN value IS NOT NULL THEN value ELSE v0 + (t - t0) / (t1 - t0) * (v1 - v0) END"
 
 
-@query("impute_linear", f"{NEAR} SELECT entity_id, series_id, period, CASE WHEN nv >= 2 THEN coalesce({BETWEEN}, v0, v1) ELSE value END AS value FROM n", "value:4")
+@query("impute_linear", f"{NEAR} SELECT entity_id, series_id, period, CASE WHEN nv >= 2 THEN coalesce({BETWEEN}, v0, v1) ELSE value END AS value FROM n", "value")
 def _(t):
-    return impute.impute_linear(t.dense)
+    return impute.impute_linear(logs(t))
 
 
-@query("impute_linear_no_leak", f"{NEAR} SELECT entity_id, series_id, period, CASE WHEN nv >= 2 THEN {BETWEEN} ELSE value END AS value FROM n", "value:4")
+@query("impute_linear_no_leak", f"{NEAR} SELECT entity_id, series_id, period, CASE WHEN nv >= 2 THEN {BETWEEN} ELSE value END AS value FROM n", "value")
 def _(t):
-    return impute.impute_linear_no_leak(t.dense)
+    return impute.impute_linear_no_leak(logs(t))
 
 
 @query("impute_block", f"""{NEAR},
     k AS (SELECT entity_id, series_id, t, value, row_number() OVER (PARTITION BY entity_id, series_id ORDER BY t) AS i FROM n WHERE value IS NOT NULL),
     f AS (SELECT a.entity_id, a.series_id, a.t AS ft, a.value AS fv, b.t AS st, b.value AS sv FROM k a JOIN k b ON a.entity_id = b.entity_id AND a.series_id = b.series_id AND a.i = 1 AND b.i = 2)
     SELECT n.entity_id, n.series_id, n.period, CASE WHEN nv < 2 THEN v0 WHEN t0 IS NULL THEN fv + (t - ft) * (sv - fv) / (st - ft) ELSE coalesce({BETWEEN}, v0) END AS value
-    FROM n LEFT JOIN f ON n.entity_id = f.entity_id AND n.series_id = f.series_id""", "value:4")
+    FROM n LEFT JOIN f ON n.entity_id = f.entity_id AND n.series_id = f.series_id""", "value")
 def _(t):
-    return impute.impute_block(t.dense)
+    return impute.impute_block(logs(t))
 
 
 @query("impute_spline")
 def _(t):
-    return impute.impute_spline(t.dense)
+    return impute.impute_spline(logs(t))
 
 
 MAD = """
@@ -180,7 +185,7 @@ def _(t):
     l AS (SELECT entity_id, arg_max(actual, quarter) AS base FROM b WHERE actual IS NOT NULL GROUP BY 1)
     SELECT b.entity_id, b.quarter, coalesce(b.actual, base * exp(sum(CASE WHEN actual IS NULL THEN ln(1 + g) ELSE 0 END) OVER (PARTITION BY b.entity_id ORDER BY b.quarter))) AS level,
            CASE WHEN actual IS NOT NULL THEN 'actual' WHEN b.quarter = DATE '2000-07-01' THEN 'nowcast' ELSE 'forecast' END AS status
-    FROM b JOIN l ON l.entity_id = b.entity_id""", "level:2")
+    FROM b JOIN l ON l.entity_id = b.entity_id""", "level:4")
 def _(t):
     rows = t.preds.filter("model = 'mean' and pred is not null").join(t.target, ["entity_id", "quarter"])
     known = F.when(F.col("quarter") < F.lit("2000-07-01").cast("date"), F.col("value"))

@@ -1,17 +1,20 @@
 """Dynamic factor model fitted for every key at once.
 
-One EM step is one pass over the panel. Series are kept in blocks (one row
-holds some hundreds of series of one key, each as long as the calendar). A
-block needs the smoothed states of its key to refit its own loadings, and
-gives back the collapsed observations under them; Spark adds those up per key,
-and one small recursion per key turns the sums into the next states. Only the
-states, a row per key, are written between two steps; loadings follow from
-them and are never stored while the fit runs.
+Series are kept in blocks: one row holds some hundreds of series of one key,
+each as long as the calendar. A key that fits into one block is a small
+independent problem, and all its EM steps run where the row is. A wider key is
+fitted by passes over its blocks: a block needs the smoothed states of its key
+to refit its own loadings, and gives back the collapsed observations under
+them; Spark adds those up per key, and one small recursion per key turns the
+sums into the next states. Only the states, a row per key, are written between
+two steps; loadings follow from them and are never stored while the fit runs.
+Both ways take the same steps and return the same tables.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -33,7 +36,7 @@ def key_schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
 
 
-def panel_blocks(panel: DataFrame, keys: list[str], groups: DataFrame | None = None) -> DataFrame:
+def panel_blocks(panel: DataFrame, keys: list[str], groups: DataFrame | None = None, block_size: int = BLOCK) -> DataFrame:
     """Standardised series of each key in blocks of bounded number.
 
     ``panel`` is dense. A key with very many series is spread over up to
@@ -55,13 +58,15 @@ def panel_blocks(panel: DataFrame, keys: list[str], groups: DataFrame | None = N
     series = cut(series.select(*keys, "series_id", "grp", "mu", "sigma", "start", y.alias("y")), "series")
     # blocks grow with the key only beyond MAX_BLOCKS of them
     sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    n_blocks = F.least(F.ceil(F.col("n") / BLOCK), F.lit(MAX_BLOCKS))
-    placed = series.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("series_id"), n_blocks).cast("int"))
+    n_blocks = F.least(F.ceil(F.col("n") / block_size), F.lit(MAX_BLOCKS)).cast("int")
+    placed = series.join(sizes, keys).withColumn("n_blocks", n_blocks).withColumn(
+        "block", F.pmod(F.xxhash64("series_id"), F.col("n_blocks")).cast("int")
+    )
     member = F.struct("series_id", "grp", "mu", "sigma", "y")
     return spread(placed, [*keys, "block"]).groupBy(*keys, "block").agg(
-        F.min("start").alias("start"), F.array_sort(F.collect_list(member)).alias("m")
+        F.min("start").alias("start"), F.first("n_blocks").alias("n_blocks"), F.array_sort(F.collect_list(member)).alias("m")
     ).select(
-        *keys, "block", "start",
+        *keys, "block", "n_blocks", "start",
         *[F.col(f"m.{f}").alias(f) for f in ("series_id", "grp", "mu", "sigma", "y")],
     )
 
@@ -98,6 +103,11 @@ def _loadings(y, grp, row):
     return g.regress_loadings(y, zs, vs, _allowed(grp, row))
 
 
+def _block_sums(y: np.ndarray, grp, row) -> np.ndarray:
+    c, noise = _loadings(y, grp, row)
+    return np.concatenate([part.ravel() for part in g.collapse(y, c, noise)])
+
+
 def _sums_per_block(blocks: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """Collapsed observations of every block under the loadings its key's states imply.
 
@@ -107,14 +117,9 @@ def _sums_per_block(blocks: DataFrame, state: DataFrame, keys: list[str]) -> Dat
 
     def work(batches):
         for pdf in batches:
-            sums = []
-            for row in pdf.itertuples():
-                y = _matrix(row.y)
-                c, noise = _loadings(y, row.grp, row)
-                sums.append(np.concatenate([part.ravel() for part in g.collapse(y, c, noise)]))
-            yield pdf[keys].assign(sums=sums)
-
-    joined = blocks.drop("start", "mu", "sigma", "series_id", "block").join(
+            yield pdf[keys].assign(sums=[_block_sums(_matrix(r.y), r.grp, r) for r in pdf.itertuples()])
+
+    joined = blocks.drop("start", "mu", "sigma", "series_id", "block", "n_blocks").join(
         state.select(*keys, "k", "r", "p", "groups", "zs", "vs", "size", "it"), keys
     )
     return joined.mapInPandas(work, key_schema(blocks, keys) + ", sums array<double>")
@@ -126,6 +131,72 @@ def _unpack(total: np.ndarray, k: int):
     return info.reshape(n_t, k, k), b.reshape(n_t, k), n, log_r, yy
 
 
+def _first_state(gram: np.ndarray, n_series: int, r: int, p: int, start, names: list[str]) -> dict:
+    """Principal components from the calendar-by-calendar Gram matrix and the VAR of the factors."""
+    n_t = len(gram)
+    lead = max(min(r, n_series - 1, n_t), 1)
+    values, vectors = np.linalg.eigh(gram)
+    size = np.maximum(values[::-1][:lead], 0.0)
+    f = vectors[:, ::-1][:, :lead] * np.sqrt(size)
+    f = f * np.where(f[np.abs(f).argmax(0), range(lead)] < 0, -1.0, 1.0)  # fixed orientation
+    a, q = g.factor_var(f, p, len(names))
+    zs = np.zeros((n_t, len(a)))
+    zs[:, :lead] = f
+    return {
+        "k": len(a), "r": lead, "p": p, "start": start, "groups": names, "a": a.ravel(), "q": q.ravel(),
+        "z0": np.zeros(len(a)), "v0": g.stationary_variance(a, q).ravel(), "zs": zs.ravel(), "vs": np.zeros(0),
+        "size": size, "loglik": np.nan, "it": 0, "done": False,
+    }
+
+
+def _next_state(row: dict, total: np.ndarray, thresh: float, update: bool) -> dict:
+    """Smooth under the summed observations of a key; with ``update`` refit its transition."""
+    k, r, p = int(row["k"]), int(row["r"]), int(row["p"])
+    info, b, n, log_r, yy = _unpack(total, k)
+    a, q, v0 = (np.asarray(row[c], float).reshape(k, k) for c in ("a", "q", "v0"))
+    zp, vp, zf, vf = g.filter_states(info, b, a, q, np.asarray(row["z0"], float), v0)
+    zs, vs, cross = g.smooth_states(a, zp, vp, zf, vf)
+    loglik = g.innovations_loglik(info, b, n, log_r, yy, zp, vp)
+    change = abs(loglik - row["loglik"]) / (abs(row["loglik"]) + 1e-10)
+    new = dict(row)
+    new.update(zs=zs.ravel(), vs=vs.ravel(), loglik=loglik, it=int(row["it"]) + 1)
+    if update:
+        a, q = g.transition_step(zs, vs, cross, r, p)
+        new.update(a=a.ravel(), q=q.ravel(), z0=zs[0], v0=vs[0].ravel(), done=bool(new["it"] > 3 and change < thresh))
+    return new
+
+
+def _order(given: dict, factors: int, lags: int) -> tuple[int, int]:
+    return int(given.get("n_factors", factors)), min(int(given.get("n_lags", lags)), 5)
+
+
+def _names(groups, grouped: bool) -> list[str]:
+    return sorted({x for part in groups for x in part if x is not None}) if grouped else []
+
+
+def fit_small(blocks: DataFrame, keys: list[str], factors: int, lags: int, max_iter: int, thresh: float, grouped: bool) -> DataFrame:
+    """All steps of every key that is one block, one row in and two out: basis and final states."""
+
+    def work(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                y, given = _matrix(r.y), {c: getattr(r, c) for c in keys}
+                y0 = np.nan_to_num(y)
+                n_factors, n_lags = _order(given, factors, lags)
+                state = _first_state(y0.T @ y0, len(y), n_factors, n_lags, r.start, _names([r.grp], grouped))
+                for _ in range(max_iter):
+                    state = _next_state(state, _block_sums(y, r.grp, SimpleNamespace(**state)), thresh, True)
+                    if state["done"]:
+                        break
+                last = _next_state(state, _block_sums(y, r.grp, SimpleNamespace(**state)), thresh, False)
+                out += [{**given, **state, "final": False}, {**given, **last, "final": True}]
+            if out:
+                yield pd.DataFrame(out)
+
+    return spread(blocks, [*keys, "block"]).mapInPandas(work, f"{key_schema(blocks, keys)}, {STATE}, final boolean")
+
+
 def initial_states(blocks: DataFrame, keys: list[str], factors: int, lags: int, grouped: bool = False) -> DataFrame:
     """Principal components of each key and the VAR of its factors.
 
@@ -137,35 +208,22 @@ def initial_states(blocks: DataFrame, keys: list[str], factors: int, lags: int,
         for pdf in batches:
             y0 = [np.nan_to_num(_matrix(y)) for y in pdf["y"]]
             yield pdf[[*keys, "start"]].assign(
-                sums=[(m.T @ m).ravel() for m in y0],
-                n=[len(m) for m in y0],
-                groups=[sorted({x for x in grp if x is not None}) for grp in pdf["grp"]],
+                sums=[(m.T @ m).ravel() for m in y0], n=[len(m) for m in y0],
+                groups=[_names([grp], True) for grp in pdf["grp"]],
             )
 
-    def start(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        given = dict(zip(keys, key))
-        r, p = int(given.get("n_factors", factors)), min(int(given.get("n_lags", lags)), 5)
+    def first(key, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)
-        n_t = int(round(len(total) ** 0.5))
-        names = sorted({x for part in pdf["groups"] for x in part}) if grouped else []
-        lead = max(min(r, int(pdf["n"].sum()) - 1, n_t), 1)
-        values, vectors = np.linalg.eigh(total.reshape(n_t, n_t))
-        size = np.maximum(values[::-1][:lead], 0.0)
-        f = vectors[:, ::-1][:, :lead] * np.sqrt(size)
-        f = f * np.where(f[np.abs(f).argmax(0), range(lead)] < 0, -1.0, 1.0)  # fixed orientation
-        a, q = g.factor_var(f, p, len(names))
-        k = len(a)
-        zs = np.zeros((n_t, k))
-        zs[:, :lead] = f
-        return pd.DataFrame([{
-            **given, "k": k, "r": lead, "p": p, "start": pdf["start"].min(), "groups": names,
-            "a": a.ravel(), "q": q.ravel(), "z0": np.zeros(k), "v0": g.stationary_variance(a, q).ravel(),
-            "zs": zs.ravel(), "vs": np.zeros(0), "size": size, "loglik": np.nan, "it": 0, "done": False,
-        }])
+        n_t, given = int(round(len(total) ** 0.5)), dict(zip(keys, key))
+        r, p = _order(given, factors, lags)
+        state = _first_state(
+            total.reshape(n_t, n_t), int(pdf["n"].sum()), r, p, pdf["start"].min(), _names(pdf["groups"], grouped)
+        )
+        return pd.DataFrame([{**given, **state}])
 
     schema = key_schema(blocks, keys)
     parts = blocks.mapInPandas(gram, f"{schema}, start date, sums array<double>, n int, groups array<string>")
-    return spread(parts, keys).groupBy(*keys).applyInPandas(start, f"{schema}, {STATE}")
+    return spread(parts, keys).groupBy(*keys).applyInPandas(first, f"{schema}, {STATE}")
 
 
 def em_step(blocks: DataFrame, state: DataFrame, keys: list[str], thresh: float = 1e-4, update: bool = True) -> DataFrame:
@@ -175,28 +233,30 @@ def em_step(blocks: DataFrame, state: DataFrame, keys: list[str], thresh: float
     """
 
     def advance(key, parts: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        row = old.iloc[0]
-        k, r, p = int(row["k"]), int(row["r"]), int(row["p"])
-        info, b, n, log_r, yy = _unpack(np.sum(np.stack(parts["sums"].to_numpy()), axis=0), k)
-        a, q = (np.asarray(row[c], float).reshape(k, k) for c in ("a", "q"))
-        z0, v0 = np.asarray(row["z0"], float), np.asarray(row["v0"], float).reshape(k, k)
-        zp, vp, zf, vf = g.filter_states(info, b, a, q, z0, v0)
-        zs, vs, cross = g.smooth_states(a, zp, vp, zf, vf)
-        loglik = g.innovations_loglik(info, b, n, log_r, yy, zp, vp)
-        change = abs(loglik - row["loglik"]) / (abs(row["loglik"]) + 1e-10)
-        new = row.to_dict()
-        new.update(zs=zs.ravel(), vs=vs.ravel(), loglik=loglik, it=int(row["it"]) + 1)
-        new["done"] = bool(new["it"] > 3 and change < thresh)
-        if update:
-            a, q = g.transition_step(zs, vs, cross, r, p)
-            new.update(a=a.ravel(), q=q.ravel(), z0=zs[0], v0=vs[0].ravel())
-        return pd.DataFrame([new])[list(old.columns)]
+        total = np.sum(np.stack(parts["sums"].to_numpy()), axis=0)
+        return pd.DataFrame([_next_state(old.iloc[0].to_dict(), total, thresh, update)])[list(old.columns)]
 
     return cogroup(_sums_per_block(blocks, state, keys), state, keys).applyInPandas(
         advance, f"{key_schema(state, keys)}, {STATE}"
     )
 
 
+def fit_wide(blocks: DataFrame, keys: list[str], factors: int, lags: int, max_iter: int, thresh: float, grouped: bool):
+    """Steps over the blocks of all wide keys together; settled keys are set aside."""
+    state = cut(initial_states(blocks, keys, factors, lags, grouped), "state")
+    finished: DataFrame | None = None
+    for _ in range(max_iter):
+        state = cut(em_step(blocks, state, keys, thresh), "state")
+        settled = state.filter("done")
+        finished = settled if finished is None else finished.unionByName(settled)
+        state = state.filter("not done")
+        if state.isEmpty():
+            break
+    basis = cut(state if finished is None else state.unionByName(finished), "state")
+    # one more pass: the states under the final parameters
+    return basis, cut(em_step(blocks, basis, keys, thresh, update=False), "state")
+
+
 @dataclass
 class DfmFit:
     """Blocks of the panel, one row of parameters and states per key, and the states the loadings rest on."""
@@ -236,7 +296,7 @@ class DfmFit:
         keys = self.keys
         schema = key_schema(self.blocks, keys) + ", series_id string, c array<double>, noise double, mu double, sigma double"
         state = self.basis.select(*keys, "k", "r", "p", "groups", "zs", "vs", "size", "it")
-        return self.blocks.drop("start", "block").join(state, keys).mapInPandas(work, schema)
+        return self.blocks.drop("start", "block", "n_blocks").join(state, keys).mapInPandas(work, schema)
 
     def project(self, series: list[str] | None = None) -> DataFrame:
         """Fitted path of every (or each listed) series in its own units."""
@@ -265,28 +325,24 @@ def with_specs(blocks: DataFrame, keys: list[str], specs) -> tuple[DataFrame, li
 
 def dfm_fit(
     panel: DataFrame, keys: list[str], r: int = 2, p: int = 4, max_iter: int = 100, thresh: float = 1e-4,
-    groups: DataFrame | None = None, specs=None,
+    groups: DataFrame | None = None, specs=None, block_size: int = BLOCK,
 ) -> DfmFit:
-    """Fit every key until its likelihood settles; settled keys are set aside.
+    """Fit every key until its likelihood settles.
 
     ``panel`` is dense with (keys, series_id, period, value). With ``groups``
     (series_id, grp) one more factor per group loads on that group alone. With
     ``specs`` each key is fitted under several (n_factors, n_lags), which then
     belong to the key.
     """
-    blocks = panel_blocks(panel, keys, groups)
+    blocks = panel_blocks(panel, keys, groups, block_size)
     if specs is not None:
         blocks, keys = with_specs(blocks, keys, specs)
     blocks = cut(blocks, "blocks")
-    state = cut(initial_states(blocks, keys, r, min(p, 5), groups is not None), "state")
-    finished: DataFrame | None = None
-    for _ in range(max_iter):
-        state = cut(em_step(blocks, state, keys, thresh), "state")
-        settled = state.filter("done")
-        finished = settled if finished is None else finished.unionByName(settled)
-        state = state.filter("not done")
-        if state.isEmpty():
-            break
-    basis = cut(state if finished is None else state.unionByName(finished), "state")
-    # one more pass: the states under the final parameters
-    return DfmFit(blocks, cut(em_step(blocks, basis, keys, thresh, update=False), "state"), basis, keys)
+    how = (r, p, max_iter, thresh, groups is not None)
+    both = cut(fit_small(blocks.filter("n_blocks = 1"), keys, *how), "states")
+    basis, state = (both.filter(f"final = {f}").drop("final") for f in ("false", "true"))
+    wide = blocks.filter("n_blocks > 1")
+    if not wide.isEmpty():
+        wide_basis, wide_state = fit_wide(wide, keys, *how)
+        basis, state = basis.unionByName(wide_basis), state.unionByName(wide_state)
+    return DfmFit(blocks, state, basis, keys)
