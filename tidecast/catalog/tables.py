@@ -168,6 +168,8 @@ class Tables:
     """The derived tables of one scale, each a lazy DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        # event days are cut in UTC, as the checking engine does
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
@@ -196,17 +198,18 @@ class Tables:
             F.col("c_mktsegment").alias("entity_id"), F.col("r_name").alias("series_id"), "period"
         ).agg(F.sum("amount").cast("double").alias("value"))
 
-    def _edge(self, pick):
-        """First or last month, from the date column alone."""
-        return self.raw("orders").select(cal.month_start(pick("o_orderdate"))).scalar()
+    @cached_property
+    def span(self):
+        """First and last month, from the date column alone."""
+        return grid.span_of(self.raw("orders"), "o_orderdate")
 
     @cached_property
     def dense(self) -> DataFrame:
-        return grid.align_to_grid(self.panel, self._edge(F.min), self._edge(F.max))
+        return grid.align_to_grid(self.panel, self.span["lo"], self.span["hi"])
 
     @cached_property
     def region_dense(self) -> DataFrame:
-        return grid.align_to_grid(self.region_panel, self._edge(F.min), self._edge(F.max))
+        return grid.align_to_grid(self.region_panel, self.span["lo"], self.span["hi"])
 
     @cached_property
     def meta(self) -> DataFrame:

@@ -53,6 +53,12 @@ def last_per_cell(panel: DataFrame, order: str, keys: list[str] = SERIES) -> Dat
     return panel.groupBy(*keys, "period").agg(F.max_by("value", order).alias("value"))
 
 
+def span_of(df: DataFrame, column: str) -> Column:
+    """First and last month of a column as one scalar (fields ``lo`` and ``hi``), read once."""
+    month = cal.month_start(F.col(column))
+    return df.select(F.struct(F.min(month).alias("lo"), F.max(month).alias("hi"))).scalar()
+
+
 def align_to_grid(
     panel: DataFrame, start=None, end=None, keys: list[str] = SERIES, horizon: int = 0
 ) -> DataFrame:
@@ -63,8 +69,10 @@ def align_to_grid(
     costs one shuffle and windows over ``keys`` reuse that partitioning. Pass
     the bounds when they are known: otherwise the panel is read once more.
     """
-    lo = date_column(start) if start is not None else panel.select(F.min("period")).scalar()
-    hi = date_column(end) if end is not None else panel.select(F.max("period")).scalar()
+    if start is None or end is None:
+        span = span_of(panel, "period")
+    lo = date_column(start) if start is not None else span["lo"]
+    hi = date_column(end) if end is not None else span["hi"]
     if horizon:
         hi = F.add_months(hi, horizon)
     cells = F.map_from_entries(F.collect_list(F.struct("period", "value")))

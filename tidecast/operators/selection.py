@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.numeric import dot, safe_corr
-from tidecast.session import cut
+from tidecast.session import cut, spread
 
 ENTITY = ["entity_id"]
+BLOCK, MAX_SHARES = 256, 64
 
 
 def design_rows(panel: DataFrame, order: list[str], lags: int, keys: list[str] = ENTITY) -> DataFrame:
@@ -232,24 +233,59 @@ def collinear_pairs(panel: DataFrame, limit: float = 0.99, keys: list[str] = ENT
     copies = rows.join(copied, [*keys, "x"]).filter(F.col("series_id") != F.col("series_a")).select(
         *keys, "series_a", F.col("series_id").alias("series_b"), F.lit(1.0).alias("corr")
     )
-    rows = first
-    home = rows.select(
+    cells = [f"cell{k}" for k in waves]
+    home = first.select(
         *keys, "series_id", "x", *[F.floor(F.col(f"p{k}") / (2 * d)).alias(f"cell{k}") for k in waves]
     )
-    visits = rows.select(
-        *keys, F.col("series_id").alias("other"), F.col("x").alias("ox"),
-        F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("sgn"), *[f"p{k}" for k in waves],
+    visits = first.select(
+        *keys, "series_id", "x", F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("sgn"), *[f"p{k}" for k in waves],
     )
     for k in waves:
         at = F.col("sgn") * F.col(f"p{k}") / (2 * d)
         nearer = F.when(at - F.floor(at) < 0.5, F.floor(at) - 1).otherwise(F.floor(at) + 1)
         visits = visits.withColumn(f"cell{k}", F.explode(F.array(F.floor(at), nearer)))
-    pairs = (
-        home.join(visits, [*keys, *[f"cell{k}" for k in waves]])
-        .filter(F.col("series_id") < F.col("other"))
-        .withColumn("corr", F.abs(dot(F.col("x"), F.col("ox"))))
-        .filter(F.col("corr") >= limit)
-    )
-    return pairs.groupBy(*keys, F.col("series_id").alias("series_a"), F.col("other").alias("series_b")).agg(
-        F.max("corr").alias("corr")
-    ).unionByName(copies)
+    place = [*keys, *cells]
+    found = _close_blocks(home, visits.select(*place, "series_id", "x"), place, limit)
+    pairs = found.groupBy(*keys, "series_a", "series_b").agg(F.max("corr").alias("corr"))
+    return pairs.unionByName(copies)
+
+
+def _close_blocks(home: DataFrame, visits: DataFrame, place: list[str], limit: float) -> DataFrame:
+    """Pairs of a home series and a visitor of the same cell whose unit vectors nearly coincide.
+
+    Series of a cell are compared block by block as matrix products, and only
+    the pairs found leave the task. The blocks of a crowded cell are dealt out
+    over several tasks: each takes some of the home blocks and all visitors.
+    """
+    size = home.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    share = F.least(F.col("n"), F.lit(MAX_SHARES))
+    member = F.array_sort(F.collect_list(F.struct("series_id", "x")))
+
+    def blocked(rows: DataFrame, n) -> DataFrame:
+        dealt = rows.join(size, place).withColumn("block", F.pmod(F.xxhash64("series_id"), n).cast("int"))
+        return dealt.groupBy(*place, "block").agg(F.first("n").alias("n"), member.alias("m"))
+
+    left = blocked(home, F.col("n")).select(
+        *place, F.pmod("block", share).alias("share"), F.col("m.series_id").alias("ids"), F.col("m.x").alias("xs")
+    )
+    right = blocked(visits, F.col("n")).select(
+        *place, F.explode(F.sequence(F.lit(0), share - 1)).alias("share"),
+        F.col("m.series_id").alias("other_ids"), F.col("m.x").alias("other_xs"),
+    )
+    keys = [c for c in place if not c.startswith("cell")]
+
+    def compare(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                a, b = (np.array([np.asarray(v, float) for v in m]) for m in (r.xs, r.other_xs))
+                corr = np.abs(a @ b.T)
+                given = [getattr(r, k) for k in keys]
+                for i, j in zip(*np.nonzero(corr >= limit)):
+                    if r.ids[i] < r.other_ids[j]:
+                        out.append((*given, r.ids[i], r.other_ids[j], float(corr[i, j])))
+            yield pd.DataFrame(out, columns=[*keys, "series_a", "series_b", "corr"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in home.schema if f.name in keys)
+    joined = spread(left, [*place, "share"]).join(spread(right, [*place, "share"]), [*place, "share"])
+    return joined.mapInPandas(compare, f"{schema}, series_a string, series_b string, corr double")

@@ -68,7 +68,9 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     a stated number of partitions is left alone.
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n, context = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext
+    if context.master.startswith("local"):
+        n = min(n, 2 * context.defaultParallelism)
     return df.repartition(n, *keys)
 
 
