@@ -207,12 +207,12 @@ def _(t):
 
 def draws(t, n: int = 50):
     m = moments(t)
-    return m, bvar.posterior_draws(m.join(bvar.bvar_tune(m, E).drop("log_ml"), E), E, 2, n, 20)
+    return bvar.posterior_draws(m.join(bvar.bvar_tune(m, E).drop("log_ml"), E), E, 2, n, 20)
 
 
 @query("bvar_posterior_draws")
 def _(t):
-    return bvar.draw_means(cut(draws(t)[1], "draws"), E)
+    return bvar.draw_means(cut(draws(t), "draws"), E)
 
 
 @query("bvar_fit")
@@ -227,8 +227,8 @@ def _(t):
 
 @query("bvar_fan_chart")
 def _(t):
-    m, d = draws(t)
-    paths = bvar.forecast_paths(d, m, E, len(REGIONS), 0, 4)
+    last = bvar.last_design(region_scaled(t), REGIONS, 2, E)
+    paths = bvar.forecast_paths(draws(t), last, E, len(REGIONS), 0, 4)
     return bands.draw_fan(paths, [*E, "h"])
 
 
