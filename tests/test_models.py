@@ -5,7 +5,7 @@ import pytest
 from conftest import factor_data, long_panel, months, values
 from pyspark.sql import functions as F
 
-from tidecast.operators import bridge, bvar, dfm, gaussian, news, selection, state_space, transforms
+from tidecast.operators import bands, bridge, bvar, dfm, gaussian, news, selection, state_space, transforms
 from tidecast.plans import backtest, nowcast
 
 E = ["entity_id"]
@@ -213,6 +213,22 @@ def test_draws_centre_on_the_posterior(spark, var_data):
     assert again.orderBy(*key).first()["b"] == draws.orderBy(*key).first()["b"]
 
 
+def test_one_step_fan_has_no_shock(spark, var_data):
+    panel = long_panel(spark, var_data)
+    moments = bvar.system_moments(panel, NAMES, 2, E)
+    tuned = moments.withColumns({"lam": F.lit(0.2), "theta": F.lit(1.0), "mu": F.lit(1.0)})
+    draws = bvar.posterior_draws(tuned, E, 2, 30, 10).orderBy("chain", "draw")
+    last = bvar.last_design(panel, NAMES, 2, E)
+    x = np.concatenate([var_data[-1], var_data[-2]])
+    np.testing.assert_allclose(last.first()["x_last"], x)
+    first = bvar.forecast_paths(draws, last, E, 3, 0, 1).orderBy("chain", "draw").toPandas()["forecast"]
+    want = [np.reshape(r["b"], (3, 6))[0] @ x for r in draws.collect()]
+    np.testing.assert_allclose(first, want)
+    paths = bvar.forecast_paths(draws, last, E, 3, 0, 3)
+    for row in bands.draw_fan(paths, [*E, "h"]).collect():
+        assert row["p10"] <= row["p25"] <= row["p50"] <= row["p75"] <= row["p90"] and row["std"] >= 0
+
+
 def test_bvar_fit_shapes(spark, var_data):
     x = var_data[:60].copy()
     x[57:, 0] = np.nan
