@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions import calendar as cal
-
-SERIES = ["entity_id", "series_id"]
+from tidecast.schemas import SERIES
 
 
 def series_window(keys: list[str] = SERIES) -> Window:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.numeric import dot, safe_corr
+from tidecast.schemas import ENTITY
 from tidecast.session import cut, spread
 
-ENTITY = ["entity_id"]
 BLOCK, MAX_SHARES = 256, 64
 
 

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions import calendar as cal
-from tidecast.operators.grid import SERIES
-
-ENTITY = ["entity_id"]
+from tidecast.schemas import ENTITY, SERIES
 
 
 def valid_span(panel: DataFrame, keys: list[str] = SERIES) -> DataFrame:
