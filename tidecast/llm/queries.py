@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecast.llm import decontaminate
 from tidecast.llm.registry import ORACLES, QUERIES, query, table
 from tidecast.llm.sharding import shuffle_into_shards
+from tidecast.llm.warc import LEAST_PAYLOAD, read_archives, write_archives
+from tidecast.session import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -23,3 +26,51 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query(
+    "op5_warc",
+    f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages),
+    f AS (SELECT *, CASE WHEN size >= {LEAST_PAYLOAD} THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first_id FROM p)
+    SELECT page_id, size::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+           CASE WHEN page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+    FROM f
+    """,
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = scratch_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), archives)
+    return read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SPLIT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.UPPER.lower()}'), '{SPLIT}')"
+
+
+@query(
+    "op10_decontamination",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+    b AS (SELECT item_id::VARCHAR AS item, {WORDS} AS w FROM benchmark),
+    bw AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS pos FROM b WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item, n, list_slice(w, pos, pos + n - 1) AS run FROM bw),
+    sizes AS (SELECT DISTINCT n FROM windows),
+    dw AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, sizes WHERE len(w) >= n),
+    hits AS (SELECT r, pos, windows.n, item FROM dw JOIN windows ON windows.n = dw.n AND windows.run = list_slice(w, pos, pos + dw.n - 1)),
+    covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY r),
+    items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+    """,
+)
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+    return marked.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
