@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.llm import decontaminate
+from tidecast.llm.jaccard import jaccard_classes
 from tidecast.llm.registry import ORACLES, QUERIES, query, table
 from tidecast.llm.sharding import shuffle_into_shards
 from tidecast.llm.warc import LEAST_PAYLOAD, read_archives, write_archives
@@ -45,6 +46,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op7_jaccard")
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = jaccard_classes(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return classes.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
 SPLIT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.UPPER.lower()}'), '{SPLIT}')"
 

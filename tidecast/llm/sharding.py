@@ -120,7 +120,7 @@ def communication_matrix(sizes: DataFrame, shards: int, seed: int) -> DataFrame:
     return at.select(F.col("node").alias("block"), "quota")
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 20_11, cell_rows: int = 1 << 16) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 20_11, cell_rows: int = 1 << 13) -> DataFrame:
     """All rows of ``docs`` in uniform random order over ``shards`` shards whose sizes differ by one at most.
 
     Adds ``shard`` (0 to ``shards - 1``) and ``slot`` (gapless from 0 in each shard); input columns of these names are
