@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import decontaminate
+from tidecast.llm import decontaminate, langid, quality
 from tidecast.llm.jaccard import jaccard_classes
 from tidecast.llm.registry import ORACLES, QUERIES, query, table
 from tidecast.llm.sharding import shuffle_into_shards
@@ -29,6 +29,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(column: str, by: int):
+    """``crc32`` of a value as text, modulo ``by``; null counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % by
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = langid.fit_dictionaries(docs.filter(remainder("doc_id", 3) != 1))
+    found = langid.identify(docs.select("doc_id", "text"), known)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 @query(
     "op5_warc",
     f"""
@@ -52,6 +65,14 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(remainder("doc_id", 5) != 0))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 SPLIT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.UPPER.lower()}'), '{SPLIT}')"
 

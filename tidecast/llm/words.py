@@ -63,11 +63,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of every text in order, and where each text's words begin (one entry more than texts)."""
-    raw, at = text_bytes(texts)
-    if len(raw) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every word and the byte after it; ``at`` has where texts begin and the end of the last one."""
     inside = _IN_WORD[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -77,12 +74,24 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last[:-1] &= ~inside[1:]
     tails = at[1:][at[1:] > 0] - 1
     last[tails] = inside[tails]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes, with A-Z lowered: differences of a running sum of bytes times powers of an odd base."""
     up, down = _powers(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_LOWER[raw] * up[: len(raw)], out=total[1:])
-    h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
-    return mix(h), np.searchsorted(start, at)
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of every text in order, and where each text's words begin (one entry more than texts)."""
+    raw, at = text_bytes(texts)
+    if len(raw) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    start, end = word_spans(raw, at)
+    return span_hashes(raw, start, end), np.searchsorted(start, at)
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
