@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.llm import decontaminate, langid, quality
 from tidecast.llm.jaccard import jaccard_classes
+from tidecast.llm.packing import pack_documents
 from tidecast.llm.registry import ORACLES, QUERIES, query, table
 from tidecast.llm.sharding import shuffle_into_shards
 from tidecast.llm.warc import LEAST_PAYLOAD, read_archives, write_archives
@@ -29,6 +31,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def remainder(column: str, by: int):
     """``crc32`` of a value as text, modulo ``by``; null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % by
