@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import decontaminate, langid, quality
+from tidecast.llm import classlm, decontaminate, langid, quality
 from tidecast.llm.jaccard import jaccard_classes
 from tidecast.llm.packing import pack_documents
 from tidecast.llm.registry import ORACLES, QUERIES, query, table
@@ -73,6 +73,11 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
+@query("op8_class_lm")
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score_texts(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
+
+
 @query("op9_quality")
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
