@@ -203,7 +203,7 @@ def jaccard_classes(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90,
     block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
-    """``(doc_id, text_code, n_shingles, component)`` for every row: its shingle count and class.
+    """``(doc_id, text_code, n_shingles, component, root)`` for every row: its shingle count and class.
 
     Documents link when ``100 * shared >= percent * union`` of their distinct ``n``-word shingles; a class is what links
     reach. ``component`` is the smallest id in the class. Fewer than ``n`` words count as one shingle; a null, empty or
@@ -230,4 +230,18 @@ def jaccard_classes(
     return labelled.join(least, "root", "left").select(
         "doc_id", F.col("_text").alias("text_code"), F.col("_n").alias("n_shingles"),
         F.when(F.col("_n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"),
+        F.when(F.col("_n") > 0, F.col("root")).alias("root"),
     )
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class: the smallest id, then the smallest hash of its text. Blank texts all stay."""
+    classes = jaccard_classes(docs, doc_id=doc_id, text=text, **options).filter("root IS NOT NULL")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_code")
+    best = classes.groupBy("root").agg(F.min(key).alias("best")).select(F.col("best.doc_id").alias("best_id"), F.col("best.text_code").alias("best_code"))
+    code = F.xxhash64(F.col(text))
+    blank = F.coalesce(F.col(text), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+    rows = docs.filter(~blank).select(F.struct("*").alias("doc"), F.col(doc_id).alias("id"), code.alias("code"))
+    kept = rows.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("code") == F.col("best_code")), "left_semi")
+    once = kept.groupBy("id", "code").agg(F.first("doc").alias("doc"))
+    return once.select("doc.*").unionByName(docs.filter(blank))

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import classlm, decontaminate, langid, quality
+from tidecast.llm import classlm, decontaminate, langid, licences, quality
 from tidecast.llm.jaccard import jaccard_classes
 from tidecast.llm.packing import pack_documents
 from tidecast.llm.registry import ORACLES, QUERIES, query, table
+from tidecast.llm.search import top_k
 from tidecast.llm.sharding import shuffle_into_shards
 from tidecast.llm.warc import LEAST_PAYLOAD, read_archives, write_archives
 from tidecast.session import scratch_path
@@ -37,6 +38,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op3_bm25")
+def op3_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return top_k(docs, asked, k=10)
+
+
 def remainder(column: str, by: int):
     """``crc32`` of a value as text, modulo ``by``; null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % by
@@ -67,6 +75,34 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def licence_sql() -> str:
+    """Every non-empty line against every template, sizes bounds left out."""
+    values = ", ".join(f"('{name}', [{', '.join(repr(g) for g in licences.bigrams_of(body))}])" for name, body in licences.TEMPLATES.items())
+    lower = f"translate(l, '{decontaminate.UPPER}', '{decontaminate.UPPER.lower()}')"
+    return f"""
+    WITH t(licence, own) AS (VALUES {values}),
+    lines AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS ls FROM documents),
+    each_line AS (SELECT r, doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS l FROM lines),
+    words AS (SELECT r, doc_id, line, regexp_extract_all({lower}, '[a-z0-9]+') AS w FROM each_line),
+    grams AS (
+        SELECT r, doc_id, line,
+               list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g
+        FROM words WHERE len(w) > 0
+    ),
+    alike AS (
+        SELECT r, doc_id, line, licence, 2 * len(list_intersect(g, own)) / (len(g) + len(own)) AS dice
+        FROM grams, t WHERE list_has_any(g, own)
+    )
+    SELECT doc_id, line, licence, dice FROM alike WHERE dice * 100 >= {licences.THRESHOLD}
+    QUALIFY row_number() OVER (PARTITION BY r, line ORDER BY dice DESC, licence) = 1
+    """
+
+
+@query("op6_licences", licence_sql())
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op7_jaccard")
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = jaccard_classes(table(spark, sf_dir, "documents"), n=3, percent=90)
