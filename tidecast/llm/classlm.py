@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidecast.llm.tables import dense_counts
 from tidecast.llm.words import slices, word_hashes
 from tidecast.session import cut
 
 CLUSTERED, CLASSES, SWEEPS = 1022, 64, 8
 BLOCK_BYTES = 16 << 20
 PRIOR = 20.0  # weight of the shorter history, in observations
-CHUNK = 1 << 14
 
 
 def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -101,33 +101,6 @@ def _histories(words: np.ndarray, at: np.ndarray, known: np.ndarray, names: np.n
     return tokens, one, two, begin, inside
 
 
-def _dense_counts(train: DataFrame, cells: int, codes_of) -> np.ndarray:
-    """How often ``codes_of(texts)`` gives each of ``cells`` codes; tasks send tables of that fixed size in chunks."""
-    chunks = -(-cells // CHUNK)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(chunks * CHUNK, np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                table += np.bincount(codes_of(part.column("text")), minlength=len(table))
-        rows = table.reshape(chunks, CHUNK)
-        some = np.flatnonzero(rows.any(1))
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([rows[k].tobytes() for k in some], pa.binary())], ["chunk", "counts"])
-
-    def add(key, rows):
-        total = np.zeros(CHUNK, np.int64)
-        for raw in rows.column("counts").to_pylist():
-            total += np.frombuffer(raw, np.int64)
-        return pa.table({"chunk": [key[0].as_py()], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    parts = train.select("text").mapInArrow(count, "chunk long, counts binary")
-    out = np.zeros(chunks * CHUNK, np.int64)
-    for row in parts.groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect():  # of the fixed size
-        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
-    return out[:cells]
-
-
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -170,7 +143,7 @@ def exchange(pairs: np.ndarray, free: int, classes: int, sweeps: int = SWEEPS) -
             corner = rest[c, c]
             both = _f(corner + right[c] + left[c] + own) - _f(corner)
             gain = rows.sum(1) - rows[c, c] + columns.sum(1) - columns[c, c] + both
-            out, into = rest.sum(1)[:classes], rest.sum(0)[:classes]
+            out, into = rest.sum(1)[:classes] + left[c], rest.sum(0)[:classes] + right[c]
             gain -= _f(out + right.sum() + own) - _f(out) + _f(into + left.sum() + own) - _f(into)
             new = int(gain.argmax())
             if new != old and gain[new] > gain[old] + 1e-9:
@@ -228,21 +201,21 @@ def score_texts(docs: DataFrame, held_out, *, doc_id: str = "doc_id", text: str
     rank = np.empty(m, np.int64)
     rank[:] = order  # frequency rank of the words in order of their hash
 
-    def pairs_of(texts: pa.Array) -> np.ndarray:
-        now, one, _, _, _ = _histories(*word_hashes(texts), known, rank, m, m + 1)
+    def pairs_of(part: pa.RecordBatch) -> np.ndarray:
+        now, one, _, _, _ = _histories(*word_hashes(part.column("text")), known, rank, m, m + 1)
         return one * (m + 2) + now
 
-    pairs = _dense_counts(train, (m + 2) ** 2, pairs_of).reshape(m + 2, m + 2).astype(float)
+    pairs = dense_counts(train.select("text"), (m + 2) ** 2, pairs_of).reshape(m + 2, m + 2).astype(float)
     k = min(classes, max(m, 1))
     names = exchange(pairs, m, k)
     other, end, size = k, k + 1, k + 2
     own = names[rank] if m else np.zeros(0, np.int64)
 
-    def triples_of(texts: pa.Array) -> np.ndarray:
-        now, one, two, _, _ = _histories(*word_hashes(texts), known, own, other, end)
+    def triples_of(part: pa.RecordBatch) -> np.ndarray:
+        now, one, two, _, _ = _histories(*word_hashes(part.column("text")), known, own, other, end)
         return (two * size + one) * size + now
 
-    steps = transitions(_dense_counts(train, size**3, triples_of).reshape(size, size, size).astype(float))
+    steps = transitions(dense_counts(train.select("text"), size**3, triples_of).reshape(size, size, size).astype(float))
     held = np.zeros(size)  # tokens of each class, and below its types
     types = np.zeros(size)
     np.add.at(held, names[:m], total)

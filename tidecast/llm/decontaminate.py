@@ -62,10 +62,11 @@ def find_windows(
     for size in sizes or [n]:
         at = words.select("doc_id", "text_code", "w", F.posexplode("w").alias("start", "_"))
         run = F.slice("w", F.col("start") + 1, size)
-        runs = at.filter(F.col("start") <= F.size("w") - size).withColumn("code", F.xxhash64(run))
-        hits.append(runs.join(known.filter(F.col("size") == size), "code", "left_semi").select(
-            "doc_id", "text_code", "start", F.lit(size).alias("size"), F.array_join(run, " ").alias("phrase")
-        ))
+        # only these columns leave the text: its words are never repeated for each of its positions
+        runs = at.filter(F.col("start") <= F.size("w") - size).select(
+            "doc_id", "text_code", "start", F.lit(size).alias("size"), F.xxhash64(run).alias("code"), F.array_join(run, " ").alias("phrase")
+        )
+        hits.append(runs.join(known.filter(F.col("size") == size).select("code"), "code", "left_semi").drop("code"))
     found = hits[0]
     for more in hits[1:]:
         found = found.unionByName(more)
@@ -116,8 +117,9 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, doc_
     found = find_windows(docs, benchmark, n, doc_id=doc_id, text=text, **columns).select(
         F.col("doc_id").alias("found_id"), F.col("text_code").alias("found_code")
     ).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("found_id")) & (F.xxhash64(F.col(text)) == F.col("found_code"))
-    return docs.join(found, same, "left_anti")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("code"))
+    same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("code") == F.col("found_code"))
+    return rows.join(found, same, "left_anti").select("doc.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, text: str = "text", **columns) -> DataFrame:
