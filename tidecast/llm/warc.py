@@ -109,12 +109,12 @@ def parse_record(data: bytes) -> dict | None:
 
 
 class _Window:
-    """Bytes of a file from ``start`` on, read as far as they are asked for."""
+    """Bytes of a file from ``start`` on, read as far as they are asked for; what lies behind is let go now and then."""
 
     def __init__(self, file, start: int, size: int, step: int = 1 << 20):
-        self.file, self.start, self.size, self.step, self.data = file, start, size, step, b""
+        self.file, self.start, self.size, self.step, self.data = file, start, size, step, bytearray()
 
-    def upto(self, end: int) -> bytes:
+    def upto(self, end: int) -> bytearray:
         """The bytes held, after reading to ``end`` of the file or its last byte."""
         while self.start + len(self.data) < min(end, self.size):
             got = self.file.read_at(self.step, self.start + len(self.data))
@@ -123,6 +123,17 @@ class _Window:
             self.data += got
         return self.data
 
+    def piece(self, at: int, most: int = 1 << 14) -> bytes:
+        """Up to ``most`` bytes from ``at`` of the file; none at its end."""
+        held = self.upto(at + 1)
+        return bytes(held[at - self.start : at - self.start + most])
+
+    def forget(self, at: int) -> None:
+        """Bytes before ``at`` are not needed again."""
+        if at - self.start > 2 * self.step:
+            del self.data[: at - self.start]
+            self.start = at
+
 
 def _decode(window: _Window, at: int) -> tuple[bytes, int] | None:
     """Data of the gzip member at ``at`` of the file and where it ends; None if there is none."""
@@ -130,8 +141,7 @@ def _decode(window: _Window, at: int) -> tuple[bytes, int] | None:
     checked = False
     try:
         while not unpack.eof:
-            held = window.upto(next_at + 1)
-            piece = held[next_at - window.start : next_at - window.start + (1 << 16)]
+            piece = window.piece(next_at)
             if not piece:
                 return None
             data += unpack.decompress(piece)
@@ -149,21 +159,24 @@ def records_of_range(file, size: int, start: int, end: int) -> Iterator[dict]:
     """Records that start in ``[start, end)`` of an open archive of ``size`` bytes."""
     window, at = _Window(file, start, size), start
     while at < end:
-        held = window.upto(min(end + len(MAGIC), size))
-        found = held.find(MAGIC, at - window.start, end - window.start + len(MAGIC) - 1)
+        held = window.upto(min(at + window.step, end) + len(MAGIC))
+        stop = min(at + window.step, end)
+        found = held.find(MAGIC, at - window.start, stop - window.start + len(MAGIC) - 1)
         if found < 0:
-            return
+            at = stop
+            window.forget(at)
+            continue
         at = window.start + found
         got = _decode(window, at)
         record = got and parse_record(got[0])
-        if record and (got[1] == size or window.upto(got[1] + len(MAGIC))[got[1] - window.start :].startswith(MAGIC)):
+        if record and (got[1] == size or window.piece(got[1], len(MAGIC)) == MAGIC):
             yield record
             at = got[1]
-            window.data, window.start = window.data[at - window.start :], at
         elif got and not got[0]:
             at = got[1]
         else:
             at += 1
+        window.forget(at)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
