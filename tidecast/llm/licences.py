@@ -2,16 +2,21 @@
 
 A line is lowered and reduced to words of letters and digits; its bigrams (a single word stands for itself) are compared
 with those of each template. Two sets of sizes a and b cannot be more alike than ``2 min(a, b) / (a + b)``, so templates
-whose size rules the threshold out are not compared, and lines too long or short for all templates are left at once.
-Only DataFrame functions are used; a line needs no other row.
+whose size rules the threshold out are not compared. A line that is alike shares a bigram with a template, so texts and then
+lines in which no bigram of any template occurs are left after one regular expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.decontaminate import ascii_lower
+from tidecast.llm.words import slices
 
 #: Usual one-line notices.
 TEMPLATES = {
@@ -31,19 +36,28 @@ TEMPLATES = {
 THRESHOLD = 80  # percent
 
 
-def bigrams_of(text: str) -> list[str]:
-    """Distinct bigrams of a template, sorted."""
-    words = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
-    return sorted({" ".join(p) for p in zip(words, words[1:])} or set(words))
+WORD = re.compile("[a-z0-9]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def line_words(line: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(line), "[^a-z0-9]+"), "")
+def bigrams_of(text: str) -> list[str]:
+    """Distinct bigrams, sorted, of the words of letters and digits; ``A``-``Z`` count as ``a``-``z``."""
+    words = WORD.findall(text.translate(LOWER))
+    return sorted({" ".join(p) for p in zip(words, words[1:])} or set(words))
 
 
-def _bigrams(words: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, i, 2), " "))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(words)
+def best_template(grams: set[str], known: dict[str, frozenset[str]], percent: int) -> tuple[str, float] | None:
+    """The template most alike, and how much, if that is ``percent`` or more; of equals the first by name."""
+    best = None
+    for name in sorted(known):
+        own = known[name]
+        both = len(grams) + len(own)
+        if 200 * min(len(grams), len(own)) < percent * both:
+            continue
+        alike = 2 * len(grams & own) / both
+        if alike * 100 >= percent and (best is None or alike > best[1]):
+            best = name, alike
+    return best
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, percent: int = THRESHOLD) -> DataFrame:
@@ -52,26 +66,28 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
     Lines are counted from 0 in the whole text. Of templates equally alike the first by name is given. Null, empty and
     wordless lines match nothing; repeated rows repeat their matches; without templates or rows the result is empty.
     """
-    known = {name: bigrams_of(body) for name, body in sorted((TEMPLATES if templates is None else templates).items())}
+    known = {name: frozenset(bigrams_of(body)) for name, body in (TEMPLATES if templates is None else templates).items()}
     known = {name: grams for name, grams in known.items() if grams}
-    least = min((-(-len(g) * percent // (200 - percent)) for g in known.values()), default=1)
-    most = max((len(g) * (200 - percent) // percent for g in known.values()), default=0)
-    every = F.array(*(F.lit(x) for x in sorted({x for g in known.values() for x in g}))).cast("array<string>")
-
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line", "body"))
-    lines = lines.select("doc_id", "line", line_words(F.col("body")).alias("words"))
-    lines = lines.filter((F.size("words") > 0) & (F.size("words") >= least))
-    grams = lines.select("doc_id", "line", _bigrams(F.col("words")).alias("grams"))
-    grams = grams.filter(F.size("grams").between(least, most)).filter(F.arrays_overlap("grams", every))
-
-    def alike(name: str, own: list[str]) -> Column:
-        size = F.size("grams")
-        fits = 200 * F.least(size, F.lit(len(own))) >= percent * (size + len(own))
-        shared = F.size(F.array_intersect("grams", F.array(*(F.lit(x) for x in own))))
-        return F.when(fits, F.struct((2 * shared / (size + len(own))).alias("dice"), F.lit(name).alias("licence")))
-
-    if not known:
-        return grams.select("doc_id", "line", F.lit("").alias("licence"), F.lit(0.0).alias("dice")).limit(0)
-    found = F.filter(F.array(*(alike(*x) for x in known.items())), lambda x: x["dice"] * 100 >= percent)
-    best = F.aggregate(found, F.get(found, F.lit(0)), lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a))
-    return grams.select("doc_id", "line", best.alias("best")).filter("best IS NOT NULL").select("doc_id", F.col("line").cast("long").alias("line"), "best.licence", "best.dice")
+    every = sorted({g for own in known.values() for g in own})
+    some = "(?i)" + "|".join(g.replace(" ", "[^a-z0-9]+") for g in every)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    names = ["doc_id", "line", "licence", "dice"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_line = re.compile(some)
+        for batch in batches:
+            for part in slices(batch):
+                part = part.filter(pc.fill_null(pc.match_substring_regex(part.column("text"), some), False)) if every else part.slice(0, 0)
+                found = []
+                for k, body in enumerate(part.column("text").to_pylist()):
+                    for n, line in enumerate(body.split("\n")):
+                        if in_line.search(line) and (best := best_template(set(bigrams_of(line)), known, percent)):
+                            found.append((k, n, *best))
+                if found:
+                    k, n, licence, alike = (list(x) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id").take(pa.array(k)), pa.array(n, pa.int64()), pa.array(licence), pa.array(alike)], names
+                    )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, line long, licence string, dice double")
