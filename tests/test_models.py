@@ -1,5 +1,7 @@
 """Fits against direct computation on small panels."""
 
+import math
+
 import numpy as np
 import pytest
 from conftest import factor_data, long_panel, months, values
@@ -190,13 +192,24 @@ def test_marginal_likelihood_and_choice(spark, var_data):
     scored = bvar.bvar_log_ml(bvar.hyper_grid(moments), E).toPandas()
     r = scored.iloc[7]
     ys, xs = augmented(var_data, 1, r["lam"], r["theta"], r["mu"])
-    b = np.linalg.lstsq(xs, ys, rcond=None)[0]
-    s = (ys - xs @ b).T @ (ys - xs @ b)
-    t, n, p = len(ys), 3, 1
-    want = -0.5 * t * n * np.log(np.pi) + 0.5 * n * np.linalg.slogdet(xs.T @ xs)[1]
-    want += -0.5 * (t - n * p - n - 1) * np.linalg.slogdet(s)[1] - 0.5 * r["lam"] ** 2 / 0.04 - 0.5 * r["theta"] ** 2
+    # the same from the predictive law: rows one after the other, each a Student t given those before
+    n, k, n_data = 3, 3, len(var_data) - 1
+    y, x = ys[:n_data], xs[:n_data]
+    px, pxy = xs[n_data:].T @ xs[n_data:], xs[n_data:].T @ ys[n_data:]
+    pyy, rows = ys[n_data:].T @ ys[n_data:], len(ys) - n_data
+    want = 0.0
+    for row, left in zip(y, x):
+        coef = np.linalg.solve(px, pxy)
+        scale = pyy - pxy.T @ coef + bvar.SIGMA_PRIOR * np.eye(n)
+        nu = rows - k - n + 1
+        spread = scale * (1 + left @ np.linalg.solve(px, left)) / nu
+        e = row - left @ coef
+        want += math.lgamma((nu + n) / 2) - math.lgamma(nu / 2) - 0.5 * n * math.log(nu * math.pi)
+        want += -0.5 * np.linalg.slogdet(spread)[1] - 0.5 * (nu + n) * math.log(1 + e @ np.linalg.solve(spread, e) / nu)
+        px, pxy, pyy, rows = px + np.outer(left, left), pxy + np.outer(left, row), pyy + np.outer(row, row), rows + 1
     assert r["log_ml"] == pytest.approx(want)
-    assert bvar.bvar_tune(moments, E).first()["log_ml"] == scored["log_ml"].max()
+    best = bvar.bvar_tune(moments, E).first()
+    assert best["log_ml"] >= scored["log_ml"].max()
 
 
 def test_draws_centre_on_the_posterior(spark, var_data):
@@ -233,13 +246,57 @@ def test_bvar_fit_shapes(spark, var_data):
     x = var_data[:60].copy()
     x[57:, 0] = np.nan
     x[np.arange(60) % 3 != 2, 2] = np.nan
-    out = bvar.bvar_fit(long_panel(spark, x), NAMES, E, draws=20, burn_in=5, chains=1)
+    out = bvar.bvar_fit(long_panel(spark, x), NAMES, E, draws=20, burn_in=5, chains=1, blocks=False)
     assert out.count() == 180 and out.filter("value is null or isnan(value)").isEmpty()
     quarters = bvar.bvar_fit(long_panel(spark, x), NAMES, E, p=1, tune=False, draws=10, burn_in=5, chains=1, blocks=True)
     seen = {r["series_id"]: r["count"] for r in quarters.groupBy("series_id").count().collect()}
     assert seen == {"s00": 60, "s01": 60, "s02": 20}
 
 
+def test_bvar_forecasts(spark):
+    """The path of a missing target is not its last value, and beats it where the indicators lead."""
+    rng = np.random.default_rng(5)
+    gains, losses = [], []
+    panels, truth = None, {}
+    for s in range(6):
+        x = np.zeros((150, 2))
+        for t in range(1, 150):
+            x[t, 0] = 0.8 * x[t - 1, 0] + rng.normal()
+            x[t, 1] = 0.9 * x[t - 1, 0] + 0.1 * rng.normal()
+        y = x.copy()
+        y[np.arange(150) % 3 != 2, 1] = np.nan
+        truth[f"e{s}"] = (y[149, 1], y[146, 1])
+        y[147:, 1] = np.nan
+        part = long_panel(spark, y, entity=f"e{s}")
+        panels = part if panels is None else panels.unionByName(part)
+    got = bvar.bvar_fit(panels, ["s00", "s01"], E, p=1, draws=60, burn_in=20, chains=1)
+    last = got.filter("series_id = 's01'").groupBy("entity_id").agg(F.max_by("value", "period").alias("v")).collect()
+    for r in last:
+        actual, before = truth[r["entity_id"]]
+        assert abs(r["v"] - before) > 1e-3
+        gains.append(abs(r["v"] - actual))
+        losses.append(abs(before - actual))
+    assert len(gains) == 6 and sum(gains) < sum(losses)
+
+
+def test_one_bad_key_does_not_end_the_others(spark, var_data):
+    good = long_panel(spark, var_data[:60], entity="good")
+    bad = var_data[:60].copy()
+    bad[10, 1] = np.inf
+    empty = var_data[:60].copy()
+    empty[:, 0] = np.nan
+    panel = good.unionByName(long_panel(spark, bad, entity="bad")).unionByName(long_panel(spark, empty, entity="thin"))
+    out = bvar.bvar_fit(panel, NAMES, E, p=1, draws=10, burn_in=5, chains=1, blocks=False)
+    seen = {r["entity_id"] for r in out.filter("series_id = 's02' and value is not null").select("entity_id").distinct().collect()}
+    assert {"good", "thin"} <= seen and "bad" not in seen
+    rows = bvar.minnesota_posterior(bvar.system_moments(panel, NAMES, 1, E), E).collect()
+    assert {r["entity_id"] for r in rows if r["b"] is not None} == {"good"}
+    assert all(r["reason"] for r in rows if r["b"] is None)
+    assert "good" in {r["entity_id"] for r in dfm.dfm_fit(panel, E, 1, 1, 3).state.collect()}
+    with pytest.raises(Exception, match="lags"):
+        dfm.dfm_fit(good, E, 1, 6, 2).state.collect()
+
+
 # --- bridge equations -----------------------------------------------------------------------
 
 
@@ -447,6 +504,7 @@ def test_backtest_does_not_look_ahead(spark):
 def test_backtest_survives_a_failed_fit(spark):
     x = np.full((30, 3), np.nan)
     x[:, 0] = np.arange(30.0)
+    x[5, 0] = np.inf
     x[2::3, 2] = 1.0
     dated = long_panel(spark, x).withColumn("release_date", F.last_day("period"))
     target = dated.filter("series_id = 's02' and value is not null").select("entity_id", F.trunc("period", "quarter").alias("quarter"), "value")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidecast.catalog import models
 from tidecast.catalog.registry import query
 from tidecast.catalog.scores import OK, XY, HORIZON, xy
-from tidecast.operators import bridge, metrics, vintage
+from tidecast.operators import metrics, vintage
 from tidecast.plans import backtest, daily, nowcast, prepare
 from tidecast.session import cut
 
@@ -23,15 +23,13 @@ def _(t):
 
 @query("run_nowcast")
 def _(t):
-    return nowcast.run_nowcast(
-        models.at_vintage(t), models.SYSTEM, E, max_iter=5, draws=20, beq_types=(bridge.AR_OWN, bridge.VAR_ALL)
-    )
+    return nowcast.run_nowcast(models.at_vintage(t), models.SYSTEM, E)
 
 
 @query("run_evaluation")
 def _(t):
-    systems = backtest.vintage_systems(models.dated_system(t), models.short_vintages(), E)
-    runs = cut(backtest.run_backtest(systems, t.growth, models.SYSTEM, E, ("dfm", "ar1", "naive", "mean"), max_iter=3), "runs")
+    systems = backtest.vintage_systems(models.dated_system(t), t.vintages, E)
+    runs = cut(backtest.run_backtest(systems, t.growth, models.SYSTEM, E), "runs")
     keys = [*E, "vintage_date", "quarter"]
     mean = runs.filter("pred is not null").groupBy(*keys).agg(
         F.avg("pred").alias("pred"), F.first("actual").alias("actual"), F.count(F.lit(1)).alias("n")

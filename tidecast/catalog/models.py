@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidecast.catalog.panels import REGIONS, region_scaled
 from tidecast.catalog.registry import query
 from tidecast.functions import calendar as cal
-from tidecast.operators import bands, bridge, bvar, dfm, metrics, news, selection, state_space, stats, transforms, vintage
+from tidecast.operators import bands, bridge, bvar, dfm, metrics, news, selection, state_space, stats, transforms
 from tidecast.plans import backtest, nowcast, prepare
 from tidecast.session import cut
 
@@ -26,8 +26,8 @@ def system(t):
     return prepare.with_target(change, t.growth, E)
 
 
-def fit(t, max_iter: int = 5, r: int = 2, p: int = 2):
-    return dfm.dfm_fit(changes(t), E, r, p, max_iter)
+def fit(t, r: int = 2, p: int = 2):
+    return dfm.dfm_fit(changes(t), E, r, p)
 
 
 # --- state space ----------------------------------------------------------------------------
@@ -53,7 +53,7 @@ def _(t):
 
 @query("residual_variance")
 def _(t):
-    f = fit(t, 1)
+    f = fit(t)
     z = transforms.standardize(changes(t)).select(*E, "series_id", "period", "value")
     joined = z.join(f.loadings(), [*E, "series_id"]).join(f.factors(), [*E, "period"])
     resid = F.col("value") - bands.dot(F.col("c"), F.col("z"))
@@ -136,7 +136,7 @@ def _(t):
 
 @query("dfm_fit")
 def _(t):
-    return fit(t, 8).state.select(*E, "r", "p", "it", "loglik", "done")
+    return fit(t).state.select(*E, "r", "p", "it", "loglik", "done")
 
 
 @query("dfm_project")
@@ -146,7 +146,7 @@ def _(t):
 
 @query("block_loadings")
 def _(t):
-    f = dfm.dfm_fit(changes(t), E, 1, 1, 3, groups=t.meta)
+    f = dfm.dfm_fit(changes(t), E, 1, 1, groups=t.meta)
     return f.loadings().join(t.meta.select("series_id", "grp"), "series_id").select(*E, "series_id", "grp", "c", "noise")
 
 
@@ -205,9 +205,9 @@ def _(t):
     return bvar.bvar_tune(moments(t), E)
 
 
-def draws(t, n: int = 50):
+def draws(t):
     m = moments(t)
-    return bvar.posterior_draws(m.join(bvar.bvar_tune(m, E).drop("log_ml"), E), E, 2, n, 20)
+    return bvar.posterior_draws(m.join(bvar.bvar_tune(m, E).drop("log_ml", "edge"), E), E)
 
 
 @query("bvar_posterior_draws")
@@ -217,12 +217,17 @@ def _(t):
 
 @query("bvar_fit")
 def _(t):
-    return bvar.bvar_fit(system(t), SYSTEM, E, draws=30, burn_in=10)
+    return bvar.bvar_fit(system(t), SYSTEM, E)
 
 
 @query("bvar_fit_quarter_blocks")
 def _(t):
-    return bvar.bvar_fit(system(t), SYSTEM, E, p=1, tune=False, chains=1, draws=20, burn_in=10, blocks=True)
+    return bvar.bvar_fit(system(t), SYSTEM, E, p=1)
+
+
+@query("bvar_fit_monthly")
+def _(t):
+    return bvar.bvar_fit(system(t), SYSTEM, E, blocks=False)
 
 
 @query("bvar_fan_chart")
@@ -344,7 +349,7 @@ def _(t):
     ragged = cut(at_vintage(t), "ragged")
     known = ragged.filter((F.col("series_id") == prepare.TARGET) & cal.is_quarter_end(F.col("period")))
     target = known.select(*E, cal.quarter_start(F.col("period")).alias("quarter"), F.col("value").alias("y"))
-    return bridge.bridge_median(bridge.beq_fit(ragged, target, REGIONS, E, 2), E)
+    return bridge.bridge_median(bridge.beq_fit(ragged, target, REGIONS, E), E)
 
 
 # --- news -----------------------------------------------------------------------------------
@@ -372,7 +377,7 @@ def _(t):
 def news_table(t):
     old, new = news_pair(t)
     meta = t.region_meta.select("series_id", F.upper("grp").alias("grp"))
-    return nowcast.run_news(old, new, prepare.TARGET, E, meta, max_iter=5)
+    return nowcast.run_news(old, new, prepare.TARGET, E, meta)
 
 
 @query("news_decompose")
@@ -393,20 +398,16 @@ def _(t):
 # --- jobs over targets, vintages and specifications -----------------------------------------
 
 
-def short_vintages():
-    return vintage.vintage_dates("1999-11-01", "2001-05-01", 3, 15)
-
-
 @query("backtest")
 def _(t):
-    systems = backtest.vintage_systems(dated_system(t), short_vintages(), E)
-    return backtest.run_backtest(systems, t.growth, SYSTEM, E, max_iter=5, draws=10)
+    systems = backtest.vintage_systems(dated_system(t), t.vintages, E)
+    return backtest.run_backtest(systems, t.growth, SYSTEM, E)
 
 
 @query("grid_search_score")
 def _(t):
-    systems = backtest.vintage_systems(dated_system(t), short_vintages(), E)
-    f = dfm.dfm_fit(systems, [*E, "vintage_date"], max_iter=3, specs=[(1, 1), (1, 2), (2, 1), (2, 2)])
+    systems = backtest.vintage_systems(dated_system(t), t.vintages, E)
+    f = dfm.dfm_fit(systems, [*E, "vintage_date"], specs=[(1, 1), (1, 2), (2, 1), (2, 2)])
     at = cal.quarter_end_month(F.col("vintage_date"))
     hit = f.project([prepare.TARGET]).filter(F.col("period") == at)
     actual = t.growth.select(*E, cal.quarter_end_month(F.col("quarter")).alias("period"), F.col("value").alias("actual"))
@@ -432,7 +433,7 @@ def component_system(t):
 def _(t):
     rows, keys = component_system(t)
     specs = t.spark.createDataFrame([("A", 2, 2), ("N", 1, 2), ("R", 2, 1)], "component string, n_factors int, n_lags int")
-    paths = dfm.dfm_fit(rows, keys, max_iter=3, specs=specs).project([prepare.TARGET])
+    paths = dfm.dfm_fit(rows, keys, specs=specs).project([prepare.TARGET])
     return paths.filter(cal.is_quarter_end(F.col("period"))).drop("series_id")
 
 
@@ -450,5 +451,5 @@ def _(t):
     # the few indicator rows unfold over the sectors of the part table
     sectors = part.agg(F.array_sort(F.collect_set("sector"))).scalar()
     each = change.withColumn("sector", F.explode(sectors)).select("sector", "series_id", "period", "value")
-    paths = dfm.dfm_fit(prepare.with_target(each, target, ["sector"]), ["sector"], 2, 1, 3).project([prepare.TARGET])
+    paths = dfm.dfm_fit(prepare.with_target(each, target, ["sector"]), ["sector"], 2, 1).project([prepare.TARGET])
     return paths.filter(cal.is_quarter_end(F.col("period"))).drop("series_id")

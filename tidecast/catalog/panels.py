@@ -225,10 +225,12 @@ def _(t):
 
 
 @query("long_to_wide", """
-    SELECT entity_id, period, max(CASE WHEN series_id = 'AFRICA' THEN value END) AS "AFRICA", max(CASE WHEN series_id = 'ASIA' THEN value END) AS "ASIA"
+    SELECT entity_id, period, max(CASE WHEN series_id = 'AFRICA' THEN value END) AS "AFRICA", max(CASE WHEN series_id = 'AMERICA' THEN value END) AS "AMERICA",
+           max(CASE WHEN series_id = 'ASIA' THEN value END) AS "ASIA", max(CASE WHEN series_id = 'EUROPE' THEN value END) AS "EUROPE",
+           max(CASE WHEN series_id = 'MIDDLE EAST' THEN value END) AS "MIDDLE EAST"
     FROM region_panel GROUP BY 1, 2""")
 def _(t):
-    return grid.long_to_wide(t.region_panel, ["AFRICA", "ASIA"], ["entity_id", "period"])
+    return grid.long_to_wide(t.region_panel, REGIONS, ["entity_id", "period"])
 
 
 @query("wide_to_long", """
@@ -369,10 +371,9 @@ def _(t):
 
 
 @query("last_observed", """
-    SELECT entity_id, series_id, max(CASE WHEN value IS NOT NULL THEN period END) AS last_period FROM vpanel
-    WHERE vintage_date = DATE '2001-02-15' GROUP BY 1, 2""")
+    SELECT entity_id, series_id, vintage_date, max(CASE WHEN value IS NOT NULL THEN period END) AS last_period FROM vpanel GROUP BY 1, 2, 3""")
 def _(t):
-    return stats.last_observed(t.vpanel.filter(F.col("vintage_date") == F.lit("2001-02-15").cast("date")))
+    return stats.last_observed(t.vpanel, [*KEYS, "vintage_date"])
 
 
 @query("publication_lag", """
@@ -532,7 +533,8 @@ def _(t):
 @query("union_years", "SELECT series_id, ref_period, release_date FROM calendar")
 def _(t):
     c = t.calendar
-    years = [c.filter(F.year("ref_period") == y) for y in range(1998, 2001)] + [c.filter(F.year("ref_period") > 2000)]
+    lo, hi = c.agg(F.min(F.year("ref_period")), F.max(F.year("ref_period"))).first()
+    years = [c.filter(F.year("ref_period") == y) for y in range(lo, hi + 1)]
     out = years[0]
     for y in years[1:]:
         out = out.unionByName(y)
@@ -540,12 +542,12 @@ def _(t):
 
 
 @query("union_log", """
-    SELECT run_date, metric, model, value, NULL AS note FROM nowcasts WHERE model = 'naive'
+    SELECT run_date, metric, model, value, NULL AS note FROM nowcasts WHERE model <> 'mean'
     UNION ALL SELECT run_date, metric, model, value, 'rerun' FROM nowcasts WHERE model = 'mean'""", "value")
 def _(t):
     log = t.nowcasts.select("run_date", "metric", "model", "value")
     fresh = log.filter("model = 'mean'").withColumn("note", F.lit("rerun"))
-    return log.filter("model = 'naive'").unionByName(fresh, allowMissingColumns=True)
+    return log.filter("model <> 'mean'").unionByName(fresh, allowMissingColumns=True)
 
 
 @query("intersect_series", "SELECT series_id FROM meta WHERE grp = 'ASIA' INTERSECT SELECT series_id FROM panel WHERE period >= DATE '2001-01-01'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -127,12 +129,25 @@ def _(t):
     return metrics.crps_ensemble(draws, ["metric", "target_quarter"])
 
 
-@query("metric_crps_normal")
+def _horner(cs) -> str:
+    return reduce(lambda acc, c: f"({acc}) * abs(z) + {c!r}", cs[1:], repr(cs[0]))
+
+
+UPPER = f"""CASE WHEN abs(z) < {num.CDF_TURN} THEN exp(-z * z / 2) * ({_horner(num.CDF_TOP)}) / ({_horner(num.CDF_BELOW)})
+    ELSE exp(-z * z / 2) / (abs(z) + 1 / (abs(z) + 2 / (abs(z) + 3 / (abs(z) + 4 / (abs(z) + 0.65))))) / 2.506628274631 END"""
+
+
+@query("metric_crps_normal", f"""
+    WITH s AS (SELECT metric, model, actual, pred, greatest(stddev_pop(pred - actual) OVER (PARTITION BY metric, model), 1e-6) AS sd FROM {OK}),
+    z AS (SELECT *, (actual - pred) / sd AS z FROM s), c AS (SELECT *, {UPPER} AS u FROM z)
+    SELECT metric, model, avg(sd * (z * (2 * CASE WHEN z > 0 THEN 1 - u ELSE u END - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))) AS crps
+    FROM c GROUP BY 1, 2""", "crps")
 def _(t):
-    pairs = metrics.complete(t.pairs)
-    sd = F.greatest(F.stddev_pop(F.col("pred") - F.col("actual")).over(Window.partitionBy("metric", "model")), F.lit(1e-6))
-    scored = pairs.withColumn("crps", num.crps_normal("actual", "pred", sd))
-    return scored.groupBy("metric", "model").agg(F.avg("crps").alias("crps"))
+    pairs, keys = metrics.complete(t.pairs), ["metric", "model"]
+    gap = F.stddev_pop(F.col("pred") - F.col("actual"))
+    sd = pairs.groupBy(*keys).agg(F.greatest(gap, F.lit(1e-6)).alias("sd"))
+    scored = pairs.join(sd, keys).withColumn("crps", num.crps_normal("actual", "pred", "sd"))
+    return scored.groupBy(*keys).agg(F.avg("crps").alias("crps"))
 
 
 @query("score_nowcasts", f"SELECT metric, model, avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) ** 2)) AS rmse, avg(hit) AS fda, count(*) AS n FROM {TURNS} GROUP BY 1, 2 HAVING count(*) >= 3", "mae rmse fda")

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from tidecast.operators import gaussian as g
 from tidecast.operators.transforms import MIN_STD
-from tidecast.session import cogroup, cut, spread
+from tidecast.session import cogroup, cut, discard, spread
 
-BLOCK, MAX_BLOCKS = 256, 1024
+BLOCK, LANES, MAX_LAGS = 256, 64, 5
 STATE = (
     "k int, r int, p int, start date, groups array<string>, a array<double>, q array<double>, z0 array<double>, "
     "v0 array<double>, zs array<double>, vs array<double>, size array<double>, loglik double, it int, done boolean"
@@ -39,9 +39,8 @@ def key_schema(df: DataFrame, keys: list[str]) -> str:
 def panel_blocks(panel: DataFrame, keys: list[str], groups: DataFrame | None = None, block_size: int = BLOCK) -> DataFrame:
     """Standardised series of each key in blocks of bounded number.
 
-    ``panel`` is dense. A key with very many series is spread over up to
-    ``MAX_BLOCKS`` rows, so it neither lands in one task nor floods the sum
-    over its blocks.
+    ``panel`` is dense. A key with very many series has as many rows as it
+    needs, each of about ``block_size`` series.
     """
     sd = F.stddev_pop("value")
     series = panel.groupBy(*keys, "series_id").agg(
@@ -56,9 +55,8 @@ def panel_blocks(panel: DataFrame, keys: list[str], groups: DataFrame | None = N
         series = series.withColumn("grp", F.lit(None).cast("string"))
     y = F.transform("cells", lambda c: (c["value"] - F.col("mu")) / F.col("sigma"))
     series = cut(series.select(*keys, "series_id", "grp", "mu", "sigma", "start", y.alias("y")), "series")
-    # blocks grow with the key only beyond MAX_BLOCKS of them
     sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    n_blocks = F.least(F.ceil(F.col("n") / block_size), F.lit(MAX_BLOCKS)).cast("int")
+    n_blocks = F.ceil(F.col("n") / block_size).cast("int")
     placed = series.join(sizes, keys).withColumn("n_blocks", n_blocks).withColumn(
         "block", F.pmod(F.xxhash64("series_id"), F.col("n_blocks")).cast("int")
     )
@@ -117,12 +115,25 @@ def _sums_per_block(blocks: DataFrame, state: DataFrame, keys: list[str]) -> Dat
 
     def work(batches):
         for pdf in batches:
-            yield pdf[keys].assign(sums=[_block_sums(_matrix(r.y), r.grp, r) for r in pdf.itertuples()])
+            sums = [_block_sums(_matrix(r.y), r.grp, r) for r in pdf.itertuples()]
+            yield pdf[[*keys, "block"]].assign(sums=sums)
 
-    joined = blocks.drop("start", "mu", "sigma", "series_id", "block", "n_blocks").join(
+    joined = blocks.drop("start", "mu", "sigma", "series_id", "n_blocks").join(
         state.select(*keys, "k", "r", "p", "groups", "zs", "vs", "size", "it"), keys
     )
-    return joined.mapInPandas(work, key_schema(blocks, keys) + ", sums array<double>")
+    parts = joined.mapInPandas(work, key_schema(blocks, keys) + ", block int, sums array<double>")
+    return _by_lane(parts, keys)
+
+
+def _by_lane(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of a key added up in ``LANES`` lanes first, so that no task meets all blocks of a wide key."""
+
+    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)
+        return pd.DataFrame([{**dict(zip(keys, key)), "sums": total}])
+
+    lane = F.pmod("block", F.lit(LANES)).alias("lane")
+    return parts.groupBy(*keys, lane).applyInPandas(add, key_schema(parts, keys) + ", sums array<double>")
 
 
 def _unpack(total: np.ndarray, k: int):
@@ -167,7 +178,10 @@ def _next_state(row: dict, total: np.ndarray, thresh: float, update: bool) -> di
 
 
 def _order(given: dict, factors: int, lags: int) -> tuple[int, int]:
-    return int(given.get("n_factors", factors)), min(int(given.get("n_lags", lags)), 5)
+    r, p = int(given.get("n_factors", factors)), int(given.get("n_lags", lags))
+    if p > MAX_LAGS:
+        raise ValueError(f"{p} lags asked for; the factor VAR has {MAX_LAGS} at most")
+    return r, p
 
 
 def _names(groups, grouped: bool) -> list[str]:
@@ -182,14 +196,20 @@ def fit_small(blocks: DataFrame, keys: list[str], factors: int, lags: int, max_i
             out = []
             for r in pdf.itertuples():
                 y, given = _matrix(r.y), {c: getattr(r, c) for c in keys}
-                y0 = np.nan_to_num(y)
                 n_factors, n_lags = _order(given, factors, lags)
-                state = _first_state(y0.T @ y0, len(y), n_factors, n_lags, r.start, _names([r.grp], grouped))
-                for _ in range(max_iter):
-                    state = _next_state(state, _block_sums(y, r.grp, SimpleNamespace(**state)), thresh, True)
-                    if state["done"]:
-                        break
-                last = _next_state(state, _block_sums(y, r.grp, SimpleNamespace(**state)), thresh, False)
+                try:
+                    if np.isinf(y).any():
+                        raise np.linalg.LinAlgError("a cell is infinite")
+                    y0 = np.nan_to_num(y)
+                    state = _first_state(y0.T @ y0, len(y), n_factors, n_lags, r.start, _names([r.grp], grouped))
+                    for _ in range(max_iter):
+                        state = _next_state(state, _block_sums(y, r.grp, SimpleNamespace(**state)), thresh, True)
+                        if state["done"]:
+                            break
+                    last = _next_state(state, _block_sums(y, r.grp, SimpleNamespace(**state)), thresh, False)
+                    last["it"] = state["it"]
+                except np.linalg.LinAlgError:
+                    continue  # a key that cannot be fitted has no states; other keys go on
                 out += [{**given, **state, "final": False}, {**given, **last, "final": True}]
             if out:
                 yield pd.DataFrame(out)
@@ -245,8 +265,10 @@ def fit_wide(blocks: DataFrame, keys: list[str], factors: int, lags: int, max_it
     """Steps over the blocks of all wide keys together; settled keys are set aside."""
     state = cut(initial_states(blocks, keys, factors, lags, grouped), "state")
     finished: DataFrame | None = None
-    for _ in range(max_iter):
-        state = cut(em_step(blocks, state, keys, thresh), "state")
+    for step in range(max_iter):
+        old, state = state, cut(em_step(blocks, state, keys, thresh), "state")
+        if step == 0:
+            discard(old)
         settled = state.filter("done")
         finished = settled if finished is None else finished.unionByName(settled)
         state = state.filter("not done")
@@ -254,7 +276,8 @@ def fit_wide(blocks: DataFrame, keys: list[str], factors: int, lags: int, max_it
             break
     basis = cut(state if finished is None else state.unionByName(finished), "state")
     # one more pass: the states under the final parameters
-    return basis, cut(em_step(blocks, basis, keys, thresh, update=False), "state")
+    last = em_step(blocks, basis, keys, thresh, update=False).withColumn("it", F.col("it") - 1)
+    return basis, cut(last, "state")
 
 
 @dataclass

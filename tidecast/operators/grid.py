@@ -59,11 +59,11 @@ def span_of(df: DataFrame, column: str) -> Column:
 
 
 def align_to_grid(
-    panel: DataFrame, start=None, end=None, keys: list[str] = SERIES, horizon: int = 0
+    panel: DataFrame, start=None, end=None, keys: list[str] = SERIES, horizon: int = 0, order: str = "value"
 ) -> DataFrame:
     """Put every series on every month of one shared grid; absent cells are NULL.
 
-    ``panel`` holds one row per cell. Each series becomes one row (its length
+    Of several rows for one cell the one with the greatest ``order`` wins. Each series becomes one row (its length
     is bounded by the calendar) and is unfolded again on the grid, so a series
     costs one shuffle and windows over ``keys`` reuse that partitioning. Pass
     the bounds when they are known: otherwise the panel is read once more.
@@ -74,8 +74,11 @@ def align_to_grid(
     hi = date_column(end) if end is not None else span["hi"]
     if horizon:
         hi = F.add_months(hi, horizon)
-    cells = F.map_from_entries(F.collect_list(F.struct("period", "value")))
-    series = panel.filter(F.col("value").isNotNull()).groupBy(*keys).agg(cells.alias("cells"))
+    rows = F.array_sort(F.collect_list(F.struct("period", F.col(order).alias("order"), F.col("value").alias("value"))))
+    series = panel.filter(F.col("value").isNotNull()).groupBy(*keys).agg(rows.alias("rows"))
+    last = F.filter("rows", lambda r, i: ~r["period"].eqNullSafe(F.get("rows", i + 1)["period"]))
+    cells = F.map_from_entries(F.transform(last, lambda r: F.struct(r["period"], r["value"])))
+    series = series.select(*keys, cells.alias("cells"))
     dense = F.transform(
         cal.months_between_inclusive(F.col("_lo"), F.col("_hi")),
         lambda p: F.struct(p.alias("period"), F.col("cells")[p].alias("value")),

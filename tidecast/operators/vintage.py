@@ -135,17 +135,21 @@ def freeze_first_release(feed: DataFrame, keys: list[str] = ("quarter", "metric"
 
 
 def merge_actuals(state: DataFrame, feed: DataFrame) -> DataFrame:
-    """One incremental step: known keys keep their first value, new keys are inserted."""
+    """One incremental step: known keys keep their first value, new keys are inserted.
+
+    The latest value is the one seen last, whichever side it comes from.
+    """
     keys = ["quarter", "metric"]
     fresh = freeze_first_release(feed).drop("base_changed")
     s, f = state.alias("s"), fresh.alias("f")
     joined = s.join(f, [F.col(f"s.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys], "full_outer")
+    newer = F.col("s.last_update_date").isNull() | (F.col("f.last_update_date") >= F.col("s.last_update_date"))
     return joined.select(
         *[F.coalesce(f"s.{k}", f"f.{k}").alias(k) for k in keys],
         F.coalesce("s.first_release_date", "f.first_release_date").alias("first_release_date"),
         F.coalesce("s.first_value", "f.first_value").alias("first_value"),
-        F.coalesce("f.latest_value", "s.latest_value").alias("latest_value"),
-        F.coalesce("f.last_update_date", "s.last_update_date").alias("last_update_date"),
+        F.when(newer, F.col("f.latest_value")).otherwise(F.col("s.latest_value")).alias("latest_value"),
+        F.greatest("f.last_update_date", "s.last_update_date").alias("last_update_date"),
         F.coalesce("s.base_year", "f.base_year").alias("base_year"),
     )
 

@@ -47,7 +47,8 @@ def vintage_systems(dated: DataFrame, vintages: Column, keys: list[str]) -> Data
 
 def run_backtest(
     systems: DataFrame, target: DataFrame, order: list[str], keys: list[str], models: tuple[str, ...] = MODELS,
-    r: int = 2, p: int = 1, max_iter: int = 10, draws: int = 30, ar_start: int = 0,
+    r: int = 2, p: int = 1, max_iter: int = 100, draws: int = 100,
+    beq_types: tuple[int, ...] = (bridge.ALL_TYPES,),
 ) -> DataFrame:
     """Nowcast of the vintage's own quarter by every model at every vintage, beside the actual.
 
@@ -72,10 +73,10 @@ def run_backtest(
     if "dfm" in models:
         made["dfm"] = at_quarter(dfm.dfm_fit(systems, fit_keys, r, p, max_iter).project([name]))
     if "bvar" in models:
-        made["bvar"] = at_quarter(bvar.bvar_fit(systems, order, fit_keys, tune=False, chains=1, draws=draws))
+        made["bvar"] = at_quarter(bvar.bvar_fit(systems, order, fit_keys, draws=draws))
     if "beq" in models:
         fcst = bridge.beq_fit(
-            systems, known.withColumnRenamed("value", "y"), order[:-1], fit_keys, types=(bridge.AR_OWN,)
+            systems, known.withColumnRenamed("value", "y"), order[:-1], fit_keys, types=beq_types
         )
         median = bridge.bridge_median(fcst, fit_keys)
         made["beq"] = median.filter(F.col("period") == at).select(*fit_keys, F.col("value").alias("pred"))

@@ -10,14 +10,13 @@ from tidecast.operators import bridge, bvar, dfm, ensemble, news, selection, tra
 from tidecast.session import cut
 
 
-def model_paths(system: DataFrame, order: list[str], keys: list[str], r: int = 2, p: int = 2, max_iter: int = 20,
-                draws: int = 50, beq_types: tuple[int, ...] = (bridge.ALL_TYPES,)) -> DataFrame:
+def model_paths(system: DataFrame, order: list[str], keys: list[str], r: int = 2, p: int = 2, max_iter: int = 100,
+                draws: int = 100, beq_types: tuple[int, ...] = (bridge.ALL_TYPES,)) -> DataFrame:
     """Path of the target under every model: (keys, model, period, value).
 
     ``system`` is dense and stationary with the target last in ``order``.
     """
     name = order[-1]
-    system = cut(system, "system")
     known = system.filter((F.col("series_id") == name) & cal.is_quarter_end(F.col("period"))).select(
         *keys, cal.quarter_start(F.col("period")).alias("quarter"), F.col("value").alias("y")
     )
@@ -33,12 +32,23 @@ def model_paths(system: DataFrame, order: list[str], keys: list[str], r: int = 2
     return out.filter(cal.is_quarter_end(F.col("period")))
 
 
+def extended(system: DataFrame, keys: list[str], months: int) -> DataFrame:
+    """``system`` with so many empty months behind its last one."""
+    last = system.groupBy(*keys).agg(F.max("period").alias("end"))
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(months)), lambda i: F.add_months("end", i))
+    rows = system.select(*keys, "series_id").distinct().join(last, keys)
+    rows = rows.select(*keys, "series_id", F.explode(ahead).alias("period"), F.lit(None).cast("double").alias("value"))
+    return system.select(*keys, "series_id", "period", "value").unionByName(rows)
+
+
 def run_nowcast(system: DataFrame, order: list[str], keys: list[str], **options) -> DataFrame:
     """Last observed quarter, the next one and the one after, per model and for the median of the models.
 
-    The quarter after the target's last observation is the nowcast.
+    The quarter after the target's last observation is the nowcast; a quarter
+    of empty months is added behind the system, so that the one after exists.
     """
     name = order[-1]
+    system = cut(extended(system, keys, 3), "system")
     last = system.filter((F.col("series_id") == name) & F.col("value").isNotNull()).groupBy(*keys).agg(
         F.max("period").alias("last_period"), F.max_by("value", "period").alias("last_actual")
     )
@@ -54,7 +64,7 @@ def run_nowcast(system: DataFrame, order: list[str], keys: list[str], **options)
 
 
 def run_news(old: DataFrame, new: DataFrame, target: str, keys: list[str], meta: DataFrame, r: int = 2, p: int = 1,
-             max_iter: int = 10) -> DataFrame:
+             max_iter: int = 100) -> DataFrame:
     """Fit on the old vintage, then attribute the move of the latest target period to series and groups.
 
     Both vintages are dense on the same months and scaled with the old moments.

@@ -58,7 +58,16 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``cut`` wrote for ``df``; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,11 +76,7 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     Adaptive coalescing goes by size and would run many small fits in one task;
     a stated number of partitions is left alone.
     """
-    spark = df.sparkSession
-    n, context = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext
-    if context.master.startswith("local"):
-        n = min(n, 2 * context.defaultParallelism)
-    return df.repartition(n, *keys)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def cogroup(left: DataFrame, right: DataFrame, keys: list[str]):

@@ -25,7 +25,7 @@ def _dated(df: DataFrame) -> DataFrame:
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
-    """Replace a table; readers see the old or the new one, never a part."""
+    """Replace a table. The old files go first, so a reader must not run at the same time."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
