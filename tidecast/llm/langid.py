@@ -14,8 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidecast.llm.sampling import first_of_each
 from tidecast.llm.words import slices
 
 SAMPLE_ROWS = 512  # training texts per language
@@ -37,8 +37,7 @@ def sample(docs: DataFrame, text: str, lang: str, rows: int = SAMPLE_ROWS) -> Da
     """``(lang, text)``: for each language the texts with the smallest hashes, equal texts once, nulls left out."""
     at = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text <> ''")
     codes = at.select("lang", F.xxhash64("text").alias("code")).distinct()
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("code"))
-    picked = codes.withColumn("nth", nth).filter(F.col("nth") <= rows).drop("nth")
+    picked = first_of_each(codes, "lang", ["code"], rows)
     whole = at.withColumn("code", F.xxhash64("text")).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
     return whole.join(F.broadcast(picked), ["lang", "code"]).dropDuplicates(["lang", "code"]).orderBy("lang", "code").select("lang", "text")
 

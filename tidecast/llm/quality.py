@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidecast.llm.sampling import first_of_each
 from tidecast.llm.words import slices, span_hashes, text_bytes, word_spans
 
 PASSAGE_WORDS = 48
@@ -132,8 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     weights are empty, and every score is 0.5.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1) AND id IS NOT NULL").distinct()
-    nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
-    picked = known.withColumn("nth", nth).filter(F.col("nth") <= rows).select("id", "y")
+    picked = first_of_each(known.withColumn("code", F.xxhash64("id")), "y", ["code", "id"], rows).select("id", "y")
     rows_of = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
