@@ -2,14 +2,18 @@
 
 A document is the set of its distinct shingles. Shingles are put in one global order, rare ones first (frequencies are
 counted over the whole corpus in a table of fixed size, so rarity is approximate, which only affects speed). Two sets
-with a similarity of at least t share a shingle in their prefixes of ``n - ceil(t n) + 1`` shingles.
+with a similarity of at least t share l shingles in their prefixes of ``n - ceil(t n) + l`` shingles; here l is one, and
+one more for every ``STEP`` shingles of the smaller set.
 
 1. Equal sets become one set; sets with the same size and prefix become one group, so copies cost nothing further.
-2. Groups that meet at a prefix shingle are chained in order of size (a chain breaks where sizes differ too much to be
-   similar). Chains that touch form a family; similar sets are always in one family. No pairs are formed here.
-3. The members of a family are verified with their whole sets. A family is cut into blocks of bounded size in order of
-   set size, and only blocks whose sizes allow the similarity meet. From two blocks comes a forest of verified links
-   at most, never their pairs: links that join what is joined already add nothing to the components.
+2. Groups that meet at a shingle few groups have are paired one by one. A pair is dropped if its sizes rule the
+   similarity out, if it shares fewer than l such shingles, or if the parity sketches of two single sets differ in more
+   bits than similar sets can differ in shingles. At a shingle of many groups no pairs are formed: the groups are chained
+   in order of size (a chain breaks where sizes differ too much), so what a pair shares there need not be counted.
+3. What pairs and chains connect is a family; similar sets are always in one. Families are expanded to their sets and
+   verified with all shingles. A family is cut into blocks of bounded size in order of set size, and only blocks whose
+   sizes allow the similarity meet. From two blocks comes a forest of verified links at most, never their pairs: links
+   that join what is joined already add nothing to the components.
 4. Components of the verified links are the classes.
 """
 
@@ -24,11 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidecast.llm.components import connected_components
+from tidecast.llm.tables import dense_counts
 from tidecast.llm.words import mix, shingle_hashes, slices, word_hashes
 from tidecast.session import cut
 
-TABLE_BITS = 20
-CHUNK = 4096
+TABLE_BITS = 22
+FEW = 32  # groups at a shingle that are still paired one by one
+STEP = 64
+SKETCH = 8  # 64-bit words of a parity sketch
+MEMBER_BITS = 23
 BLOCK_SHINGLES = 1 << 18
 
 
@@ -44,32 +52,14 @@ def document_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(owner, np.arange(len(at)))
 
 
+def _cells(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def shingle_frequencies(docs: DataFrame, text: str, n: int) -> np.ndarray:
     """Documents per cell of a table of ``2^TABLE_BITS`` cells into which shingles are hashed; its size is fixed."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                hashes, _ = document_sets(part.column("text"), n)
-                table += np.bincount((hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table))
-        if table.any():
-            rows = table.reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(rows))), pa.array([r.tobytes() for r in rows], pa.binary())], ["chunk", "counts"]
-            )
-
-    def add(key, rows):
-        total = np.zeros(CHUNK, np.int64)
-        for raw in rows.column("counts").to_pylist():
-            total += np.frombuffer(raw, np.int64)
-        return pa.table({"chunk": [key[0].as_py()], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, "chunk long, counts binary")
-    out = np.zeros((1 << TABLE_BITS) // CHUNK * CHUNK, np.int64)
-    for row in parts.groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect():  # 256 rows of 32 KB
-        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
-    return out
+    rows = docs.select(F.col(text).alias("text"))
+    return dense_counts(rows, 1 << TABLE_BITS, lambda part: _cells(document_sets(part.column("text"), n)[0], TABLE_BITS))
 
 
 def _code(values: np.ndarray, begin: np.ndarray, salt: int) -> np.ndarray:
@@ -91,48 +81,112 @@ def required(n, percent: int):
     return (n * percent + 99) // 100
 
 
+def _sketches(hashes: np.ndarray, begin: np.ndarray) -> list[pa.Array]:
+    """``SKETCH`` 64-bit words per set: each bit is the parity of the shingles that fall on it."""
+    total = np.zeros((len(begin) - 1, SKETCH), np.uint64)
+    some = np.flatnonzero(np.diff(begin))
+    spot = mix(hashes)
+    bit = np.uint64(1) << (spot & np.uint64(63))
+    word = (spot >> np.uint64(6)) % np.uint64(SKETCH)
+    for k in range(SKETCH if len(some) else 0):
+        total[some, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), begin[some])
+    return [pa.array(total[:, k].view(np.int64)) for k in range(SKETCH)]
+
+
 def describe(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """``docs`` with size, set code, prefix code and prefix of the text's shingle set (columns ``_n _set _group _prefix _text``)."""
+    """``docs`` with what is known of each text's shingle set.
+
+    ``_n`` its size, ``_set`` a code of the set, ``_group`` of size and prefix, ``_prefix``, the sketch ``_s0`` ..., and
+    ``_text``, a code of the text.
+    """
     spark = docs.sparkSession
     frequency = spark.sparkContext.broadcast(np.minimum(shingle_frequencies(docs, text, n), (1 << 31) - 1).astype(np.int32))
     keep = [c for c in docs.columns if c != text]
     rows = docs.select(*keep, F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
+    marks = [f"_s{k}" for k in range(SKETCH)]
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
         hashes, begin = document_sets(part.column("text"), n)
         size = np.diff(begin)
-        rank = frequency.value[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+        rank = frequency.value[_cells(hashes, TABLE_BITS)]
         owner = np.repeat(np.arange(len(size)), size)
         order = np.lexsort((hashes, rank, owner))
-        length = np.where(size > 0, size - required(size, percent) + 1, 0)
+        length = np.where(size > 0, np.minimum(size, size - required(size, percent) + 1 + size // STEP), 0)
         inside = np.arange(len(hashes)) - np.repeat(begin[:-1], size) < np.repeat(length, size)
         prefix = hashes[order][inside]
         ends = np.concatenate([[0], np.cumsum(length)])
-        sized = np.concatenate([[0], np.cumsum(length)])
-        group = _pair_code(np.bitwise_xor(prefix, mix(np.repeat(size, length).astype(np.uint64))), sized)
+        group = _code(prefix ^ mix(np.repeat(size, length).astype(np.uint64)), ends, 0x6A09E667)
         more = [
-            pa.array(size.astype(np.int64)), _pair_code(hashes, begin), group,
-            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(prefix.view(np.int64))),
+            pa.array(size.astype(np.int64)), _pair_code(hashes, begin), pa.array(group.view(np.int64)),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(prefix.view(np.int64))), *_sketches(hashes, begin),
         ]
         base = part.drop_columns(["text"])
-        return pa.RecordBatch.from_arrays([*base.columns, *more], [*base.schema.names, "_n", "_set", "_group", "_prefix"])
+        return pa.RecordBatch.from_arrays([*base.columns, *more], [*base.schema.names, "_n", "_set", "_group", "_prefix", *marks])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 yield one(part)
 
-    return rows.mapInArrow(run, f"{schema}, _n long, _set binary, _group binary, _prefix array<long>")
+    more = "_n long, _set binary, _group long, _prefix array<long>, " + ", ".join(f"{s} long" for s in marks)
+    return rows.mapInArrow(run, f"{schema}, {more}")
 
 
-def families(groups: DataFrame, percent: int) -> DataFrame:
-    """``(_group, family)`` of the groups ``(_group, _n, _prefix)`` that are chained to another one."""
-    at = groups.select("_group", "_n", F.explode("_prefix").alias("shingle"))
-    by_size = Window.partitionBy("shingle").orderBy("_n", "_group")
-    near = at.select("_group", "_n", F.lag("_group").over(by_size).alias("before"), F.lag("_n").over(by_size).alias("n_before"))
-    links = near.filter(F.col("n_before") * 100 >= F.col("_n") * percent).select(F.col("before").alias("a"), F.col("_group").alias("b"))
-    return connected_components(links.distinct()).select(F.col("node").alias("_group"), F.col("root").alias("family"))
+def group_links(groups: DataFrame, sets: DataFrame, percent: int, few: int = FEW) -> DataFrame:
+    """``(a, b)``: pairs and chain links of the groups ``(_group, _n, _prefix)``; ``sets`` are the distinct sets.
+
+    A group of the key is its prefix code and size together.
+    """
+    at = groups.select(F.struct("_group", "_n").alias("g"), F.explode("_prefix").alias("shingle"))
+    by_size = Window.partitionBy("shingle").orderBy("g._n", "g._group")
+    met = at.select(
+        "g", F.count("*").over(by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("m"),
+        F.collect_list("g").over(by_size.rowsBetween(1 - few, -1)).alias("before"),
+    ).filter("m > 1")
+    fits = lambda x: x["_n"] * 100 >= F.col("g._n") * percent
+    chain = met.filter(F.col("m") > few).select(F.try_element_at("before", F.lit(-1)).alias("a"), F.col("g").alias("b"))
+    chain = chain.filter(F.col("a").isNotNull() & (F.col("a._n") * 100 >= F.col("b._n") * percent))
+    pairs = met.filter(F.col("m") <= few).select(F.explode(F.filter("before", fits)).alias("a"), F.col("g").alias("b"))
+    least = 1 + F.floor(F.least("a._n", "b._n") / STEP)
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least).drop("shared")
+
+    marks = [f"_s{k}" for k in range(SKETCH)]
+    alone = sets.groupBy(F.struct("_group", "_n").alias("g")).agg(F.count("*").alias("sets"), *(F.first(s).alias(s) for s in marks))
+    one = lambda side: alone.select(F.col("g").alias(side), F.when(F.col("sets") == 1, F.struct(*marks)).alias(f"s{side}"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    apart = sum((F.bit_count(F.col(f"sa.{s}").bitwiseXOR(F.col(f"sb.{s}"))) for s in marks), F.lit(0))
+    # similar sets differ in at most (100 - percent) / (100 + percent) of both sizes together
+    close = apart * (100 + percent) <= (F.col("a._n") + F.col("b._n")) * (100 - percent)
+    kept = both.filter(F.coalesce(close, F.lit(True))).select("a", "b")
+    return kept.unionByName(chain.distinct())
+
+
+def families(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(_set, _n, _text, family)`` of all distinct sets that may be similar to another one."""
+    linked = connected_components(group_links(groups, sets, percent))
+    roots = linked.select(F.col("node._group").alias("_group"), F.col("node._n").alias("_n"), F.xxhash64("root").alias("family"))
+    members = sets.select("_set", "_n", "_group", "_text").join(roots, ["_group", "_n"], "left")
+    several = sets.groupBy("_group", "_n").agg(F.count("*").alias("sets")).filter("sets > 1").select("_group", "_n", F.lit(True).alias("shared"))
+    members = members.join(several, ["_group", "_n"], "left").filter("family IS NOT NULL OR shared")
+    return members.select("_set", "_n", "_text", F.coalesce("family", F.xxhash64("_group", "_n")).alias("family"))
+
+
+def texts_of(base: DataFrame, members: DataFrame) -> DataFrame:
+    """``(_text, text)``: one row for each text of ``members``, and some others.
+
+    A bit table of a fixed size keeps most other texts from being shuffled; what passes it by chance does no harm.
+    """
+    bits = dense_counts(members.select("_text"), 1 << MEMBER_BITS, lambda b: _cells(b.column("_text").to_numpy().view(np.uint64), MEMBER_BITS), None)
+    known = base.sparkSession.sparkContext.broadcast(np.packbits(bits > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = _cells(batch.column("_text").to_numpy().view(np.uint64), MEMBER_BITS)
+            yield batch.filter(pa.array((known.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1))
+
+    passed = base.select(F.xxhash64("text").alias("_text"), "text").mapInArrow(run, "_text long, text string")
+    return passed.groupBy("_text").agg(F.first("text").alias("text"))
 
 
 def _forest(sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -169,17 +223,18 @@ def _forest(sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tupl
 def verified_links(members: DataFrame, texts: DataFrame, n: int, percent: int, block_shingles: int) -> DataFrame:
     """``(a, b)``: links between sets that join all that are similar.
 
-    ``members (family, _set, _n, ...)`` are the distinct sets of families; ``texts`` has a text for each (``_set, text``).
+    ``members (family, _set, _n, _text)`` are the distinct sets of families; ``texts`` has their texts (``_text, text``).
     """
     in_order = Window.partitionBy("family").orderBy("_n", "_set")
-    placed = members.select("family", "_set", "_n", F.floor((F.sum("_n").over(in_order) - F.col("_n")) / block_shingles).alias("block"))
+    before = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    placed = members.select("family", "_set", "_n", "_text", F.floor(before / block_shingles).alias("block"))
     blocks = placed.groupBy("family", "block").agg(F.min("_n").alias("least"), F.max("_n").alias("most"))
     a, b = blocks.alias("a"), blocks.alias("b")
     fit = (F.col("a.family") == F.col("b.family")) & (F.col("a.block") <= F.col("b.block"))
     fit &= F.col("b.least") * percent <= F.col("a.most") * 100
     pairs = a.join(b, fit).select(F.col("a.family").alias("family"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
     ends = pairs.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = placed.join(texts, "_set").select("family", "block", "_set", "text").join(ends, ["family", "block"])
+    rows = placed.join(ends, ["family", "block"]).select("family", "i", "j", "block", "_set", "_text").join(texts, "_text")
 
     def verify(key, rows):
         i, j = key[1].as_py(), key[2].as_py()
@@ -212,18 +267,12 @@ def jaccard_classes(
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     seen = cut(describe(base, "text", n, percent), "jaccard-sets")
-    sets = seen.filter("_n > 0").groupBy("_set").agg(
-        F.first("_n").alias("_n"), F.first("_group").alias("_group"), F.first("_prefix").alias("_prefix"), F.min("_text").alias("_text")
-    )
+    some, marks = seen.filter("_n > 0"), [f"_s{k}" for k in range(SKETCH)]
+    sets = some.groupBy("_set").agg(*(F.first(c).alias(c) for c in ["_n", "_group", *marks]), F.min("_text").alias("_text"))
     sets = cut(sets, "jaccard-distinct")
-    groups = sets.groupBy("_group").agg(F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.count("*").alias("n_sets"))
-    groups = cut(groups, "jaccard-groups")
-    chained = families(groups, percent)
-    alone = groups.filter("n_sets > 1").join(chained, "_group", "left_anti").select("_group", F.col("_group").alias("family"))
-    members = cut(sets.drop("_prefix").join(chained.unionByName(alone), "_group"), "jaccard-members")
-    texts = base.withColumn("_text", F.xxhash64("text")).join(members.select("_set", "_text"), "_text")
-    texts = texts.groupBy("_set").agg(F.min("text").alias("text"))
-    links = cut(verified_links(members, texts, n, percent, block_shingles), "jaccard-links")
+    groups = some.groupBy("_group", "_n").agg(F.first("_prefix").alias("_prefix"))
+    members = cut(families(groups, sets, percent), "jaccard-members")
+    links = cut(verified_links(members, texts_of(base, members), n, percent, block_shingles), "jaccard-links")
     roots = connected_components(links).select(F.col("node").alias("_set"), "root")
     labelled = seen.select("doc_id", "_text", "_n", "_set").join(roots, "_set", "left").withColumn("root", F.coalesce("root", "_set"))
     least = labelled.filter("_n > 0").groupBy("root").agg(F.min("doc_id").alias("component"))

@@ -13,6 +13,12 @@ from tidecast.llm.words import slices
 CHUNK = 1 << 14
 
 
+def _small(counts: np.ndarray) -> tuple[int, bytes]:
+    """Counts in the smallest unsigned integers that hold them, and their width in bytes."""
+    small = counts.astype(np.min_scalar_type(int(counts.max())))
+    return small.itemsize, small.tobytes()
+
+
 def dense_counts(rows: DataFrame, cells: int, codes_of: Callable[[pa.RecordBatch], np.ndarray], text: str | None = "text") -> np.ndarray:
     """How often ``codes_of`` gives each code below ``cells`` over all batches of ``rows``.
 
@@ -28,19 +34,18 @@ def dense_counts(rows: DataFrame, cells: int, codes_of: Callable[[pa.RecordBatch
                 np.add(table, np.bincount(codes_of(part), minlength=len(table)), out=table)
         grid = table.reshape(chunks, CHUNK)
         for k in np.flatnonzero(grid.any(1)).tolist():
-            small = grid[k].astype(np.min_scalar_type(int(grid[k].max())))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k]), pa.array([small.itemsize]), pa.array([small.tobytes()], pa.binary())], ["chunk", "width", "counts"]
-            )
+            width, raw = _small(grid[k])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([width]), pa.array([raw], pa.binary())], ["chunk", "width", "counts"])
 
     def add(key, part):
         total = np.zeros(CHUNK, np.int64)
         for width, raw in zip(part.column("width").to_pylist(), part.column("counts").to_pylist()):
             total += np.frombuffer(raw, f"u{width}").astype(np.int64)
-        return pa.table({"chunk": [key[0].as_py()], "counts": pa.array([total.tobytes()], pa.binary())})
+        width, raw = _small(total)
+        return pa.table({"chunk": [key[0].as_py()], "width": [width], "counts": pa.array([raw], pa.binary())})
 
-    parts = rows.mapInArrow(count, "chunk long, width long, counts binary")
+    schema = "chunk long, width long, counts binary"
     out = np.zeros(chunks * CHUNK, np.int64)
-    for row in parts.groupBy("chunk").applyInArrow(add, "chunk long, counts binary").toLocalIterator():
-        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
+    for row in rows.mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect():
+        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], f"u{row['width']}")
     return out[:cells]
