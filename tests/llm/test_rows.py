@@ -70,7 +70,7 @@ def test_shards_odd_rows(spark):
 @given(st.lists(st.text(max_size=60), max_size=6))
 def test_encoder_equals_the_tokenizer(texts):
     mine = packing.encoder(PATH)
-    texts = [*texts, "it's 12½ Ⅷ東京  \n\n x\x1c\x85　y ", "a<|endoftext|>b", "  'll"]
+    texts = [*texts, *(t.encode("utf-8", "replace").decode("latin-1") for t in texts), "don't 'LL x\xa0\x1d\x85 ½ª'd", "".join(map(chr, range(256))), "it's 12½ Ⅷ東京  \n\n x\x1c\x85　y ", "a<|endoftext|>b", "  'll"]
     for text, got in zip(texts, mine.encode(texts)):
         assert np.frombuffer(got, "<u4").tolist() == mine.tokenizer.encode(text, add_special_tokens=False).ids
 
