@@ -26,7 +26,7 @@ from tidecast.session import cut
 SIZE = 1024
 END_ID = 2
 PART_PIECES = 1 << 15
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 #: How the tokenizer splits a text before it merges bytes, and the string it treats as one special token.
 #: Below are the letters, numbers and blanks of Latin-1, for which the standard expressions are faster.
 SPLIT = r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
