@@ -178,3 +178,32 @@ def test_class_lm_odd_rows(spark):
     unlearned = classlm.score_texts(docs, docs["n_chars"] != -1).filter("held_out").collect()
     assert all(r["train_tokens"] == got.first()["train_tokens"] or r["n_known"] >= 0 for r in unlearned)
     assert classlm.score_texts(empty_docs(spark), F.col("doc_id") == 8).count() == 0
+
+
+def test_gains_are_those_of_single_moves():
+    rng = np.random.default_rng(0)
+    n, k = 30, 4
+    pairs = rng.poisson(1.5, (n + 1, n + 1)).astype(float)
+    pairs[3] *= 20
+    names = np.concatenate([rng.integers(0, k, n), [k + 1]])
+    names[5] = k  # not in a class yet
+
+    def table(names):
+        member = np.eye(k + 2)[names]
+        return member.T @ pairs @ member
+
+    apart, member = pairs - np.diag(np.diag(pairs)), np.eye(k + 2)[names]
+    sides = [(*np.nonzero(x), x[np.nonzero(x)].astype(int)) for x in ((apart @ member)[:n], (apart.T @ member)[:n])]
+    got = classlm.gains(table(names), *sides, np.diag(pairs)[:n], names[:n], k)
+    for w in range(n):
+        after = [classlm._bigram_likelihood(table(np.where(np.arange(n + 1) == w, c, names))) for c in range(k)]
+        assert np.allclose(got[w] - got[w, 0], np.array(after) - after[0])
+
+
+def test_rare_words_have_classes(spark):
+    rng = np.random.default_rng(4)
+    tongues = [[f"{p}{i}" for i in range(60)] for p in "abc"]
+    rows = [(i, " ".join(rng.choice(tongues[i % 3], 30)), i % 7 == 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(4)
+    got = classlm.score_texts(df, df["held"], clustered=9, classes=6).filter("held_out").collect()  # 9 of 180 words are dealt first
+    assert sum(r["score"] for r in got) > 0.85 * sum(r["base_score"] for r in got)

@@ -1,13 +1,17 @@
 """Language model over word classes: exchange clustering, class trigrams and word emissions.
 
-Words are bytes outside blanks with A-Z lowered; each text ends with one end token. The most frequent ``CLUSTERED`` words
-are put into ``CLASSES`` classes such that class bigrams predict best: words are moved one by one to the class that
-raises the likelihood most. All other words form one class, and the end is a class of its own. The probability of a
-token is that of its class after the two classes before, times that of the word in its class; both are smoothed, and
-the class of the other words keeps room for one unseen word, as the unigram base does.
-
-Counts come from every training token. The whole vocabulary never meets in one place: texts lie in blocks of bounded
-size, each block asks for the counts of its own words, and gets them back by a join on the word.
+Words are bytes outside blanks with A-Z lowered; each text ends with one end token. Every training word is in one of
+``CLASSES`` classes such that class bigrams predict best; the end is a class of its own, and so is an unseen word as a
+history. The ``CLUSTERED`` most frequent words are dealt first, one by one on the driver; all others then go to the class
+that raises the likelihood most, and sweeps over all words follow until the likelihood settles.
+
+Neither the vocabulary nor its counts meet in one place. Words lie in buckets by hash, texts in blocks of bounded size. In
+a sweep each block gets the classes of its own words, counts its words by the class before and after, and sends the counts
+to the buckets, which move their words. Only the class table is broadcast. Words of a bucket move by the same table, so the
+new likelihood is computed before a sweep counts; one that lowers it is undone, and fewer words move at a time.
+
+The probability of a token is that of its class after the two classes before, times that of the word in its class. Each
+class keeps room for one unseen word, as the unigram base does, and an unseen word has the sum of these rooms.
 """
 
 from __future__ import annotations
@@ -16,15 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidecast.llm.tables import dense_counts
-from tidecast.llm.words import slices, word_hashes
-from tidecast.session import cut
+from tidecast.llm.tables import dense_chunks, dense_counts, dense_sum
+from tidecast.llm.words import mix, slices, word_hashes
+from tidecast.session import cut, discard
 
-CLUSTERED, CLASSES, SWEEPS = 1022, 64, 8
+CLUSTERED, CLASSES, SWEEPS = 1022, 64, 8  # the first words and their sweeps only give the start
+SETTLED = 1e-4  # natural log-likelihood per token that a sweep must gain
+MOST_DAMPING = 64
 BLOCK_BYTES = 16 << 20
 PRIOR = 20.0  # weight of the shorter history, in observations
 
@@ -47,40 +53,302 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, block long")
 
 
-def _tallies(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    words, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
-    return words, np.bincount(at, np.concatenate([n for _, n in parts]), len(words)).astype(np.int64)
+#: Rows of all steps: arrays of a bucket of words, of a block of texts, or of both.
+PACKED = "bucket long, block long, a binary, b binary, c binary"
+TABLE, STATE, MOVED = -1, -1, -2  # as a bucket; as a block
 
 
-def block_words(rows: DataFrame) -> DataFrame:
-    """``(block, word, n)``: the distinct words of each block and how often its training texts hold them (0 included)."""
+def _row(bucket: int, block: int, *arrays: np.ndarray) -> tuple:
+    return (bucket, block, *(x.tobytes() for x in arrays), *[None] * (3 - len(arrays)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
 
-        def out() -> pa.RecordBatch:
-            words, n = _tallies(parts)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), now)), pa.array(words.view(np.int64)), pa.array(n)], ["block", "word", "n"])
+def _packed(rows: list[tuple]) -> pa.Table:
+    kinds = [("bucket", pa.int64()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
+    columns = list(zip(*rows)) if rows else [[]] * 5
+    return pa.table([pa.array(x, t) for x, (_, t) in zip(columns, kinds)], [n for n, _ in kinds])
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in the smallest unsigned integers that hold them, whose width is put before them."""
+    kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
+    return np.concatenate([np.array([kind.itemsize], np.uint8), x.astype(kind).view(np.uint8)])
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
 
-        for batch in batches:
-            for part in slices(batch):
-                words, at = word_hashes(part.column("text"))
-                sizes = np.diff(at)
-                blocks = np.repeat(part.column("block").to_numpy(), sizes)
-                train = np.repeat(~np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), bool), sizes)
-                for block in np.unique(blocks).tolist():
-                    if block != now and parts:
-                        yield out()
-                        parts = []
-                    now, mine = block, blocks == block
-                    own, at_own = np.unique(words[mine], return_inverse=True)
-                    parts.append((own, np.bincount(at_own, train[mine], len(own)).astype(np.int64)))
-                    if len(parts) > 16:
-                        parts = [_tallies(parts)]
-        if parts:
-            yield out()
-
-    return rows.select("block", "held_out", "text").mapInArrow(run, "block long, word long, n long")
+
+def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    """Number of the bucket of each word; it does not fall where hashes rise."""
+    return ((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def block_counts(rows: DataFrame, buckets: int) -> DataFrame:
+    """Per block its distinct words by bucket (``a``) with their training counts (``b``, 0 included), and as bucket
+    ``TABLE`` its training bigrams: how many each word has (``a``), the words after it (``b``) and counts (``c``).
+
+    In bigrams words are numbered in order of their hash, and the end comes last.
+    """
+
+    def count(key, part):
+        words, codes, counts, block = [], [], [], key[0].as_py()
+        for batch in part.to_batches():
+            for piece in slices(batch):
+                own, at = word_hashes(piece.column("text"))
+                train = ~np.asarray(piece.column("held_out").to_numpy(zero_copy_only=False), bool)
+                words.append((own, at, train))
+        known = np.unique(np.concatenate([own for own, _, _ in words]))
+        total, n = np.zeros(len(known), np.int64), len(known) + 1
+        for own, at, train in words:
+            now, one, _, begin, inside = _histories(own, at, known, np.arange(len(known)), n, n - 1)
+            learned = np.repeat(train, np.diff(begin))
+            total += np.bincount(now[inside & learned], minlength=len(known))
+            code, k = np.unique(one[learned] * n + now[learned], return_counts=True)
+            codes.append(code)
+            counts.append(k)
+        code, at = np.unique(np.concatenate(codes), return_inverse=True)
+        many = np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
+        out = [_row(TABLE, block, np.bincount(code // n, minlength=n).astype(np.int32), (code % n).astype(np.int32), _small(many))]
+        home = bucket_of(known, buckets)
+        for b in np.unique(home).tolist():
+            i, j = np.searchsorted(home, [b, b + 1])
+            out.append(_row(b, block, known[i:j], total[i:j]))
+        return _packed(out)
+
+    return rows.select("block", "held_out", "text").groupBy("block").applyInArrow(count, PACKED)
+
+
+def bucket_words(counted: DataFrame) -> DataFrame:
+    """Per bucket its training words, totals and classes (0) as block ``STATE``; per block, where its words are (-1: not
+    learned from)."""
+
+    def gather(key, part):
+        lists = [np.frombuffer(x, np.uint64) for x in part.column("a").to_pylist()]
+        words, at = np.unique(np.concatenate(lists), return_inverse=True)
+        total = np.bincount(at, np.concatenate([np.frombuffer(x, np.int64) for x in part.column("b").to_pylist()]), len(words)).astype(np.int64)
+        spot = np.where(total > 0, np.cumsum(total > 0) - 1, -1).astype(np.int32)
+        bucket = key[0].as_py()
+        out = [_row(bucket, STATE, words[total > 0], total[total > 0], np.zeros(int((total > 0).sum()), np.uint16))]
+        begin = np.cumsum([0, *map(len, lists)])
+        for k, block in enumerate(part.column("block").to_pylist()):
+            out.append(_row(bucket, block, spot[at[begin[k] : begin[k + 1]]], lists[k]))
+        return _packed(out)
+
+    return counted.filter(F.col("bucket") != TABLE).groupBy("bucket").applyInArrow(gather, PACKED)
+
+
+def _state(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row = part.filter(pc.equal(part.column("block"), STATE)).to_pylist()[0]
+    return np.frombuffer(row["a"], np.uint64), np.frombuffer(row["b"], np.int64), np.frombuffer(row["c"], np.uint16)
+
+
+def start(state: DataFrame, known: np.ndarray, names: np.ndarray, other: int) -> DataFrame:
+    """``state`` with the classes ``names`` of the words ``known``, and ``other`` for the rest."""
+
+    def put(key, part):
+        words, total, _ = _state(part)
+        mine = np.full(len(words), other, np.uint16)
+        if len(known) and len(words):
+            spot = np.minimum(np.searchsorted(known, words), len(known) - 1)
+            mine = np.where(known[spot] == words, names[spot], other).astype(np.uint16)
+        return _packed([_row(key[0].as_py(), STATE, words, total, mine)])
+
+    return state.groupBy("bucket").applyInArrow(put, PACKED)
+
+
+def send(spots: DataFrame, state: DataFrame, words: bool = False) -> DataFrame:
+    """To every block the classes of its own words: spots and classes, or (``words``) the known words, totals and classes."""
+
+    def give(key, part):
+        _, total, mine = _state(part)
+        out = []
+        for block, a, b in zip(*(part.column(c).to_pylist() for c in ("block", "a", "b"))):
+            if block == STATE:
+                continue
+            spot = np.frombuffer(a, np.int32)
+            if words:
+                at = spot >= 0
+                out.append(_row(key[0].as_py(), block, np.frombuffer(b, np.uint64)[at], total[spot[at]], mine[spot[at]]))
+            else:
+                out.append(_row(key[0].as_py(), block, spot, np.append(mine, np.uint16(0))[spot]))
+        return _packed(out)
+
+    return spots.unionByName(state).groupBy("bucket").applyInArrow(give, PACKED)
+
+
+def neighbours(sent: DataFrame, bigrams: DataFrame, size: int) -> DataFrame:
+    """Per block and bucket how often its words (``a`` entries each) stand before (code ``c``), after (``size + c``) class
+    ``c`` or after themselves (``2 * size``; left out of the others); as bucket ``TABLE`` the class bigrams."""
+    width = 2 * size + 1
+
+    def count(key, part):
+        rows = sorted(part.to_pylist(), key=lambda r: r["bucket"])  # TABLE comes first
+        block, (bigram, *lists) = key[0].as_py(), rows
+        lefts, right, many = np.frombuffer(bigram["a"], np.int32), np.frombuffer(bigram["b"], np.int32), _wide(bigram["c"])
+        n = len(lefts) - 1
+        left = np.repeat(np.arange(n + 1), lefts)
+        mine = np.concatenate([*(np.frombuffer(r["b"], np.uint16) for r in lists), [size - 1]]).astype(np.int64)
+        table = np.bincount(mine[left] * size + mine[right], many, size * size).astype(np.int64)
+        out = [_row(TABLE, block, table)]
+        same = left == right
+        codes = np.concatenate([left[~same] * width + mine[right[~same]], right[~same] * width + size + mine[left[~same]], left[same] * width + 2 * size])
+        weight = np.concatenate([many[~same], many[~same], many[same]])
+        if (n + 1) * width <= 1 << 24:
+            dense = np.bincount(codes, weight, (n + 1) * width)
+            code = np.flatnonzero(dense)
+            k = dense[code].astype(np.int64)
+        else:
+            code, at = np.unique(codes, return_inverse=True)
+            k = np.bincount(at, weight, len(code)).astype(np.int64)
+        begin = 0
+        for r in lists:
+            spot = np.frombuffer(r["a"], np.int32)
+            i, j = np.searchsorted(code, [begin * width, (begin + len(spot)) * width])
+            each = np.bincount(code[i:j] // width - begin, minlength=len(spot))
+            live = each > 0
+            entry = np.concatenate([spot[live].astype(np.int32), each[live].astype(np.int32)])
+            out.append(_row(r["bucket"], block, entry, _small(code[i:j] % width), _small(k[i:j])))
+            begin += len(spot)
+        return _packed(out)
+
+    return sent.unionByName(bigrams).groupBy("block").applyInArrow(count, PACKED)
+
+
+def class_table(counted: DataFrame, size: int) -> np.ndarray:
+    """Class bigrams of all blocks, added up in a few tasks first."""
+
+    def add(key, part):
+        return _packed([_row(TABLE, 0, sum(np.frombuffer(x, np.int64) for x in part.column("a").to_pylist()))])
+
+    few = counted.filter(F.col("bucket") == TABLE).groupBy(F.pmod("block", F.lit(16))).applyInArrow(add, PACKED).collect()
+    return sum((np.frombuffer(r["a"], np.int64) for r in few), np.zeros(size * size, np.int64)).reshape(size, size).astype(float)
+
+
+def gains(b: np.ndarray, right: tuple, left: tuple, own: np.ndarray, old: np.ndarray, classes: int) -> np.ndarray:
+    """Likelihood (up to a term of the word) with each word in each class, all other words where they are.
+
+    ``b`` has the class bigrams with every word in its class ``old``; ``right`` and ``left`` are ``(word, class, count)``
+    of the tokens after and before, themselves (``own``) left out.
+    """
+    m, size = len(old), len(b)
+    out, c, w = np.zeros((m, classes)), np.arange(classes), np.arange(m)
+    stay = np.zeros(m)
+    tables, sides = (b, b.T), []
+    for t, (word, at, n) in zip(tables, (right, left)):
+        full = np.zeros((m, size))
+        full[word, at] = n
+        sides.append(full)
+        rows = t[:classes].T  # by the neighbour, by the class of the word
+        some = np.arange(16)[:, None, None]
+        step = _f(rows + some) - _f(rows)
+        more = step[np.minimum(n, 15), at]
+        large = n > 15
+        more[large] = _f(rows[at[large]] + n[large, None]) - _f(rows[at[large]])
+        if len(word):
+            begin = np.flatnonzero(np.diff(word, prepend=-1))
+            out[word[begin]] += np.add.reduceat(more, begin, axis=0)
+        before = t[old[word], at]
+        stay += np.bincount(word, np.where(at == old[word], 0, _f(before) - _f(before - n)), m)
+    r, l = sides
+    for t, x, y in ((b, r, l), (b.T, l, r)):  # the word itself is not in the cells of its old class
+        cell, less = t[:classes][:, old].T, y[:, :classes]
+        out -= _f(cell + x[w, old][:, None]) - _f(cell)
+        out += _f(cell - less + x[w, old][:, None]) - _f(cell - less)
+    corner = b[c, c]
+    rc, lc = r[:, :classes], l[:, :classes]
+    out += _f(corner + rc + lc + own[:, None]) - _f(corner + rc) - _f(corner + lc) + _f(corner)
+    total = (r.sum(1) + own, l.sum(1) + own)
+    for n, margin in zip(total, (b.sum(1), b.sum(0))):
+        out -= _f(margin[:classes] + n[:, None]) - _f(margin[:classes])
+        stay -= _f(margin[old]) - _f(margin[old] - n)
+    cell = b[old, old]
+    stay += _f(cell) - _f(cell - r[w, old] - l[w, old] - own)
+    at_home = old < classes
+    out[w[at_home], old[at_home]] = stay[at_home]
+    return out
+
+
+def move(counted: DataFrame, state: DataFrame, b: np.ndarray, classes: int, turn: int, damping: int) -> DataFrame:
+    """``state`` with words in their best classes, and how many moved as block ``MOVED``.
+
+    Of the words that have a class one in ``damping`` may move, others in each turn.
+    """
+    size = len(b)
+    table = state.sparkSession.sparkContext.broadcast(b)
+    width = 2 * size + 1
+
+    def go(key, part):
+        words, total, mine = _state(part)
+        new, moved = mine.copy(), 0
+        cells = []
+        for block, a, code, k in zip(*(part.column(c).to_pylist() for c in ("block", "a", "b", "c"))):
+            if block != STATE:
+                entry = np.frombuffer(a, np.int32)
+                spot, each = np.split(entry, 2)
+                cells.append((np.repeat(spot.astype(np.int64), each) * width + _wide(code), _wide(k)))
+        if cells and len(words):
+            code, at = np.unique(np.concatenate([x for x, _ in cells]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([k for _, k in cells]), len(code)).astype(np.int64)
+            may = (mine >= classes) | (mix(words ^ mix(np.full(len(words), turn + 1, np.uint64))) % np.uint64(damping) == 0)
+            for i in range(0, len(words), 2048):
+                j = min(i + 2048, len(words))
+                x, y = np.searchsorted(code, [i * width, j * width])
+                word, kind, n = code[x:y] // width - i, code[x:y] % width, count[x:y]
+                own = np.zeros(j - i)
+                own[word[kind == 2 * size]] = n[kind == 2 * size]
+                after, before = kind < size, (kind >= size) & (kind < 2 * size)
+                old = mine[i:j].astype(np.int64)
+                score = gains(table.value, (word[after], kind[after], n[after]), (word[before], kind[before] - size, n[before]), own, old, classes)
+                best = score.argmax(1)
+                w = np.arange(j - i)
+                better = (old >= classes) | (score[w, best] > score[w, np.minimum(old, classes - 1)] + 1e-6)
+                go_on = better & may[i:j] & (best != old)
+                new[i:j] = np.where(go_on, best, old)
+                moved += int(go_on.sum())
+        bucket = key[0].as_py()
+        return _packed([_row(bucket, STATE, words, total, new), _row(bucket, MOVED, np.array([moved]))])
+
+    entries = counted.filter(F.col("bucket") != TABLE)
+    return entries.unionByName(state).groupBy("bucket").applyInArrow(go, PACKED)
+
+
+def _bigram_likelihood(b: np.ndarray) -> float:
+    return float(_f(b).sum() - _f(b.sum(1)).sum() - _f(b.sum(0)).sum())
+
+
+def settle(spots: DataFrame, state: DataFrame, bigrams: DataFrame, classes: int, tokens: int) -> DataFrame:
+    """Classes of all words: those without a class get one, then sweeps until one gains less than ``SETTLED`` a token.
+
+    A sweep that does not raise the likelihood is undone and made again with twice the damping, up to ``MOST_DAMPING``.
+    """
+    spark, size = state.sparkSession, classes + 2
+
+    def counts(of: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        made = cut(neighbours(send(spots, of), bigrams, size), "lm-neighbours")
+        return made, class_table(made, size)
+
+    counted, b = counts(state)
+    best, damping, turn = None, 1, 0
+    while damping <= MOST_DAMPING:
+        made = cut(move(counted, state, b, classes, turn, damping), "lm-classes")
+        moved = sum(np.frombuffer(r["a"], np.int64)[0] for r in made.filter(F.col("block") == MOVED).select("a").collect())
+        if not moved and damping == 1:
+            break
+        new = made.filter(F.col("block") == STATE)
+        new_counted, new_b = counts(new)
+        now = _bigram_likelihood(new_b)
+        turn += 1
+        if best is None or now > best:
+            gained = None if best is None else now - best
+            discard(counted)
+            state, counted, b, best = new, new_counted, new_b, now
+            if gained is not None and gained * damping < SETTLED * tokens:
+                break
+        else:
+            discard(new_counted)
+            damping *= 2
+        spark._jvm.System.gc()  # lets the cleaner drop the shuffles of past sweeps
+    return state
 
 
 def _histories(words: np.ndarray, at: np.ndarray, known: np.ndarray, names: np.ndarray, other: int, end: int) -> tuple[np.ndarray, ...]:
@@ -178,24 +446,35 @@ def score_texts(docs: DataFrame, held_out, *, doc_id: str = "doc_id", text: str
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)`` for every row of ``docs``.
 
     ``held_out`` is a boolean column; its rows are scored but not learned from. A null, empty or blank text is one end
-    token. Scores are log10 probabilities; ``base_score`` is the unigram model with one added to each count. Ties among
-    frequent words are broken by hash. Without training rows all tokens are unseen.
+    token. Scores are log10 probabilities; ``base_score`` is the unigram model with one added to each count. All training
+    words are in classes; ``clustered`` is how many of them are dealt first. Without training rows all tokens are unseen.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = cut(blocks_of(rows), "lm-blocks")
     train = rows.filter(~F.col("held_out"))
-    by_word = Window.partitionBy("word")
-    asked = block_words(rows).withColumn("total", F.sum("n").over(by_word)).filter("total > 0")
-    asked = cut(asked.select("block", "word", "total", (F.row_number().over(by_word.orderBy("block")) == 1).alias("once")), "lm-words")
-    vocabulary = asked.filter("once").select("word", "total")
-    sums = vocabulary.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
+    buckets = max(16, rows.select("block").distinct().count())
+    counted = cut(block_counts(rows, buckets), "lm-words")
+    placed = cut(bucket_words(counted), "lm-places")
+    spots, vocabulary = placed.filter(F.col("block") != STATE), placed.filter(F.col("block") == STATE)
+
+    def most_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                words, total = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                top = np.lexsort((words, -total))[:clustered]
+                sums = np.zeros((2, len(top)), np.int64)
+                if len(top):
+                    sums[:, 0] = total.sum(), len(total)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (words[top], total[top], *sums)], ["word", "total", "tokens", "types"])
+
+    some = cut(vocabulary.mapInArrow(most_frequent, "word long, total long, tokens long, types long"), "lm-frequent")
+    sums = some.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     ends = train.count()
     tokens, distinct = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
 
-    frequent = vocabulary.orderBy(F.desc("total"), "word").limit(clustered).collect()  # CLUSTERED rows
+    frequent = some.orderBy(F.desc("total"), "word").limit(clustered).collect()  # CLUSTERED rows
     codes = np.array([r["word"] for r in frequent], np.int64).view(np.uint64)
-    total = np.array([r["total"] for r in frequent], np.int64)
     order = np.argsort(codes)
     known, m = codes[order], len(codes)
     rank = np.empty(m, np.int64)
@@ -209,36 +488,55 @@ def score_texts(docs: DataFrame, held_out, *, doc_id: str = "doc_id", text: str
     k = min(classes, max(m, 1))
     names = exchange(pairs, m, k)
     other, end, size = k, k + 1, k + 2
-    own = names[rank] if m else np.zeros(0, np.int64)
-
-    def triples_of(part: pa.RecordBatch) -> np.ndarray:
-        now, one, two, _, _ = _histories(*word_hashes(part.column("text")), known, own, other, end)
-        return (two * size + one) * size + now
-
-    steps = transitions(dense_counts(train.select("text"), size**3, triples_of).reshape(size, size, size).astype(float))
-    held = np.zeros(size)  # tokens of each class, and below its types
-    types = np.zeros(size)
-    np.add.at(held, names[:m], total)
-    np.add.at(types, names[:m], 1)
-    held[other], types[other] = tokens - ends - total.sum(), distinct - (ends > 0) - m + 1
-    held[end], types[end] = ends, 1
-    model = spark.sparkContext.broadcast((known, own, steps, held + types))  # of a size fixed by CLUSTERED and CLASSES
-
-    def score(key, left, right):
-        known, own, steps, mass = model.value
-        word = right.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(word)
-        word, count = word[order], right.column("total").to_numpy()[order]
+    state = cut(start(vocabulary, known, names[rank] if m else np.zeros(0, np.int64), other), "lm-start")
+    if m:
+        state = settle(spots, state, counted.filter(F.col("bucket") == TABLE), k, tokens)
+    words = cut(send(spots, state, words=True), "lm-classes-of-blocks")
+
+    def block_words(right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = sorted(right.to_pylist(), key=lambda r: r["bucket"])
+        return tuple(np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in parts)]) for c, kind in (("a", np.uint64), ("b", np.int64), ("c", np.uint16)))
+
+    def triples(left, right):
+        word, _, mine = block_words(right)
+        table = np.zeros(size**3, np.int64)
+        for batch in left.to_batches():
+            for part in slices(batch):
+                now, one, two, _, _ = _histories(*word_hashes(part.column("text")), word, mine.astype(np.int64), other, end)
+                table += np.bincount((two * size + one) * size + now, minlength=size**3)
+        return dense_chunks(table)
+
+    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.zeros((2, size), np.int64)
+            for b, c in zip(batch.column("b").to_pylist(), batch.column("c").to_pylist()):
+                total, mine = np.frombuffer(b, np.int64), np.frombuffer(c, np.uint16)
+                held += np.stack([np.bincount(mine, total, size), np.bincount(mine, minlength=size)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(held[0]), pa.array(held[1])], ["class", "held", "types"])
+
+    learned = train.select("block", "text").groupBy("block").cogroup(words.groupBy("block"))
+    steps = transitions(dense_sum(learned.applyInArrow(triples, "chunk long, width long, counts binary"), size**3).reshape(size, size, size).astype(float))
+    mass = np.ones(size)  # tokens, types and the room of an unseen word
+    for r in state.mapInArrow(by_class, "class long, held long, types long").groupBy("class").agg(F.sum("held").alias("held"), F.sum("types").alias("types")).collect():
+        mass[r["class"]] += r["held"] + r["types"]
+    mass[end] = ends + 1
+    unseen = np.log10((10.0 ** steps[:, :, :k] / mass[:k]).sum(2) + 10.0 ** steps[:, :, other])
+    model = spark.sparkContext.broadcast((steps, unseen, mass))  # of a size fixed by CLASSES
+
+    def score(left, right):
+        steps, unseen, mass = model.value
+        word, count, mine = block_words(right)
         out = []
         for batch in left.to_batches():
             for part in slices(batch):
                 words, at = word_hashes(part.column("text"))
-                now, one, two, begin, inside = _histories(words, at, known, own, other, end)
+                now, one, two, begin, inside = _histories(words, at, word, mine.astype(np.int64), other, end)
                 c = np.full(len(now), ends, np.int64)
                 spot = np.minimum(np.searchsorted(word, words), max(len(word) - 1, 0))
                 c[inside] = np.where(word[spot] == words, count[spot], 0) if len(word) else 0
                 base = np.add.reduceat(np.log10((c + 1) / (tokens + distinct + 1)), begin[:-1])
-                model_score = np.add.reduceat(steps[two, one, now] + np.log10((c + 1) / mass[now]), begin[:-1])
+                token = np.where(now == other, unseen[two, one], steps[two, one, now] + np.log10((c + 1) / mass[now]))
+                model_score = np.add.reduceat(token, begin[:-1])
                 n = np.diff(begin)
                 out.append(pa.table({
                     "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": n,
@@ -252,7 +550,6 @@ def score_texts(docs: DataFrame, held_out, *, doc_id: str = "doc_id", text: str
     empty = pa.table({"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "train_tokens": [], "base_score": [], "score": [], "perplexity": []})
 
     def one_block(left, right):
-        return score(None, left, right) or empty
+        return score(left, right) or empty
 
-    texts, words = rows.groupBy("block"), asked.select("block", "word", "total").groupBy("block")
-    return texts.cogroup(words).applyInArrow(one_block, schema)
+    return rows.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(one_block, schema)
