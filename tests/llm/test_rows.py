@@ -183,6 +183,18 @@ def test_language_judgement_is_the_smallest_output():
     assert [len(c.compress(text.encode())) for c in mine] == sizes and sizes[0] < sizes[1]
 
 
+def test_language_margin_does_not_depend_on_length(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    known = langid.fit_dictionaries(docs.filter(~held))
+    rng = np.random.default_rng(0)
+    words = " ".join(r["text"] for r in docs.filter(held & (F.col("lang") == "en")).collect()).split()
+    rows = [(n, " ".join(rng.choice(words, n))) for n in (150, 3_000, 1_700_000)]  # the last has about 10 MB
+    rows += [(-n, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), n))) for n in (400, 1_000, 20_000, 1_000_000)]
+    for r in langid.identify(spark.createDataFrame(rows, "n long, text string"), known).select("n", "lang_pred", "accepted").collect():
+        assert r["accepted"] == (r["n"] > 0) and (r["n"] < 0 or r["lang_pred"] == "en")
+
+
 def test_language_odd_rows(spark):
     docs = odd_docs(spark)
     got = langid.identify(docs, langid.fit_dictionaries(docs)).collect()

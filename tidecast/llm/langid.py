@@ -1,9 +1,10 @@
 """Language of a text as the one whose dictionary lets zstandard write it in the fewest bytes.
 
 Each language has a raw-content dictionary: lines of a bounded sample of its training texts. Texts and lines are reduced
-to lower-case letters and single blanks, so layout, digits and shouting do not matter. A text is compressed whole, once
-per language. The prediction is the language with the smallest output; it is rejected when the second smallest is
-narrowly larger.
+to lower-case letters and single blanks, so layout, digits and shouting do not matter. The whole text is compressed in
+windows of bounded size, once per language, each window by itself: a dictionary saves a bounded number of bytes, so the
+share it saves would fall with the length of one output. The prediction is the language with the smallest sum; it is
+rejected when the second smallest is narrowly larger.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ SAMPLE_CHARS = 4096  # of each of them
 DICTIONARY_BYTES = 1 << 17
 MOST_LANGUAGES = 512
 LEVEL = 6
-NARROW = 0.001
+WINDOW_BYTES = 1 << 14
+NARROW = 0.05  # held-out texts of 100 letters and more at sf0.01 have 0.065 at least, texts of no language 0.046 at most
 UNKNOWN = "und"
 
 
@@ -80,6 +82,13 @@ def _compressors(dictionaries: dict[str, bytes], level: int) -> list:
     return _COMPRESSORS[key]
 
 
+def sizes_of(raw: bytes, compressors: list, window: int = WINDOW_BYTES) -> list[int]:
+    """Bytes of output of each compressor, over windows of equal size and at most ``window`` bytes."""
+    n = max(-(-len(raw) // window), 1)
+    parts = [raw[len(raw) * k // n : len(raw) * (k + 1) // n] for k in range(n)]
+    return [sum(len(c.compress(x)) for x in parts) for c in compressors]
+
+
 def judge(sizes: list[int], names: list[str], narrow: float) -> tuple[str, float, bool]:
     """Language, score and acceptance from the compressed sizes; a tie goes to the first name and is rejected."""
     best = min(sizes)
@@ -106,7 +115,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text: str = "te
                 out = []
                 for clean in letters(part.column(text)).to_pylist():
                     raw = clean.encode()
-                    out.append(judge([len(c.compress(raw)) for c in pressed], names, narrow) if raw and names else (UNKNOWN, 0.0, False))
+                    out.append(judge(sizes_of(raw, pressed), names, narrow) if raw and names else (UNKNOWN, 0.0, False))
                 lang, score, accepted = zip(*out)
                 more = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "lang_pred", "score", "accepted"])
