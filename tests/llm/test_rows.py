@@ -4,6 +4,7 @@ import collections
 import hashlib
 import io
 import math
+import textwrap
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidecast.llm import langid, licences, packing, quality, warc
+from tidecast.llm import langid, licence_texts, licences, packing, quality, warc
 from tidecast.llm.sharding import communication_matrix, hypergeometric, shuffle_into_shards
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -266,6 +267,27 @@ def test_licences(spark):
     assert licences.scan(empty_docs(spark)).count() == 0
 
 
+def test_licence_texts(spark):
+    texts = {name: bodies for name, bodies in licence_texts.TEXTS.items()}
+    wrap = "\n".join(textwrap.wrap(" ".join(texts["MIT"][0].split()), 50))
+    rows = [
+        (1, "code\n# Copyright 2020 Foo\n" + wrap.replace("\n", "\n# ") + "\nmore code " * 30, {("MIT", 2)}),
+        (2, "x = 1\n\n" + texts["Apache-2.0"][0].replace("\n", "\n * "), {("Apache-2.0", 2)}),
+        (3, "Copyright (c) 2020 Foo Inc. All rights reserved.", {("all-rights-reserved", 0)}),
+        (4, "This file is licensed under the Apache License, Version 2.0. See LICENSE for details.", {("Apache-2.0", 0)}),
+        (5, "text\nThis software is released under\nthe MIT License.", {("MIT", 1)}),
+        (6, "a b c " * 40 + " ".join(texts["GPL-3.0"][1].split()) + " d e f" * 50, {("GPL-3.0", 0)}),
+        (7, "intro\n" * 5 + texts["GPL-2.0"][2], {("GPL-2.0", 5)}),
+        (8, "It is released under the usual terms of the software, without any rights.", set()),
+        (9, "\n\n".join([*["Released under the MIT License to all of them here and there."] * 2, texts["BSD-3-Clause"][0]]), {("MIT", 0), ("MIT", 2), ("BSD-3-Clause", 4)}),
+    ]
+    got = collections.defaultdict(set)
+    for r in licences.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect():
+        assert 0.8 <= r["dice"] <= 1
+        got[r["doc_id"]].add((r["licence"], r["line"]))
+    assert {i: got[i] for i, _, _ in rows} == {i: e for i, _, e in rows}
+
+
 class Held(io.BytesIO):
     def read_at(self, n, at):
         return self.getvalue()[at : at + n]
