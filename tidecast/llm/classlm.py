@@ -16,6 +16,7 @@ class keeps room for one unseen word, as the unigram base does, and an unseen wo
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -290,20 +291,26 @@ def move(counted: DataFrame, state: DataFrame, b: np.ndarray, classes: int, turn
             code, at = np.unique(np.concatenate([x for x, _ in cells]), return_inverse=True)
             count = np.bincount(at, np.concatenate([k for _, k in cells]), len(code)).astype(np.int64)
             may = (mine >= classes) | (mix(words ^ mix(np.full(len(words), turn + 1, np.uint64))) % np.uint64(damping) == 0)
-            for i in range(0, len(words), 2048):
-                j = min(i + 2048, len(words))
-                x, y = np.searchsorted(code, [i * width, j * width])
-                word, kind, n = code[x:y] // width - i, code[x:y] % width, count[x:y]
-                own = np.zeros(j - i)
+            some = np.flatnonzero(may)  # only these are looked at
+            place = np.full(len(words), -1)
+            place[some] = np.arange(len(some))
+            spot, kinds = np.divmod(code, width)
+            live = may[spot]
+            spot, kinds, count = place[spot[live]], kinds[live], count[live]
+            for i in range(0, len(some), 2048):
+                at = some[i : i + 2048]
+                x, y = np.searchsorted(spot, [i, i + len(at)])
+                word, kind, n = spot[x:y] - i, kinds[x:y], count[x:y]
+                own = np.zeros(len(at))
                 own[word[kind == 2 * size]] = n[kind == 2 * size]
                 after, before = kind < size, (kind >= size) & (kind < 2 * size)
-                old = mine[i:j].astype(np.int64)
+                old = mine[at].astype(np.int64)
                 score = gains(table.value, (word[after], kind[after], n[after]), (word[before], kind[before] - size, n[before]), own, old, classes)
                 best = score.argmax(1)
-                w = np.arange(j - i)
+                w = np.arange(len(at))
                 better = (old >= classes) | (score[w, best] > score[w, np.minimum(old, classes - 1)] + 1e-6)
-                go_on = better & may[i:j] & (best != old)
-                new[i:j] = np.where(go_on, best, old)
+                go_on = better & (best != old)
+                new[at] = np.where(go_on, best, old)
                 moved += int(go_on.sum())
         bucket = key[0].as_py()
         return _packed([_row(bucket, STATE, words, total, new), _row(bucket, MOVED, np.array([moved]))])
@@ -347,7 +354,8 @@ def settle(spots: DataFrame, state: DataFrame, bigrams: DataFrame, classes: int,
         else:
             discard(new_counted)
             damping *= 2
-        spark._jvm.System.gc()  # lets the cleaner drop the shuffles of past sweeps
+        gc.collect()  # with the next line: lets the cleaner drop the shuffles of past sweeps
+        spark._jvm.System.gc()
     return state
 
 
