@@ -9,7 +9,8 @@ from tidecast.catalog.registry import query
 from tidecast.catalog.scores import OK, XY, HORIZON, xy
 from tidecast.operators import metrics, vintage
 from tidecast.plans import backtest, daily, nowcast, prepare
-from tidecast.session import cut
+from tidecast.session import cut, scratch_path
+from tidecast.sources import versioned
 
 E = ["entity_id"]
 
@@ -60,7 +61,7 @@ def _(t):
     return vintage.merge_actuals(state, feed.filter(~early))
 
 
-@query("run_daily", f"""
+@query("day_tables", f"""
     WITH h AS (SELECT *, {HORIZON} AS horizon FROM {OK})
     SELECT metric, model, horizon, avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) ** 2)) AS rmse, count(*) AS n FROM h
     GROUP BY GROUPING SETS ((model), (model, horizon), (metric, model), ())""", "mae rmse")
@@ -72,4 +73,81 @@ def _(t):
     # half of the log is rerun: the rerun rows replace the ones they repeat
     rerun = log.filter(F.col("run_date") > day)
     stale = log.withColumn("value", F.when(F.col("run_date") > day, F.col("value") + 1).otherwise(F.col("value")))
-    return daily.run_daily(stale, rerun, state, feed.filter(F.col("seen_date") > day))["scores"]
+    return daily.day_tables(stale, rerun, state, feed.filter(F.col("seen_date") > day))["scores"]
+
+
+# --- the daily job on a store ---------------------------------------------------------------
+
+#: What the simple models say at every vintage: the target known by then, three quarters of each model and their median.
+DAILY = """
+    WITH k AS (SELECT g.entity_id, v.vintage_date, g.quarter, g.value FROM growth g, vintages v, (SELECT min(period) AS lo, max(period) AS hi FROM months) s
+      WHERE g.value IS NOT NULL AND CAST(g.quarter + INTERVAL 2 MONTH AS DATE) BETWEEN lo AND hi AND last_day(CAST(g.quarter + INTERVAL 2 MONTH AS DATE)) + 45 <= v.vintage_date),
+    l AS (SELECT *, lag(value) OVER (PARTITION BY entity_id, vintage_date ORDER BY quarter) AS lv FROM k),
+    f AS (SELECT entity_id, vintage_date, max(quarter) AS q, arg_max(value, quarter) AS last, avg(value) AS mean, regr_slope(value, lv) AS b, regr_intercept(value, lv) AS a, count(lv) AS n FROM l GROUP BY 1, 2),
+    p AS (SELECT entity_id, vintage_date, q, unnest([0, 1, 2]) AS step, last, mean, CASE WHEN n >= 4 THEN a + b * last END AS one, CASE WHEN n >= 4 THEN a + b * (a + b * last) END AS two FROM f),
+    e AS (SELECT *, unnest(['naive', 'mean', 'ar1']) AS model FROM p),
+    m AS (SELECT entity_id, vintage_date AS run_date, CAST(q + 3 * step * INTERVAL 1 MONTH AS DATE) AS quarter, model,
+            CASE WHEN step = 0 OR model = 'naive' THEN last WHEN model = 'mean' THEN mean WHEN step = 1 THEN one ELSE two END AS value FROM e),
+    r AS (SELECT * FROM m WHERE value IS NOT NULL UNION ALL SELECT entity_id, run_date, quarter, 'ensemble', median(value) FROM m WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+    dlog AS (SELECT run_date, year(quarter) || '-Q' || quarter(quarter) AS target_quarter, entity_id AS metric, model, value FROM r)"""
+
+
+def daily_store(t):
+    """A store after two runs: one that catches up on all vintages, and one for the last of them, again.
+
+    The releases of the first half come with the first run, the rest with the second.
+    """
+    root, keys, feed = scratch_path(t.spark, "store"), [*E, "vintage_date"], cut(t.feed, "feed")
+    systems = cut(backtest.vintage_systems(models.dated_system(t), t.vintages, E), "systems")
+    day = F.lit("2000-06-30").cast("date")
+    last = systems.agg(F.max("vintage_date")).scalar()
+    options = {"run_date": F.col("vintage_date"), "metric": F.col("entity_id"), "models": nowcast.SIMPLE}
+    # the first run sees the last vintage with a wrong system; the second one replaces its rows
+    early = systems.withColumn("value", F.when(F.col("vintage_date") == last, F.col("value") + 1).otherwise(F.col("value")))
+    daily.run_daily(t.spark, root, early, models.SYSTEM, keys, feed.filter(F.col("seen_date") <= day), **options)
+    daily.run_daily(t.spark, root, systems.filter(F.col("vintage_date") == last), models.SYSTEM, keys, feed.filter(F.col("seen_date") > day), **options)
+    return root
+
+
+@query("run_daily", f"""{DAILY},
+    j AS (SELECT d.run_date, d.target_quarter, d.metric, d.model, d.value AS pred, a.first_value AS actual FROM dlog d JOIN actuals a ON a.quarter = d.target_quarter AND a.metric = d.metric WHERE a.first_value IS NOT NULL),
+    h AS (SELECT *, {HORIZON} AS horizon FROM j)
+    SELECT metric, model, horizon, avg(abs(actual - pred)) AS mae, sqrt(avg((actual - pred) ** 2)) AS rmse, count(*) AS n FROM h
+    GROUP BY GROUPING SETS ((model), (model, horizon), (metric, model), ())""", "mae rmse")
+def _(t):
+    return versioned.read_table(t.spark, daily_store(t), "scores")
+
+
+@query("run_daily_log", f"{DAILY} SELECT * FROM dlog", "value")
+def _(t):
+    return versioned.read_table(t.spark, daily_store(t), "log")
+
+
+@query("run_daily_actuals", "SELECT * FROM actuals", "first_value:3 latest_value:3")
+def _(t):
+    return versioned.read_table(t.spark, daily_store(t), "actuals")
+
+
+@query("run_daily_dashboard", f"""{DAILY},
+    k2 AS (SELECT *, CAST(run_date AS VARCHAR) || target_quarter AS k FROM dlog),
+    w AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY run_date DESC, model, target_quarter) AS rn FROM dlog)
+    SELECT 'latest_actual' AS section, metric, NULL AS model, max(quarter) AS quarter, CAST(NULL AS DATE) AS run_date, CAST(NULL AS DOUBLE) AS value, arg_max(first_value, quarter) AS actual FROM actuals GROUP BY 2
+    UNION ALL SELECT 'current_nowcast', metric, model, arg_max(target_quarter, k), max(run_date), arg_max(value, k), NULL FROM k2 GROUP BY 2, 3
+    UNION ALL SELECT 'backcast', x.metric, x.model, x.target_quarter, NULL, x.estimate, a.first_value
+    FROM (SELECT metric, model, target_quarter, arg_max(value, run_date) AS estimate FROM dlog GROUP BY 1, 2, 3) x
+    JOIN (SELECT metric, max(quarter) AS quarter, arg_max(first_value, quarter) AS first_value FROM actuals GROUP BY 1) a ON a.metric = x.metric AND a.quarter = x.target_quarter
+    UNION ALL SELECT 'recent', w.metric, w.model, w.target_quarter, w.run_date, w.value, a.first_value FROM w LEFT JOIN actuals a ON a.quarter = w.target_quarter AND a.metric = w.metric WHERE w.rn <= 30""", "value actual")
+def _(t):
+    return versioned.read_table(t.spark, daily_store(t), "dashboard")
+
+
+@query("run_daily_models")
+def _(t):
+    root, keys = scratch_path(t.spark, "store"), [*E, "vintage_date"]
+    day = F.array(F.lit("2001-02-15").cast("date"))
+    systems = backtest.vintage_systems(models.dated_system(t), day, E)
+    daily.run_daily(
+        t.spark, root, systems, models.SYSTEM, keys, t.feed, run_date=F.col("vintage_date"), metric=F.col("entity_id"),
+        models=(*nowcast.FITTED, *nowcast.SIMPLE),
+    )
+    return versioned.read_table(t.spark, root, "log")

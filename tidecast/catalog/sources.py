@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidecast.catalog.panels import REGIONS
 from tidecast.catalog.registry import query
 from tidecast.operators import grid
-from tidecast.session import scratch_path
-from tidecast.sources import payloads, readers, releases
+from tidecast.session import cut, scratch_path
+from tidecast.sources import landed, payloads, readers, releases, versioned
 from tidecast.streaming import jobs
 
 WIDE = ", ".join(f"max(CASE WHEN series_id = '{r}' THEN value END) AS \"{r}\"" for r in REGIONS)
@@ -40,46 +42,128 @@ def _(t):
 
 @query("sink_parquet", "SELECT vintage_date, entity_id, series_id, period, value FROM vpanel")
 def _(t):
-    path = scratch_path(t.spark, "vintages")
-    readers.write_parquet(t.vpanel, path, ["vintage_date"])
-    return t.spark.read.parquet(path)
+    # an older version is replaced; its reader goes on with what it opened
+    root = scratch_path(t.spark, "vintages")
+    stale = t.vpanel.filter(F.col("vintage_date") < F.lit("2000-01-01").cast("date"))
+    versioned.publish(t.spark, root, {"vpanel": stale}, partition_by={"vpanel": ["vintage_date"]})
+    versioned.publish(t.spark, root, {"vpanel": t.vpanel}, partition_by={"vpanel": ["vintage_date"]})
+    return versioned.read_table(t.spark, root, "vpanel")
+
 
+BOARD = "SELECT metric, model, avg(abs(actual - pred)) AS mae FROM pairs GROUP BY 1, 2"
 
-@query("sink_csv", "SELECT metric, model, avg(abs(actual - pred)) AS mae FROM pairs GROUP BY 1, 2", "mae")
+
+@query("sink_csv", BOARD, "mae")
 def _(t):
-    path = scratch_path(t.spark, "board")
+    root = scratch_path(t.spark, "board")
     board = t.pairs.groupBy("metric", "model").agg(F.avg(F.abs(F.col("actual") - F.col("pred"))).alias("mae"))
-    readers.write_csv(board, path)
-    return t.spark.read.csv(path, header=True, schema="metric string, model string, mae double")
+    versioned.publish(t.spark, root, {"board": board.limit(0)}, formats={"board": "csv"})
+    versioned.publish(t.spark, root, {"board": board}, formats={"board": "csv"})
+    return versioned.read_table(t.spark, root, "board")
 
 
-@query("scan_json_records", "SELECT l_orderkey, CAST(l_shipdate AS DATE) AS date, l_quantity AS quantity, l_returnflag AS flag FROM lineitem")
+@query("read_old_version", f"SELECT *, 'old' AS version FROM ({BOARD}) WHERE model <> 'mean' UNION ALL SELECT *, 'new' FROM ({BOARD})", "mae")
 def _(t):
-    line = t.raw("lineitem").select("l_orderkey", F.struct(
-        F.to_date("l_shipdate").cast("string").alias("date"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag")
-    ).alias("r"))
-    # one payload per order, of either shape; an order has a handful of lines
-    packed = line.groupBy("l_orderkey").agg(F.collect_list("r").alias("r")).select(
-        "l_orderkey",
-        F.when(F.col("l_orderkey") % 2 == 0, F.to_json("r")).otherwise(F.to_json(F.struct(F.col("r").alias("value")))).alias("payload"),
+    """Both kept versions of a table; the second one was published after the first had been opened."""
+    root = scratch_path(t.spark, "board")
+    board = cut(t.pairs.groupBy("metric", "model").agg(F.avg(F.abs(F.col("actual") - F.col("pred"))).alias("mae")), "board")
+    versioned.publish(t.spark, root, {"board": board.filter("model <> 'mean'")})
+    old = versioned.read_table(t.spark, root, "board")
+    versioned.publish(t.spark, root, {"board": board})
+    new = versioned.read_table(t.spark, root, "board")
+    return old.withColumn("version", F.lit("old")).unionByName(new.withColumn("version", F.lit("new")))
+
+
+# --- landed files ---------------------------------------------------------------------------
+# Files are rendered from the tables first, some of their records broken; the scans start from the files.
+
+
+def land(rows, label: str, column: str = "value") -> str:
+    """A file per value of the other columns, which become folders. A row is a file's whole text."""
+    folders = [c for c in rows.columns if c != column]
+    path = scratch_path(rows.sparkSession, label)
+    rows.repartition(*folders).write.partitionBy(*folders).text(path, lineSep="\n")
+    return path
+
+
+def from_folder(rejects):
+    """Rejected records with the folder of their file, whose own name is Spark's."""
+    return rejects.withColumn("file", F.substring_index("file", "/", 1))
+
+
+# line items by parts of the order keys: which records of a part are broken, and how
+JSON_PARTS = """
+    WITH j AS (SELECT CAST(floor(l_orderkey / 2000) AS BIGINT) AS part, l_orderkey, l_linenumber, (l_orderkey * 7 + l_linenumber) % 31 AS m, CAST(l_shipdate AS DATE) AS date, l_quantity, l_returnflag, l_extendedprice FROM lineitem)"""
+
+
+def json_parts(t):
+    line = t.raw("lineitem").select(
+        F.floor(F.col("l_orderkey") / 2000).alias("part"), "l_orderkey", "l_linenumber",
+        ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 31).alias("m"), F.to_date("l_shipdate").cast("string").alias("date"),
+        F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("price"),
     )
-    return payloads.json_records(packed, "date date, quantity double, flag string")
+    return line
 
 
-@query("scan_json_rates", """
-    SELECT l_orderkey, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice ELSE l_quantity END AS value
-    FROM lineitem WHERE l_linenumber <> 3""")
+def record_files(t):
+    whole = F.to_json(F.struct(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), "date", "quantity", "flag"))
+    broken = {
+        0: F.format_string('{"order":%d,"line":%d,"date":"2001-13-45"}', "l_orderkey", "l_linenumber"),
+        1: F.format_string('{"order":%d,"line":%d,"date":"2001-01-02","quantity":"many"}', "l_orderkey", "l_linenumber"),
+        2: F.format_string('{"order":%d,"line":%d,', "l_orderkey", "l_linenumber"),
+        3: F.format_string('{"order":%d,"line":%d,"flag":"{}"}', "l_orderkey", "l_linenumber"),
+    }
+    record = reduce(lambda rest, k: F.when(F.col("m") == k, broken[k]).otherwise(rest), broken, whole)
+    packed = json_parts(t).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", record.alias("r")))).alias("s"))
+    body = F.concat(F.lit("["), F.array_join("s.r", ","), F.lit("]"))
+    return land(packed.select("part", F.when(F.col("part") % 2 == 0, body).otherwise(F.concat(F.lit('{"value":'), body, F.lit("}"))).alias("value")), "records")
+
+
+RECORD_FIELDS = {"order": "bigint", "line": "int", "date": "date", "quantity": "double", "flag": "string"}
+
+
+@query("scan_json_records", f"""{JSON_PARTS}
+    SELECT CAST(part AS INTEGER) AS part, l_orderkey AS "order", l_linenumber AS line, date, l_quantity AS quantity, l_returnflag AS flag FROM j WHERE m > 3""")
+def _(t):
+    return landed.json_objects(t.spark, record_files(t), RECORD_FIELDS, ["date"]).rows.drop("file")
+
+
+@query("scan_json_records_rejects", f"""{JSON_PARTS}
+    SELECT 'part=' || part AS file, CASE m WHEN 0 THEN 'date is no date' WHEN 1 THEN 'quantity is no double' WHEN 2 THEN 'not a record' ELSE 'no date' END AS reason,
+      CASE m WHEN 0 THEN '{{"order":' || l_orderkey || ',"line":' || l_linenumber || ',"date":"2001-13-45"}}' WHEN 1 THEN '{{"order":' || l_orderkey || ',"line":' || l_linenumber || ',"date":"2001-01-02","quantity":"many"}}'
+        WHEN 2 THEN '{{"order":' || l_orderkey || ',"line":' || l_linenumber || ',' ELSE '{{"order":' || l_orderkey || ',"line":' || l_linenumber || ',"flag":"{{}}"}}' END AS record
+    FROM j WHERE m <= 3""")
 def _(t):
+    rejects = landed.json_objects(t.spark, record_files(t), RECORD_FIELDS, ["date"]).rejects
+    # how a number is written differs between engines, and offsets with it: offsets are checked in the tests
+    return from_folder(rejects).select("file", "reason", F.regexp_replace("record", ",+$", ",").alias("record"))
+
+
+def rate_files(t):
     even = F.col("l_linenumber") % 2 == 0
-    rate = F.struct(
-        F.to_date("l_shipdate").cast("string").alias("date"),
-        F.when(F.col("l_linenumber") == 3, "n/a").when(even, F.col("l_extendedprice").cast("string")).alias("overnight"),
-        F.when(F.col("l_linenumber") == 3, "-").otherwise(F.col("l_quantity").cast("string")).alias("1_week"),
-    )
-    rates = t.raw("lineitem").select("l_orderkey", rate.alias("r")).groupBy("l_orderkey").agg(F.collect_list("r").alias("rate"))
-    nested = F.to_json(F.struct(F.struct("rate").alias("data")))
-    shape = F.when(F.col("l_orderkey") % 3 == 0, F.to_json("rate")).when(F.col("l_orderkey") % 3 == 1, F.to_json(F.struct("rate"))).otherwise(nested)
-    return payloads.json_rates(rates.select("l_orderkey", shape.alias("payload")), ["overnight", "1_week"])
+    gap = F.col("l_linenumber") == 3
+    record = F.to_json(F.struct(
+        F.when(F.col("m") == 0, "??").otherwise(F.col("date")).alias("date"), F.col("l_orderkey").alias("note"),
+        F.when(gap, "n/a").when(even, F.format_string("%,.2f%%", "price")).alias("overnight"),
+        F.when(gap, "-").otherwise(F.col("quantity").cast("string")).alias("1_week"),
+    ))
+    packed = json_parts(t).groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(record)), ", "), F.lit("]")).alias("list"))
+    rate, data = F.concat(F.lit('{"rate": '), "list", F.lit("}")), F.concat(F.lit('{"data": {"rate": '), "list", F.lit("}}"))
+    shape = F.when(F.col("part") % 3 == 0, F.col("list")).when(F.col("part") % 3 == 1, rate).otherwise(data)
+    return land(packed.select("part", shape.alias("value")), "rates")
+
+
+@query("scan_json_rates", f"""{JSON_PARTS}
+    SELECT CAST(part AS INTEGER) AS part, date, CASE WHEN l_linenumber % 2 = 0 THEN round(l_extendedprice, 2) ELSE l_quantity END AS value FROM j WHERE l_linenumber <> 3 AND m <> 0""")
+def _(t):
+    return landed.dated_rates(t.spark, rate_files(t), ["overnight", "1_week"]).rows.drop("file")
+
+
+@query("scan_json_rates_rejects", f"""{JSON_PARTS}
+    SELECT 'part=' || part AS file, CASE WHEN m = 0 THEN 'no date' ELSE 'no number' END AS reason, count(*) AS n FROM j WHERE l_linenumber = 3 OR m = 0 GROUP BY 1, 2""")
+def _(t):
+    rejects = from_folder(landed.dated_rates(t.spark, rate_files(t), ["overnight", "1_week"]).rejects)
+    return rejects.groupBy("file", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("scan_observations", """
@@ -127,21 +211,36 @@ def _(t):
     return titled_orders(t).select("o_orderkey", releases.reference_period(F.col("title")).alias("p")).select("o_orderkey", "p.*")
 
 
-def calendars(t):
-    """Calendar texts with a bounded number of events each, some of them broken."""
-    stamp = F.date_format("release_date", "yyyyMMdd")
-    whole = F.concat(F.lit("BEGIN:VEVENT\r\nDTSTART:"), stamp, F.lit("T000000Z\r\nSUMMARY:"), F.col("title"), F.lit("\r\nEND:VEVENT\r\n"))
-    broken = F.concat(F.lit("BEGIN:VEVENT\r\nSUMMARY:"), F.col("title"), F.lit("\r\nEND:VEVENT\r\n"))
-    block = F.when(F.col("o_orderkey") % 7 == 0, broken).otherwise(whole)
-    # a calendar holds the events of a hundred consecutive orders
-    return titled_orders(t).groupBy(F.floor(F.col("o_orderkey") / 100).alias("part")).agg(
-        F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.array_join(F.collect_list(block), ""), F.lit("END:VCALENDAR\r\n")).alias("value")
-    )
+EVENTS = f"""{TITLED},
+    k AS (SELECT CAST(floor(o_orderkey / 1000) AS BIGINT) AS part, *, o_orderkey % 29 AS m, strftime(release_date, '%Y%m%d') AS stamp, substr(title, 1, 9) || CASE WHEN o_orderkey % 2 = 0 THEN chr(13) || chr(10) || ' ' ELSE '' END || substr(title, 10) AS folded FROM e),
+    b AS (SELECT *, 'BEGIN:VEVENT' || chr(13) || chr(10) || CASE m WHEN 0 THEN '' WHEN 1 THEN 'DTSTART:20019945T000000Z' || chr(13) || chr(10) ELSE 'DTSTART:' || stamp || 'T000000Z' || chr(13) || chr(10) END
+      || CASE m WHEN 3 THEN '' ELSE 'SUMMARY:' || folded || chr(13) || chr(10) END AS body FROM k),
+    o AS (SELECT *, CASE WHEN m = 2 THEN body ELSE body || 'END:VEVENT' END AS record, CASE WHEN m = 2 THEN body ELSE body || 'END:VEVENT' || chr(13) || chr(10) END AS block FROM b)"""
+
+
+def calendar_files(t):
+    """Calendars of a thousand order keys each. Some events lack a start, a date, an end or a title."""
+    m, crlf = F.col("o_orderkey") % 29, F.lit("\r\n")
+    fold = F.when(F.col("o_orderkey") % 2 == 0, "\r\n ").otherwise("")
+    folded = F.concat(F.substring("title", 1, 9), fold, F.substring("title", 10, 1000))
+    start = F.when(m == 0, "").when(m == 1, "DTSTART:20019945T000000Z\r\n").otherwise(F.concat(F.lit("DTSTART:"), F.date_format("release_date", "yyyyMMdd"), F.lit("T000000Z\r\n")))
+    summary = F.when(m == 3, "").otherwise(F.concat(F.lit("SUMMARY:"), folded, crlf))
+    end = F.when(m == 2, "").otherwise("END:VEVENT\r\n")
+    block = F.concat(F.lit("BEGIN:VEVENT\r\n"), start, summary, end)
+    packed = titled_orders(t).groupBy(F.floor(F.col("o_orderkey") / 1000).alias("part")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", block.alias("b")))).alias("s"))
+    return land(packed.select("part", F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.array_join("s.b", ""), F.lit("END:VCALENDAR\r\n")).alias("value")), "calendars")
+
+
+@query("scan_release_ics", f"{EVENTS} SELECT CAST(part AS INTEGER) AS part, release_date, title, dataset_id, ref_year, ref_month_start, ref_month_end FROM o WHERE m > 3")
+def _(t):
+    return landed.calendar_events(t.spark, calendar_files(t)).rows.drop("file")
 
 
-@query("scan_release_ics", f"{TITLED} SELECT CAST(floor(o_orderkey / 100) AS BIGINT) AS part, release_date, title, dataset_id, ref_year, ref_month_start, ref_month_end FROM e WHERE o_orderkey % 7 <> 0")
+@query("scan_release_ics_rejects", f"""{EVENTS},
+    p AS (SELECT *, 17 + coalesce(sum(length(block)) OVER (PARTITION BY part ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM o)
+    SELECT 'part=' || part AS file, CAST(pos AS BIGINT) AS "offset", CASE m WHEN 0 THEN 'no start' WHEN 1 THEN 'no date' WHEN 2 THEN 'not closed' ELSE 'no title' END AS reason, record FROM p WHERE m <= 3""")
 def _(t):
-    return releases.parse_ics(calendars(t))
+    return from_folder(landed.calendar_events(t.spark, calendar_files(t)).rejects)
 
 
 @query("calendar_sorted", f"""{TITLED} SELECT dataset_id AS series_id, make_date(ref_year, ref_month_end, 1) AS ref_period, release_date, title FROM e
@@ -155,38 +254,73 @@ def _(t):
     return releases.keyword_filter(titled_orders(t), ["Gross Domestic", "price"]).select("o_orderkey", "title")
 
 
-@query("scan_release_csv", """
-    SELECT o_orderkey, CAST(o_orderdate AS DATE) AS release_date, o_orderpriority AS title, o_orderstatus AS reference_period,
-           CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'id_' || substr(o_orderpriority, 1, 1) END AS dataset_id
-    FROM orders WHERE o_orderkey % 5 <> 2""")
+LINES = """
+    WITH c AS (SELECT CAST(floor(o_orderkey / 1000) AS BIGINT) AS part, o_orderkey, o_orderkey % 23 AS m, CAST(o_orderdate AS DATE) AS d, o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ', "revised"' ELSE '' END AS title,
+        CASE WHEN o_orderkey % 2 = 0 THEN '"' || o_orderpriority || ', ""revised""' || '"' ELSE o_orderpriority END AS cell, o_orderstatus AS status FROM orders),
+    l AS (SELECT *, CASE WHEN m = 4 THEN ' ' WHEN m = 5 THEN 'x"y"' ELSE cell END || ',' || CASE WHEN m = 2 THEN 'soon' WHEN o_orderkey % 3 = 0 THEN strftime(d, '%-d %B %Y') ELSE strftime(d, '%Y-%m-%d') END
+        || CASE WHEN m = 3 THEN '' ELSE ',' || status END || ',' || o_orderkey AS line FROM c)"""
+
+
+def release_files(t):
+    """Release lists of a thousand order keys each: quoted titles, two date formats, some lines broken."""
+    m, even = F.col("o_orderkey") % 23, F.col("o_orderkey") % 2 == 0
+    cell = F.when(m == 4, " ").when(m == 5, 'x"y"').when(even, F.concat(F.lit('"'), "o_orderpriority", F.lit(', ""revised"""'))).otherwise(F.col("o_orderpriority"))
+    day = F.when(m == 2, "soon").when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "d MMMM yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    line = F.concat(cell, F.lit(","), day, F.when(m == 3, "").otherwise(F.concat(F.lit(","), "o_orderstatus")), F.lit(","), F.col("o_orderkey").cast("string"))
+    packed = t.raw("orders").groupBy(F.floor(F.col("o_orderkey") / 1000).alias("part")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))).alias("s"))
+    return land(packed.select("part", F.concat(F.lit("Title, Release_Date,reference_period,o_orderkey\n"), F.array_join("s.l", "\n")).alias("value")), "releases")
+
+
+def title_map(t):
+    known = t.raw("orders").select(F.col("o_orderpriority").alias("p")).distinct().filter(F.col("p").isin("1-URGENT", "2-HIGH"))
+    title = F.explode(F.array("p", F.concat("p", F.lit(', "revised"'))))
+    return known.select(title.alias("title"), F.concat(F.lit("id_"), F.substring("p", 1, 1)).alias("dataset_id"))
+
+
+@query("scan_release_csv", f"""{LINES}
+    SELECT CAST(part AS INTEGER) AS part, CAST(o_orderkey AS VARCHAR) AS o_orderkey, d AS release_date, title, status AS reference_period,
+           CASE WHEN substr(title, 1, 1) IN ('1', '2') THEN 'id_' || substr(title, 1, 1) END AS dataset_id FROM l WHERE m NOT BETWEEN 2 AND 5""")
 def _(t):
-    day = F.col("o_orderdate")
-    text = (
-        F.when(F.col("o_orderkey") % 5 == 2, "soon").when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "d MMMM yyyy"))
-        .otherwise(F.date_format(day, "yyyy-MM-dd"))
-    )
-    rows = t.raw("orders").select(
-        "o_orderkey", F.concat(F.lit(" "), text).alias("release_date"), F.concat("o_orderpriority", F.lit(" ")).alias("title"),
-        F.col("o_orderstatus").alias("reference_period"),
-    )
-    titles = t.raw("orders").select(F.col("o_orderpriority").alias("title")).distinct().filter(F.col("title").isin("1-URGENT", "2-HIGH"))
-    return releases.parse_release_table(rows, titles.withColumn("dataset_id", F.concat(F.lit("id_"), F.substring("title", 1, 1))))
+    return landed.release_lines(t.spark, release_files(t), title_map(t), extra=["o_orderkey"]).rows.drop("file")
 
 
-@query("scan_html_table", """
-    SELECT entity_id, CAST(year(quarter) AS INTEGER) AS year, 'Revenue ' || component AS indicator, 'Q' || quarter(quarter) AS label, value FROM components""", "value:4")
+@query("scan_release_csv_rejects", f"""{LINES},
+    p AS (SELECT *, 48 + coalesce(sum(length(line) + 1) OVER (PARTITION BY part ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l)
+    SELECT 'part=' || part AS file, CAST(pos AS BIGINT) AS "offset", CASE m WHEN 2 THEN 'no date' WHEN 3 THEN 'wrong number of cells' WHEN 4 THEN 'no title' ELSE 'broken quotes' END AS reason, line AS record
+    FROM p WHERE m BETWEEN 2 AND 5""")
 def _(t):
+    return from_folder(landed.release_lines(t.spark, release_files(t), title_map(t), extra=["o_orderkey"]).rejects)
+
+
+def forecast_files(t):
+    """A page per segment and year: headings, a row per component, and three rows that cannot be used."""
     cell = F.concat(F.lit("<td class='v'><b>"), F.format_string("%,.4f", F.round("value", 4)), F.lit("</b></td>"))
-    quarters = [
-        F.coalesce(F.max(F.when(F.quarter("quarter") == q, cell)), F.lit("<td>n/a</td>")) for q in (1, 2, 3, 4)
-    ]
+    quarters = [F.coalesce(F.max(F.when(F.quarter("quarter") == q, cell)), F.lit("<td>n/a</td>")) for q in (1, 2, 3, 4)]
+    name = F.when(F.col("component") == "A", "Consumer Spending").when(F.col("component") == "N", "GDP Annual Growth Rate").otherwise("Revenue R")
     rows = t.components.groupBy("entity_id", F.year("quarter").alias("year"), "component").agg(
-        F.concat(F.lit("<tr>\n<td><a href='#'>Revenue "), F.first("component"), F.lit("</a>  (USD Million)</td><td>-</td>"), *quarters, F.lit("</tr>")).alias("tr")
+        F.concat(F.lit("<tr>\n<td><a href='#'>"), F.first(name), F.lit("</a>  (USD Million)</td><td>-</td>"), *quarters, F.lit("</tr>\n")).alias("tr")
     )
-    # a page has one heading and one row per component of its segment and year
-    head = F.lit("<html><table><tr><th>x</th></tr><tr><td>Overview</td><td></td><td>1</td></tr>")
-    pages = rows.groupBy("entity_id", "year").agg(F.concat(head, F.array_join(F.collect_list("tr"), ""), F.lit("</table></html>")).alias("html"))
-    return releases.parse_forecast_tables(pages, ["Q1", "Q2", "Q3", "Q4"])
+    head = F.lit("<html><table><tr><th>x</th></tr><tr><td>Overview</td><td></td><td>1</td></tr><tr><td>Few</td><td>1</td></tr><tr><td>None</td><td>1</td><td>n/a</td></tr><tr><td>Open</td><td>1</td><td>2</td>")
+    pages = rows.groupBy("entity_id", "year").agg(F.concat(head, F.array_join(F.array_sort(F.collect_list("tr")), ""), F.lit("</table></html>")).alias("value"))
+    return land(pages, "pages")
+
+
+@query("scan_html_table", """
+    SELECT entity_id, CAST(year(quarter) AS INTEGER) AS year, CASE component WHEN 'A' THEN 'Consumer Spending' WHEN 'N' THEN 'GDP Annual Growth Rate' ELSE 'Revenue R' END AS indicator,
+           CASE component WHEN 'A' THEN 'component:consumption' WHEN 'N' THEN 'gdp_yoy' END AS route, 'Q' || quarter(quarter) AS label, value FROM components""", "value:4")
+def _(t):
+    return landed.forecast_cells(t.spark, forecast_files(t), ["Q1", "Q2", "Q3", "Q4"]).rows.drop("file")
+
+
+@query("scan_html_table_rejects", """
+    WITH p AS (SELECT DISTINCT entity_id, year(quarter) AS year FROM components),
+    w AS (SELECT '<tr><td>Few</td><td>1</td></tr>' AS few, '<tr><td>None</td><td>1</td><td>n/a</td></tr>' AS none, '<tr><td>Open</td><td>1</td><td>2</td>' AS op,
+      length('<html><table><tr><th>x</th></tr><tr><td>Overview</td><td></td><td>1</td></tr>') AS o),
+    r AS (SELECT unnest([{'o': o, 'reason': 'fewer than three cells', 'record': few}, {'o': o + length(few), 'reason': 'no number', 'record': none}, {'o': o + length(few) + length(none), 'reason': 'not closed', 'record': op}]) AS x FROM w)
+    SELECT 'entity_id=' || entity_id || '/year=' || year AS file, CAST(x.o AS BIGINT) AS "offset", x.reason AS reason, x.record AS record FROM p, r""")
+def _(t):
+    rejects = landed.forecast_cells(t.spark, forecast_files(t), ["Q1", "Q2", "Q3", "Q4"]).rejects
+    return rejects.withColumn("file", F.substring_index("file", "/", 2))
 
 
 @query("parse_page_tables", """

@@ -52,6 +52,30 @@ def ar1_forecast(target: DataFrame, keys: list[str], order: str = "quarter") ->
     )
 
 
+def steps_ahead(known: DataFrame, keys: list[str], models: list[str], steps: int = 2, order: str = "quarter") -> DataFrame:
+    """``(keys, last_quarter, model, step, pred)``: the last observation as step 0 and the simple forecasts behind it.
+
+    ``known`` has (keys, quarter, value). ``naive`` repeats the last value, ``mean`` the mean, and ``ar1`` goes on from
+    its own forecasts. A key without observations has no rows, one with too few pairs no ``ar1`` beyond step 0.
+    """
+    seen = known.filter(F.col("value").isNotNull())
+    w = Window.partitionBy(*keys).orderBy(order)
+    fit = seen.withColumn("_lag", F.lag("value").over(w)).groupBy(*keys).agg(
+        F.max(order).alias("last_quarter"), F.max_by("value", order).alias("last"), F.avg("value").alias("mean"),
+        F.regr_slope("value", "_lag").alias("b"), F.regr_intercept("value", "_lag").alias("a"), F.count("_lag").alias("n"),
+    )
+    start, path = F.col("last"), []
+    for step in range(1, steps + 1):
+        start = F.when(F.col("n") >= MIN_PAIRS, F.col("a") + F.col("b") * start)
+        path.append(start)
+    made = {"naive": [F.col("last")] * steps, "mean": [F.col("mean")] * steps, "ar1": path}
+    rows = [
+        F.struct(F.lit(m).alias("model"), F.lit(i).alias("step"), p.alias("pred"))
+        for m in models for i, p in enumerate([F.col("last"), *made[m]])
+    ]
+    return fit.select(*keys, "last_quarter", F.inline(F.array(*rows))).filter("pred is not null")
+
+
 def last_known_before(values: DataFrame, asked: DataFrame, keys: list[str], when: str) -> DataFrame:
     """As-of join: the last value strictly before each asked date.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions import calendar as cal
 from tidecast.operators import metrics, vintage
+from tidecast.plans import nowcast
+from tidecast.session import cut
+from tidecast.sources import versioned
 
 
 def upsert_log(log: DataFrame, fresh: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -82,17 +85,63 @@ def dashboard_feed(log: DataFrame, actuals: DataFrame, n: int = 30) -> DataFrame
     return out.select(*cols)
 
 
-def run_daily(log: DataFrame, fresh: DataFrame, state: DataFrame, feed: DataFrame) -> dict[str, DataFrame]:
-    """One day: new log, new frozen actuals, scores and gold tables."""
+LOG = "run_date date, target_quarter string, metric string, model string, value double"
+ACTUALS = (
+    "quarter string, metric string, first_release_date date, first_value double, latest_value double, "
+    "last_update_date date, base_year int"
+)
+
+
+def day_tables(log: DataFrame, fresh: DataFrame, state: DataFrame, feed: DataFrame) -> dict[str, DataFrame]:
+    """New log, new frozen actuals, scores and the dashboard's rows, from the old ones and what came in.
+
+    A row of ``fresh`` replaces the row of the log for the same run, quarter, metric and model.
+    """
     keys = ["run_date", "entity_id", "target_quarter", "metric", "model"]
     keys = [k for k in keys if k in log.columns]
     stamped = log.withColumn("loaded", F.lit(0)).unionByName(fresh.withColumn("loaded", F.lit(1)))
     new_log = stamped.groupBy(*keys).agg(F.max_by("value", "loaded").alias("value"))
     actuals = vintage.merge_actuals(state, feed)
-    pairs = metrics.join_actuals(new_log, actuals)
+    return {"log": new_log, "actuals": actuals, **derived_tables(new_log, actuals)}
+
+
+def derived_tables(log: DataFrame, actuals: DataFrame) -> dict[str, DataFrame]:
+    """What follows from the log and the actuals alone."""
     return {
-        "log": new_log,
-        "actuals": actuals,
-        "scores": metrics.leaderboard_rollup(pairs),
-        "dashboard": dashboard_feed(new_log, actuals),
+        "scores": metrics.leaderboard_rollup(metrics.join_actuals(log, actuals)),
+        "dashboard": dashboard_feed(log, actuals),
     }
+
+
+def log_rows(nowcasts: DataFrame, run_date: Column, metric: Column) -> DataFrame:
+    """Rows of ``nowcast.run_nowcast`` as rows of the log; a model without a value has none."""
+    return nowcasts.filter("pred is not null").select(
+        run_date.alias("run_date"), F.col("quarter").alias("target_quarter"), metric.alias("metric"), "model",
+        F.col("pred").alias("value"),
+    )
+
+
+def run_daily(
+    spark: SparkSession, root: str, systems: DataFrame, order: list[str], keys: list[str], feed: DataFrame, *,
+    run_date: Column, metric: Column, keep: int = 2, **options,
+) -> int:
+    """One run of the whole job on a store: nowcast, frozen actuals, log, scores and dashboard, published together.
+
+    ``systems`` has one dense system per key as known at the run (``run_date`` may be one of the keys, so that missed days
+    are caught up in one run); ``feed`` has the releases seen since the last run; ``options`` go to ``run_nowcast``. The
+    log and the actuals of the store's last version are carried on, and a run that is repeated replaces its own rows. The
+    new log and actuals are written once and the tables that follow from them are computed from the written rows. Returns
+    the version; readers see all four tables of it or all four of the one before.
+    """
+    before = versioned.manifest(spark, root)
+    was = max((r.version for r in before.values()), default=0)
+
+    def old(name: str, columns: str) -> DataFrame:
+        return versioned.open_table(spark, root, before[name]) if name in before else spark.createDataFrame([], columns)
+
+    fresh = log_rows(nowcast.run_nowcast(systems, order, keys, **options), run_date, metric)
+    tables = day_tables(old("log", LOG), fresh, old("actuals", ACTUALS), feed)
+    log, actuals = cut(tables["log"], "log"), cut(tables["actuals"], "actuals")
+    return versioned.publish(
+        spark, root, {"log": log, "actuals": actuals, **derived_tables(log, actuals)}, based_on=was, keep=keep
+    )

@@ -6,29 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions import calendar as cal
-from tidecast.operators import bridge, bvar, dfm, ensemble, news, selection, transforms
+from tidecast.operators import bridge, bvar, dfm, ensemble, forecasts, news, selection, transforms
 from tidecast.session import cut
 
+FITTED = ("dfm", "bvar", "beq")
+SIMPLE = ("ar1", "naive", "mean")
+
 
 def model_paths(system: DataFrame, order: list[str], keys: list[str], r: int = 2, p: int = 2, max_iter: int = 100,
-                draws: int = 100, beq_types: tuple[int, ...] = (bridge.ALL_TYPES,)) -> DataFrame:
+                draws: int = 100, beq_types: tuple[int, ...] = (bridge.ALL_TYPES,), models: tuple[str, ...] = FITTED) -> DataFrame:
     """Path of the target under every model: (keys, model, period, value).
 
-    ``system`` is dense and stationary with the target last in ``order``.
+    ``system`` is dense and stationary with the target last in ``order``. The simple models have the last observed quarter
+    and the two behind it.
     """
     name = order[-1]
     known = system.filter((F.col("series_id") == name) & cal.is_quarter_end(F.col("period"))).select(
         *keys, cal.quarter_start(F.col("period")).alias("quarter"), F.col("value").alias("y")
     )
-    paths = {
-        "dfm": dfm.dfm_fit(system, keys, r, p, max_iter).project([name]),
-        "bvar": bvar.bvar_fit(system, order, keys, draws=draws).filter(F.col("series_id") == name),
-        "beq": bridge.bridge_median(bridge.beq_fit(system, known, order[:-1], keys, types=beq_types), keys),
-    }
-    out = None
-    for model, df in paths.items():
-        part = df.select(*keys, F.lit(model).alias("model"), "period", "value")
-        out = part if out is None else out.unionByName(part)
+    paths = []
+    if "dfm" in models:
+        paths.append(("dfm", dfm.dfm_fit(system, keys, r, p, max_iter).project([name])))
+    if "bvar" in models:
+        paths.append(("bvar", bvar.bvar_fit(system, order, keys, draws=draws).filter(F.col("series_id") == name)))
+    if "beq" in models:
+        paths.append(("beq", bridge.bridge_median(bridge.beq_fit(system, known, order[:-1], keys, types=beq_types), keys)))
+    parts = [df.select(*keys, F.lit(model).alias("model"), "period", "value") for model, df in paths]
+    simple = [m for m in models if m in SIMPLE]
+    if simple:
+        steps = forecasts.steps_ahead(known.withColumnRenamed("y", "value"), keys, simple)
+        at = F.add_months(cal.quarter_end_month(F.col("last_quarter")), 3 * F.col("step"))
+        parts.append(steps.select(*keys, "model", at.alias("period"), F.col("pred").alias("value")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out.filter(cal.is_quarter_end(F.col("period")))
 
 

@@ -59,6 +59,10 @@ COMPONENTS = {
     "Exports": "exports",
     "Imports": "imports",
 }
+# fixed values: what names growth of the total, over the year and over the quarter
+YEARLY_GROWTH = ["GDP Annual Growth", "GDP Growth Rate YoY"]
+QUARTERLY_GROWTH = "GDP Growth Rate"
+# fixed value: years that count as such in a title
 YEAR = r"(20\d{2})"
 
 
@@ -155,6 +159,12 @@ def keyword_filter(events: DataFrame, words: list[str]) -> DataFrame:
     return events.filter(reduce(lambda a, b: a | b, [low.contains(w.lower()) for w in words]))
 
 
+def indicator_name(cell: Column) -> Column:
+    """The first cell of a row without the units in brackets at its end."""
+    name = F.regexp_replace(cell, r"\s*\(.*?\)\s*$", "")
+    return F.regexp_replace(F.trim(name), r"\s+", " ")
+
+
 def parse_forecast_tables(pages: DataFrame, labels: list[str], column: str = "html") -> DataFrame:
     """Forecast cells of HTML tables: (page columns..., indicator, label, value).
 
@@ -167,9 +177,7 @@ def parse_forecast_tables(pages: DataFrame, labels: list[str], column: str = "ht
     )
     cells = F.regexp_extract_all(F.col("tr"), F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1))
     rows = rows.withColumn("cells", F.transform(cells, lambda c: F.trim(F.regexp_replace(c, "<[^>]+>", ""))))
-    name = F.regexp_replace(F.get("cells", F.lit(0)), r"\s*\(.*?\)\s*$", "")
-    name = F.regexp_replace(F.trim(name), r"\s+", " ")
-    rows = rows.filter(F.size("cells") >= 3).withColumn("indicator", name)
+    rows = rows.filter(F.size("cells") >= 3).withColumn("indicator", indicator_name(F.get("cells", F.lit(0))))
     rows = rows.filter((F.col("indicator") != "") & ~F.col("indicator").isin(HEADINGS))
     entries = F.array(*[
         F.struct(F.lit(label).alias("label"), to_number(F.get("cells", F.lit(i + 2))).alias("value"))
@@ -181,3 +189,10 @@ def parse_forecast_tables(pages: DataFrame, labels: list[str], column: str = "ht
 def component_of(indicator: Column, names: dict[str, str] = COMPONENTS) -> Column:
     """Component whose name the indicator starts with."""
     return F.coalesce(*[F.when(indicator.startswith(prefix), F.lit(key)) for prefix, key in names.items()])
+
+
+def route_of(indicator: Column) -> Column:
+    """What a forecast row is about: ``gdp_yoy``, ``gdp_qoq``, ``component:<name>``, or nothing that is followed."""
+    yearly = reduce(lambda a, b: a | b, [indicator.contains(name) for name in YEARLY_GROWTH])
+    quarterly = indicator.contains(QUARTERLY_GROWTH) & ~indicator.contains("YoY")
+    return F.when(yearly, "gdp_yoy").when(quarterly, "gdp_qoq").otherwise(F.concat(F.lit("component:"), component_of(indicator)))
