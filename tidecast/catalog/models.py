@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidecast.catalog.panels import REGIONS, region_scaled
@@ -317,23 +318,91 @@ def _(t):
     return bridge.bridge_simple(one, [*E, "m1"])
 
 
-@query("bridge_ols_full")
+#: Normal equations of every specification, solved by Gauss-Jordan steps; unused regressors are left out.
+SOLVED = f"""
+    WITH RECURSIVE d AS ({DESIGN}),
+    u AS (SELECT *, concat_ws('|', '903', m1, m2) AS spec_id, CASE WHEN m2 IS NULL THEN [m1_l0, m1_l1, y_lag, 1.0] ELSE [m1_l0, m1_l1, m2_l0, m2_l1, y_lag, 1.0] END AS x FROM d WHERE y IS NOT NULL AND y_lag IS NOT NULL),
+    ij AS (SELECT entity_id, spec_id, len(x) AS k, x, y, i, unnest(range(1, len(x) + 2)) AS j FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM u)),
+    sums AS (SELECT entity_id, spec_id, k, i, j, sum(x[i] * CASE WHEN j <= k THEN x[j] ELSE y END) AS s, count(*) AS n FROM ij GROUP BY 1, 2, 3, 4, 5),
+    lines AS (SELECT entity_id, spec_id, k, i, n, list(s ORDER BY j) AS v FROM sums GROUP BY 1, 2, 3, 4, 5),
+    mat AS (SELECT entity_id, spec_id, k, n, list(v ORDER BY i) AS m FROM lines GROUP BY 1, 2, 3, 4 HAVING n >= 3),
+    steps(entity_id, spec_id, k, n, step, m) AS (SELECT entity_id, spec_id, k, n, 0::BIGINT, m FROM mat
+      UNION ALL SELECT entity_id, spec_id, k, n, step + 1, list_transform(range(1, k + 1), lambda r: list_transform(range(1, k + 2),
+        lambda c: CASE WHEN r = step + 1 THEN m[r][c] / m[r][r] ELSE m[r][c] - m[r][step + 1] * m[step + 1][c] / m[step + 1][step + 1] END)) FROM steps WHERE step < k),
+    b AS (SELECT entity_id, spec_id, k, n, list_transform(m, lambda r: r[k + 1]) AS b FROM steps WHERE step = k),
+    solved AS (SELECT entity_id, spec_id, n, k, CASE WHEN k = 4 THEN [b[1], b[2], 0.0, 0.0, 0.0, 0.0, b[3], b[4]] ELSE [b[1], b[2], b[3], b[4], 0.0, 0.0, b[5], b[6]] END AS coef FROM b)"""
+TERMS = ", ".join(f"'{c}'" for c in bridge.REGRESSORS)
+PARTS = f"""{SOLVED},
+    known AS (SELECT *, concat_ws('|', '903', m1, m2) AS spec_id, last_value(y IGNORE NULLS) OVER (PARTITION BY entity_id, m1, m2 ORDER BY quarter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS y_known FROM d),
+    parts AS (SELECT k.entity_id, k.spec_id, k.quarter, k.y, list_transform(range(1, 9), lambda i: s.coef[i] * [m1_l0, m1_l1, m2_l0, m2_l1, 0.0, 0.0, coalesce(y_lag, y_known), 1.0][i]) AS p
+      FROM known k JOIN solved s ON s.entity_id = k.entity_id AND s.spec_id = k.spec_id)"""
+
+
+@query("bridge_ols_full", f"""{SOLVED} SELECT entity_id, spec_id, n, CAST(k AS INTEGER) AS rank, unnest([{TERMS}]) AS term, unnest(coef) AS coef FROM solved""", "coef")
 def _(t):
-    return bridge.bridge_ols(design(t), E)
+    fitted = bridge.bridge_ols(design(t), E)
+    terms = F.array(*[F.struct(F.lit(c).alias("term"), F.col("coef")[i].alias("coef")) for i, c in enumerate(bridge.REGRESSORS)])
+    return fitted.select(*E, "spec_id", "n", "rank", F.inline(terms))
 
 
-@query("bridge_forecast")
+@query("bridge_forecast", f"{PARTS} SELECT entity_id, spec_id, quarter, CASE WHEN len(list_filter(p, lambda v: v IS NULL)) = 0 THEN list_sum(p) END AS fcst, y FROM parts", "fcst y")
 def _(t):
     d = cut(design(t), "design")
     return bridge.bridge_forecast(d, bridge.bridge_ols(d, E), E)
 
 
-@query("bridge_contributions")
+@query("bridge_contributions", f"{PARTS} SELECT entity_id, spec_id, quarter, unnest([{TERMS}]) AS term, unnest(p) AS contribution FROM parts", "contribution")
 def _(t):
     d = cut(design(t), "design")
     return bridge.bridge_contributions(d, bridge.bridge_ols(d, E), E)
 
 
+LAGGED = bridge.Terms(m=2, q=1, y=2, dummies=2)
+EVENTS = ("1998-04-01", "2000-01-01")
+
+
+def lagged_design(t):
+    """Lags (2, 1, 2) and two dummies where an indicator stands alone; pairs have one lag of the target and one dummy."""
+    component = t.components.filter("component = 'A'").withColumnRenamed("quarter", "period")
+    change = transforms.growth_dlog_rows(component, E).withColumnRenamed("period", "quarter")
+    by = Window.partitionBy(*E).orderBy("quarter")
+    quarterly = change.select(*E, F.lit("qA").alias("series_id"), "quarter", F.col("value").alias("l0"), F.lag("value").over(by).alias("l1"))
+    specs = bridge.bridge_specs(t.region_meta.select("series_id"), (bridge.AR_OWN,), ["qA"])
+    alone = F.col("m2").isNull()
+    days = [F.lit(d).cast("date") for d in EVENTS]
+    specs = specs.withColumns({
+        "lag_y": F.when(alone, 2).otherwise(1), "lag_m": F.when(alone, 2).otherwise(1),
+        "dummies": F.when(alone, F.array(*days)).otherwise(F.array(days[0])),
+    })
+    regressors = bridge.quarter_regressors(region_scaled(t), lags=2).withColumn("interp_type", F.lit(bridge.AR_OWN))
+    return bridge.bridge_design(specs, regressors, t.growth.withColumnRenamed("value", "y"), E, quarterly, LAGGED)
+
+
+@query("bridge_design_lags", f"""
+    WITH r AS (SELECT entity_id, series_id, CAST(date_trunc('quarter', period) AS DATE) AS quarter, value AS v FROM scaled_region WHERE month(period) % 3 = 0),
+    x AS (SELECT *, coalesce(lag(v) OVER w, 0) AS l1, coalesce(lag(v, 2) OVER w, 0) AS l2 FROM r WINDOW w AS (PARTITION BY entity_id, series_id ORDER BY quarter)),
+    g AS (SELECT entity_id, quarter, value AS y, lag(value) OVER w AS y1, lag(value, 2) OVER w AS y2 FROM growth WINDOW w AS (PARTITION BY entity_id ORDER BY quarter)),
+    a AS (SELECT entity_id, quarter, ln(value) - ln(lag(value) OVER (PARTITION BY entity_id ORDER BY quarter)) AS q0 FROM components WHERE component = 'A'),
+    q AS (SELECT *, lag(q0) OVER (PARTITION BY entity_id ORDER BY quarter) AS q1 FROM a WHERE q0 IS NOT NULL),
+    p AS (SELECT a.r_name AS m1, CAST(NULL AS VARCHAR) AS m2 FROM region a UNION ALL SELECT a.r_name, b.r_name FROM region a JOIN region b ON a.r_name < b.r_name),
+    s AS (SELECT *, unnest([NULL, 'qA']) AS q FROM p)
+    SELECT a.entity_id, concat_ws('|', '903', s.m1, s.m2, s.q) AS spec_id, a.quarter, a.v AS m1_l0, a.l1 AS m1_l1, CASE WHEN s.m2 IS NULL THEN a.l2 ELSE 0 END AS m1_l2,
+      coalesce(b.v, 0) AS m2_l0, coalesce(b.l1, 0) AS m2_l1, 0.0::DOUBLE AS m2_l2, coalesce(q.q0, 0) AS q_l0, coalesce(q.q1, 0) AS q_l1,
+      CASE WHEN s.m2 IS NULL THEN g.y2 ELSE g.y1 END AS y_lag, CASE WHEN a.quarter = DATE '{EVENTS[0]}' THEN 1.0::DOUBLE ELSE 0.0 END AS d1,
+      CASE WHEN s.m2 IS NULL AND a.quarter = DATE '{EVENTS[1]}' THEN 1.0::DOUBLE ELSE 0.0 END AS d2, 1.0::DOUBLE AS const, g.y
+    FROM s JOIN x a ON a.series_id = s.m1 JOIN g ON g.entity_id = a.entity_id AND g.quarter = a.quarter
+    LEFT JOIN x b ON b.series_id = s.m2 AND b.entity_id = a.entity_id AND b.quarter = a.quarter
+    LEFT JOIN q ON s.q = 'qA' AND q.entity_id = a.entity_id AND q.quarter = a.quarter""", "m1_l0 m1_l1 m1_l2 m2_l0 m2_l1 m2_l2 q_l0 q_l1 y_lag y")
+def _(t):
+    return lagged_design(t).select(*E, "spec_id", "quarter", *LAGGED.names(), "y")
+
+
+@query("bridge_forecast_lags")
+def _(t):
+    d = cut(lagged_design(t), "design")
+    return bridge.bridge_forecast(d, bridge.bridge_ols(d, E, LAGGED), E, LAGGED)
+
+
 @query("bridge_median", f"""
     WITH d AS ({DESIGN}), c AS (SELECT entity_id, m1, regr_slope(y, m1_l0) AS s, regr_intercept(y, m1_l0) AS i FROM d WHERE m2 IS NULL GROUP BY 1, 2)
     SELECT d.entity_id, d.quarter, median(i + s * m1_l0) AS value, count(*) AS n_specs, CAST(d.quarter + INTERVAL 2 MONTH AS DATE) AS period
@@ -429,12 +498,19 @@ def component_system(t):
     return prepare.with_target(change.select(*keys, "series_id", "period", "value"), target, keys), keys
 
 
+def component_members(rows):
+    """The system of every component, its own indicators in order and its growth last."""
+    last = F.col("series_id") == prepare.TARGET
+    by = Window.partitionBy("component").orderBy(last, "series_id")
+    return rows.select("component", "series_id").distinct().withColumn("pos", F.row_number().over(by))
+
+
 @query("component_nowcasts")
 def _(t):
     rows, keys = component_system(t)
+    rows = cut(rows, "components")
     specs = t.spark.createDataFrame([("A", 2, 2), ("N", 1, 2), ("R", 2, 1)], "component string, n_factors int, n_lags int")
-    paths = dfm.dfm_fit(rows, keys, specs=specs).project([prepare.TARGET])
-    return paths.filter(cal.is_quarter_end(F.col("period"))).drop("series_id")
+    return nowcast.model_paths(rows, component_members(rows), keys, beq_types=(bridge.VAR_ALL,), specs=specs)
 
 
 @query("sector_nowcasts")

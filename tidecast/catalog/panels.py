@@ -456,6 +456,40 @@ def _(t):
     return selection.collinear_pairs(twins, 0.95)
 
 
+TWINS = """
+    WITH twins AS (SELECT entity_id, series_id, series_id AS representative, period, value FROM dense
+                   UNION ALL SELECT entity_id, series_id || 'b', series_id || 'b', period, -2 * value + 1000 * (month(period) % 2) FROM dense
+                   UNION ALL SELECT entity_id, series_id || 'c', series_id, period, value FROM dense
+                   UNION ALL SELECT entity_id, series_id || 'm', series_id || 'm', period, -value FROM dense),
+    c AS (SELECT entity_id, series_id, representative, period, coalesce(value - avg(value) OVER (PARTITION BY entity_id, series_id), 0) AS v FROM twins),
+    s AS (SELECT entity_id, series_id, representative FROM c GROUP BY 1, 2, 3 HAVING sum(v * v) > 1e-24),
+    l AS (SELECT a.entity_id, a.series_id FROM c a JOIN c b ON a.entity_id = b.entity_id AND a.period = b.period AND a.series_id <> b.series_id
+      GROUP BY 1, 2, b.series_id HAVING abs(corr(a.v, b.v)) >= 0.95)"""
+
+
+def twins(t):
+    """Every series beside a noisy mirrored copy, an exact copy and an exact mirrored one."""
+    copies = {
+        "": F.col("value"), "b": -2 * F.col("value") + 1000 * (F.month("period") % 2), "c": F.col("value"), "m": -F.col("value"),
+    }
+    each = F.array(*[F.struct(F.concat("series_id", F.lit(tail)).alias("series_id"), v.cast("double").alias("value")) for tail, v in copies.items()])
+    return t.dense.select("entity_id", "period", F.inline(each))
+
+
+@query("collinear_members", f"""{TWINS}
+    SELECT s.entity_id, s.series_id, s.representative, count(l.series_id) AS n_links FROM s LEFT JOIN l ON l.entity_id = s.entity_id AND l.series_id = s.series_id GROUP BY 1, 2, 3""")
+def _(t):
+    return selection.collinear_members(twins(t), 0.95)
+
+
+@query("collinear_max", """
+    WITH c AS (SELECT entity_id, series_id, period, value - avg(value) OVER (PARTITION BY entity_id, series_id) AS v FROM scaled_region),
+    p AS (SELECT a.entity_id, a.series_id AS series_a, b.series_id AS series_b, abs(corr(a.v, b.v)) AS max_corr FROM c a JOIN c b ON a.entity_id = b.entity_id AND a.period = b.period AND a.series_id < b.series_id GROUP BY 1, 2, 3)
+    SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY max_corr DESC) = 1""", "max_corr")
+def _(t):
+    return selection.max_correlation(region_scaled(t), REGIONS)
+
+
 @query("moment_matrix", """
     WITH v AS (SELECT period, series_id, entity_id, value, lag(value) OVER (PARTITION BY entity_id, series_id ORDER BY period) AS prev FROM scaled_region),
     z AS (SELECT entity_id, period, CASE series_id WHEN 'AFRICA' THEN 0 WHEN 'AMERICA' THEN 1 WHEN 'ASIA' THEN 2 WHEN 'EUROPE' THEN 3 ELSE 4 END AS k, value, prev FROM v),

@@ -110,7 +110,7 @@ def _(t):
     SELECT entity_id, model, avg(abs(actual - pred)) / avg(ne) AS mase FROM (SELECT *, abs(actual - lag(actual, 4) OVER (PARTITION BY entity_id, model ORDER BY quarter)) AS ne
       FROM preds WHERE pred IS NOT NULL) GROUP BY 1, 2""", "mase")
 def _(t):
-    return metrics.mase(t.preds, ["entity_id", "model"], ["quarter"], 4)
+    return metrics.mase(t.preds, ["entity_id", "model"], ["quarter"], 4, segment=F.year("quarter"))
 
 
 @query("metric_coverage", f"SELECT metric, model, avg(CAST(actual BETWEEN pred - 10 AND pred + 10 AS INTEGER)) AS coverage FROM {OK} GROUP BY 1, 2", "coverage")
@@ -181,7 +181,7 @@ def with_ensemble(preds):
     f AS (SELECT entity_id, model, avg(abs(actual - pred)) AS mae, avg(hit) AS fda, count(*) AS n, avg(CASE WHEN NOT early THEN abs(actual - pred) END) AS mae_ex FROM s GROUP BY 1, 2)
     SELECT *, CAST(rank() OVER (PARTITION BY entity_id ORDER BY round(mae, 9)) AS INTEGER) AS mae_rank FROM f""", "mae fda mae_ex")
 def _(t):
-    turns = metrics.with_turns(with_ensemble(t.preds), ["entity_id", "model"], ["quarter"])
+    turns = metrics.with_turns(with_ensemble(t.preds), ["entity_id", "model"], ["quarter"], F.year("quarter"))
     late = F.when(F.col("quarter") >= F.lit("1999-01-01").cast("date"), F.abs(F.col("actual") - F.col("pred")))
     board = turns.groupBy("entity_id", "model").agg(
         metrics.mae().alias("mae"), metrics.fda().alias("fda"), F.count(F.lit(1)).alias("n"), F.avg(late).alias("mae_ex")
@@ -287,7 +287,7 @@ def _(t):
 
 @query("rank_lars")
 def _(t):
-    return selection.rank_lars(xy(t), 6)
+    return selection.rank_lars(xy(t), 25)
 
 
 @query("bootstrap_bands", """

@@ -120,7 +120,8 @@ def _not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
 def impute_spline(panel: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """Cubic spline per series; below four valid cells a line, below two nothing.
 
-    A group is one series on the grid, so its length is bounded by the calendar.
+    A group is one series on the grid, so its length is bounded by the calendar. A series with an infinite cell, or whose
+    spline cannot be solved, stays as it is.
     """
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,8 +129,13 @@ def impute_spline(panel: DataFrame, keys: list[str] = SERIES) -> DataFrame:
         v = pdf["value"].to_numpy(dtype=float)
         ok = ~np.isnan(v)
         x, t = np.flatnonzero(ok).astype(float), np.arange(len(v), dtype=float)
+        if not np.isfinite(v[ok]).all():
+            return pdf
         if ok.sum() >= 4:
-            v = np.where(ok, v, _not_a_knot(x, v[ok], t))
+            try:
+                v = np.where(ok, v, _not_a_knot(x, v[ok], t))
+            except np.linalg.LinAlgError:
+                return pdf
         elif ok.sum() >= 2:
             v = np.interp(t, x, v[ok])
         return pdf.assign(value=v)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions import calendar as cal
+from tidecast.operators import segments
 
 BENCHMARK_MASE_FLOOR = 1e-10  # fixed value
 
@@ -39,12 +40,16 @@ def coverage() -> Column:
     return F.avg(inside.cast("double"))
 
 
-def with_turns(pairs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Direction hit of each complete pair: NULL where the actual did not move."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    da = F.signum(F.col("actual") - F.lag("actual").over(w))
-    dp = F.signum(F.col("pred") - F.lag("pred").over(w))
-    return complete(pairs).withColumn("hit", F.when(da != 0, (da == dp).cast("double")))
+def with_turns(pairs: DataFrame, keys: list[str], order: list[str], segment: Column | None = None) -> DataFrame:
+    """Direction hit of each pair with its predecessor: NULL where the actual did not move.
+
+    A key may hold most pairs: it is cut along the order (see ``segments``), by default at the first of its columns.
+    """
+    whole = complete(pairs)
+    moved = segments.with_lag(whole, keys, order, ["actual", "pred"], 1, segment)
+    da = F.signum(F.col("actual") - F.col("_before.actual"))
+    dp = F.signum(F.col("pred") - F.col("_before.pred"))
+    return moved.withColumn("hit", F.when(da != 0, (da == dp).cast("double"))).drop("_before")
 
 
 def fda() -> Column:
@@ -52,12 +57,10 @@ def fda() -> Column:
     return F.avg("hit")
 
 
-def mase(pairs: DataFrame, keys: list[str], order: list[str], season: int = 1) -> DataFrame:
-    """MAE relative to the MAE of repeating the value ``season`` rows back."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = complete(pairs).withColumn(
-        "naive_err", F.abs(F.col("actual") - F.lag("actual", season).over(w))
-    )
+def mase(pairs: DataFrame, keys: list[str], order: list[str], season: int = 1, segment: Column | None = None) -> DataFrame:
+    """MAE relative to the MAE of repeating the value ``season`` rows back; keys are cut along the order by ``segment``."""
+    moved = segments.with_lag(complete(pairs), keys, order, ["actual"], season, segment)
+    rows = moved.withColumn("naive_err", F.abs(F.col("actual") - F.col("_before.actual")))
     scale = F.avg("naive_err")
     return rows.groupBy(*keys).agg(
         F.when((F.count(F.lit(1)) > season) & (scale >= BENCHMARK_MASE_FLOOR), mae() / scale).alias("mase")
@@ -68,12 +71,11 @@ def crps_ensemble(draws: DataFrame, keys: list[str]) -> DataFrame:
     """CRPS from draws: mean distance to the actual less half the mean distance between draws.
 
     The pair term comes from the ranks, so the draws are sorted once instead
-    of being paired.
+    of being paired; the draws of a key are sorted range by range.
     """
-    w = Window.partitionBy(*keys).orderBy("draw")
     n = F.count(F.lit(1))
-    ranked = draws.withColumn("i", F.row_number().over(w))
-    spread = 2 * (2 * F.sum(F.col("i") * F.col("draw")) - (n + 1) * F.sum("draw")) / (n * n)
+    ranked = segments.with_rank(draws, keys, "draw")
+    spread = 2 * (2 * F.sum(F.col("_rank") * F.col("draw")) - (n + 1) * F.sum("draw")) / (n * n)
     return ranked.groupBy(*keys).agg(
         (F.avg(F.abs(F.col("draw") - F.col("actual"))) - 0.5 * spread).alias("crps")
     )

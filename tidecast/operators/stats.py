@@ -87,9 +87,10 @@ def availability(grid: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def component_share(levels: DataFrame, keys: list[str]) -> DataFrame:
-    """Percent of the total of its quarter."""
-    total = F.sum("value").over(Window.partitionBy(*keys, "quarter"))
-    return levels.withColumn("share", F.try_divide(F.col("value"), total) * 100)
+    """Percent of the total of its quarter. Totals are aggregates joined back, so a hot key is not gathered."""
+    by = [*keys, "quarter"]
+    total = levels.groupBy(*by).agg(F.sum("value").alias("_total"))
+    return levels.join(total, by).withColumn("share", F.try_divide(F.col("value"), F.col("_total")) * 100).drop("_total")
 
 
 def select_group_subset(meta: DataFrame, target_groups: DataFrame, minimum: int = 3) -> DataFrame:

@@ -7,30 +7,37 @@ from pyspark.sql import functions as F
 
 from tidecast.functions import calendar as cal
 from tidecast.operators import bridge, bvar, dfm, ensemble, forecasts, news, selection, transforms
+from tidecast.operators.systems import Order, indicators, place, target_rows
 from tidecast.session import cut
 
 FITTED = ("dfm", "bvar", "beq")
 SIMPLE = ("ar1", "naive", "mean")
 
 
-def model_paths(system: DataFrame, order: list[str], keys: list[str], r: int = 2, p: int = 2, max_iter: int = 100,
-                draws: int = 100, beq_types: tuple[int, ...] = (bridge.ALL_TYPES,), models: tuple[str, ...] = FITTED) -> DataFrame:
+def model_paths(system: DataFrame, order: Order, keys: list[str], r: int = 2, p: int = 2, max_iter: int = 100,
+                draws: int = 100, beq_types: tuple[int, ...] = (bridge.ALL_TYPES,), models: tuple[str, ...] = FITTED,
+                specs: DataFrame | None = None) -> DataFrame:
     """Path of the target under every model: (keys, model, period, value).
 
-    ``system`` is dense and stationary with the target last in ``order``. The simple models have the last observed quarter
-    and the two behind it.
+    ``system`` is dense and stationary. ``order`` names its variables with the target last: one list for all keys, or a
+    table of systems by key (see ``systems``). ``specs`` may give the factor model's (n_factors, n_lags) by key. The
+    simple models have the last observed quarter and the two behind it. A model that cannot be fitted for a key has no
+    path there; the others have theirs.
     """
-    name = order[-1]
-    known = system.filter((F.col("series_id") == name) & cal.is_quarter_end(F.col("period"))).select(
+    system = place(system, order).select(*keys, "series_id", "period", "value")
+    known = target_rows(system, order).filter(cal.is_quarter_end(F.col("period"))).select(
         *keys, cal.quarter_start(F.col("period")).alias("quarter"), F.col("value").alias("y")
     )
     paths = []
     if "dfm" in models:
-        paths.append(("dfm", dfm.dfm_fit(system, keys, r, p, max_iter).project([name])))
+        fit = dfm.dfm_fit(system, keys, r, p, max_iter, specs=specs)
+        name = None if isinstance(order, DataFrame) else [order[-1]]
+        paths.append(("dfm", target_rows(fit.project(name), order)))
     if "bvar" in models:
-        paths.append(("bvar", bvar.bvar_fit(system, order, keys, draws=draws).filter(F.col("series_id") == name)))
+        paths.append(("bvar", target_rows(bvar.bvar_fit(system, order, keys, draws=draws), order)))
     if "beq" in models:
-        paths.append(("beq", bridge.bridge_median(bridge.beq_fit(system, known, order[:-1], keys, types=beq_types), keys)))
+        forecasts_of = bridge.beq_fit(system, known, indicators(order), keys, types=beq_types)
+        paths.append(("beq", bridge.bridge_median(forecasts_of, keys)))
     parts = [df.select(*keys, F.lit(model).alias("model"), "period", "value") for model, df in paths]
     simple = [m for m in models if m in SIMPLE]
     if simple:
@@ -52,15 +59,14 @@ def extended(system: DataFrame, keys: list[str], months: int) -> DataFrame:
     return system.select(*keys, "series_id", "period", "value").unionByName(rows)
 
 
-def run_nowcast(system: DataFrame, order: list[str], keys: list[str], **options) -> DataFrame:
+def run_nowcast(system: DataFrame, order: Order, keys: list[str], **options) -> DataFrame:
     """Last observed quarter, the next one and the one after, per model and for the median of the models.
 
     The quarter after the target's last observation is the nowcast; a quarter
     of empty months is added behind the system, so that the one after exists.
     """
-    name = order[-1]
     system = cut(extended(system, keys, 3), "system")
-    last = system.filter((F.col("series_id") == name) & F.col("value").isNotNull()).groupBy(*keys).agg(
+    last = target_rows(system, order).filter(F.col("value").isNotNull()).groupBy(*keys).agg(
         F.max("period").alias("last_period"), F.max_by("value", "period").alias("last_actual")
     )
     rows = model_paths(system, order, keys, **options).join(last, keys)
