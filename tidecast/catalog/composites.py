@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecast.catalog import models
+from tidecast.catalog import models, sources
 from tidecast.catalog.registry import query
 from tidecast.catalog.scores import OK, XY, HORIZON, xy
 from tidecast.operators import metrics, vintage
 from tidecast.plans import backtest, daily, nowcast, prepare
 from tidecast.session import cut, scratch_path
-from tidecast.sources import versioned
+from tidecast.sources import landed, versioned
 
 E = ["entity_id"]
 
@@ -22,6 +22,47 @@ def _(t):
     return prepare.prepare_panel(t.panel, t.meta, E).drop("mu", "sigma")
 
 
+CODES = {"AFRICA": 1, "AMERICA": 2, "ASIA": 3, "EUROPE": 0, "MIDDLE EAST": 4}
+
+
+def landed_records(t):
+    """Regional totals and target levels as records in JSON files, some of them twice."""
+    region = t.region_panel.select("entity_id", F.lit("region").alias("kind"), F.col("series_id").alias("name"), F.col("period").alias("date"), F.col("value").alias("total"))
+    level = t.target.select("entity_id", F.lit("target").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("quarter").alias("date"), F.col("value").alias("total"))
+    again = F.explode(F.when(F.month("date") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    rows = region.unionByName(level).withColumn("seq", again).withColumn("total", F.when(F.col("seq") == 2, F.col("total") + 1).otherwise(F.col("total")))
+    packed = rows.groupBy("kind", F.col("entity_id").alias("segment")).agg(
+        F.concat(F.lit('{"value":['), F.array_join(F.collect_list(F.to_json(F.struct("entity_id", "name", "date", "total", "seq"))), ","), F.lit("]}")).alias("value")
+    )
+    path = sources.land(packed, "landed")
+    fields = {"entity_id": "string", "name": "string", "date": "date", "total": "double", "seq": "int"}
+    return landed.json_objects(t.spark, path, fields, ["date", "total"]).rows
+
+
+@query("prepare_panel_from_files", """
+    WITH v AS (SELECT entity_id, quarter, value, lag(value) OVER (PARTITION BY entity_id ORDER BY quarter) AS was FROM target),
+    q AS (SELECT entity_id, quarter, (value - was) / was AS value FROM v WHERE was > 0),
+    b AS (SELECT entity_id, min(quarter) AS begin FROM q GROUP BY 1),
+    r AS (SELECT entity_id, series_id, period, CASE series_id WHEN 'ASIA' THEN value / 100 WHEN 'EUROPE' THEN ln(value) - ln(lag(value) OVER (PARTITION BY entity_id, series_id ORDER BY period)) ELSE value END AS value FROM region_panel
+      UNION ALL SELECT entity_id, 'target', CAST(quarter + INTERVAL 2 MONTH AS DATE), value FROM q),
+    p AS (SELECT r.* FROM r JOIN b ON b.entity_id = r.entity_id AND r.period >= b.begin WHERE value IS NOT NULL),
+    m AS (SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH)) AS DATE) AS period FROM p),
+    dn AS (SELECT s.entity_id, s.series_id, m.period, p.value FROM (SELECT DISTINCT entity_id, series_id FROM p) s CROSS JOIN m LEFT JOIN p ON p.entity_id = s.entity_id AND p.series_id = s.series_id AND p.period = m.period),
+    lg AS (SELECT *, CASE WHEN value IS NOT NULL THEN ln(greatest(value, 1e-12)) END AS lv FROM dn),
+    tr AS (SELECT entity_id, series_id, period, CASE series_id WHEN 'AFRICA' THEN lv - lag(lv) OVER w WHEN 'AMERICA' THEN value - lag(value) OVER w WHEN 'ASIA' THEN 3 * (lv - lag(lv) OVER w)
+      WHEN 'MIDDLE EAST' THEN lv - lag(lv, 12) OVER w ELSE value END AS value FROM lg WINDOW w AS (PARTITION BY entity_id, series_id ORDER BY period)),
+    sp AS (SELECT entity_id, min(period) AS lo, max(period) AS hi FROM tr WHERE value IS NOT NULL GROUP BY 1),
+    st AS (SELECT entity_id, series_id, coalesce(avg(value), 0) AS mu, CASE WHEN stddev_pop(value) >= 1e-12 THEN stddev_pop(value) ELSE 1 END AS sigma FROM tr GROUP BY 1, 2)
+    SELECT tr.entity_id, tr.series_id, tr.period, (tr.value - mu) / sigma AS value FROM tr JOIN sp ON sp.entity_id = tr.entity_id AND period BETWEEN lo AND hi JOIN st ON st.entity_id = tr.entity_id AND st.series_id = tr.series_id""", "value")
+def _(t):
+    specs = [{"series_id": r, "value_col": "total", "filters": {"kind": "region", "name": r}} for r in CODES]
+    meta = t.spark.createDataFrame(list(CODES.items()), "series_id string, transform int")
+    out = prepare.prepare_records(
+        landed_records(t), specs, {"value_col": "total", "filters": {"kind": "target"}}, meta, E, order="seq", percent=["ASIA"], log_growth=["EUROPE"],
+    )
+    return out.drop("mu", "sigma")
+
+
 @query("run_nowcast")
 def _(t):
     return nowcast.run_nowcast(models.at_vintage(t), models.SYSTEM, E)

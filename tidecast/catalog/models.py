@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidecast.catalog.panels import REGIONS, region_scaled
 from tidecast.catalog.registry import query
 from tidecast.functions import calendar as cal
-from tidecast.operators import bands, bridge, bvar, dfm, metrics, news, selection, state_space, stats, transforms
+from tidecast.operators import bands, boards, bridge, bvar, dfm, news, selection, state_space, stats, transforms
 from tidecast.plans import backtest, nowcast, prepare
 from tidecast.session import cut
 
@@ -476,14 +476,11 @@ def _(t):
 @query("grid_search_score")
 def _(t):
     systems = backtest.vintage_systems(dated_system(t), t.vintages, E)
-    f = dfm.dfm_fit(systems, [*E, "vintage_date"], specs=[(1, 1), (1, 2), (2, 1), (2, 2)])
-    at = cal.quarter_end_month(F.col("vintage_date"))
-    hit = f.project([prepare.TARGET]).filter(F.col("period") == at)
+    specs = [(r, p) for r in (2, 3, 4, 5) for p in (1, 2, 3, 4)]
+    fitted = dfm.dfm_fit(systems, [*E, "vintage_date"], max_iter=30, thresh=1e-5, specs=specs)
+    hit = fitted.project([prepare.TARGET]).filter(F.col("period") == cal.quarter_end_month(F.col("vintage_date")))
     actual = t.growth.select(*E, cal.quarter_end_month(F.col("quarter")).alias("period"), F.col("value").alias("actual"))
-    pairs = hit.withColumnRenamed("value", "pred").join(actual, [*E, "period"])
-    return pairs.groupBy("n_factors", "n_lags").agg(
-        metrics.mae().alias("mae"), metrics.sign_accuracy().alias("sign_accuracy"), F.count(F.lit(1)).alias("n")
-    )
+    return boards.grid_search_score(hit, actual, [*E, "period"])
 
 
 def component_system(t):

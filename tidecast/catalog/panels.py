@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidecast.catalog.registry import query
 from tidecast.functions import calendar as cal
 from tidecast.functions import numeric as num
-from tidecast.operators import forecasts, grid, selection, stats, transforms, vintage
+from tidecast.operators import boards, forecasts, grid, selection, stats, transforms, vintage
+from tidecast.session import scratch_path
+from tidecast.sources import readers
 
 KEYS = ["entity_id", "series_id"]
 
@@ -110,8 +112,7 @@ def _(t):
     SELECT entity_id, CAST(unnest(generate_series(lo, hi, INTERVAL 3 MONTH)) + INTERVAL 27 DAY AS DATE) AS vintage_date
     FROM (SELECT entity_id, min(period) AS lo, max(period) AS hi FROM panel GROUP BY 1)""")
 def _(t):
-    months = grid.period_grid(grid.panel_bounds(t.panel, keys=["entity_id"]), 3)
-    return months.select("entity_id", F.make_date(F.year("period"), F.month("period"), F.lit(28)).alias("vintage_date"))
+    return grid.vintages_between(grid.panel_bounds(t.panel, keys=["entity_id"]), 3, 31)
 
 
 @query("panel_date_range", """
@@ -356,10 +357,7 @@ def _(t):
     SELECT f.quarter, f.metric, f.value AS advance, a.latest_value AS actual, f.value - a.latest_value AS error
     FROM feed f JOIN actuals a ON a.quarter = f.quarter AND a.metric = f.metric AND a.first_release_date = f.seen_date""", "advance error")
 def _(t):
-    a = t.actuals.select("quarter", "metric", F.col("first_release_date").alias("seen_date"), F.col("latest_value").alias("actual"))
-    return t.feed.join(a, ["quarter", "metric", "seen_date"]).select(
-        "quarter", "metric", F.col("value").alias("advance"), "actual", (F.col("value") - F.col("actual")).alias("error")
-    )
+    return boards.advance_errors(t.feed, t.actuals)
 
 
 # --- aggregations ---------------------------------------------------------------------------
@@ -566,13 +564,10 @@ def _(t):
 
 @query("union_years", "SELECT series_id, ref_period, release_date FROM calendar")
 def _(t):
-    c = t.calendar
-    lo, hi = c.agg(F.min(F.year("ref_period")), F.max(F.year("ref_period"))).first()
-    years = [c.filter(F.year("ref_period") == y) for y in range(lo, hi + 1)]
-    out = years[0]
-    for y in years[1:]:
-        out = out.unionByName(y)
-    return out
+    # a folder per year, as releases are landed; all of them are one scan
+    path = scratch_path(t.spark, "calendar")
+    t.calendar.withColumn("year", F.year("ref_period")).write.partitionBy("year").parquet(path)
+    return readers.read_years(t.spark, path)
 
 
 @query("union_log", """

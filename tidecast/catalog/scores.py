@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidecast.catalog.registry import query
 from tidecast.functions import calendar as cal
 from tidecast.functions import numeric as num
-from tidecast.operators import bands, ensemble, metrics, selection, stats, vintage
+from tidecast.operators import bands, boards, ensemble, forecasts, metrics, selection, transforms
 from tidecast.plans import daily
 
 EQ = ["entity_id", "quarter"]
@@ -89,10 +89,7 @@ _metric("sign_accuracy", metrics.sign_accuracy, "avg(CAST(sign(actual) = sign(pr
 
 @query("metric_corr", f"SELECT metric, model, corr(actual, pred) AS corr, max(abs(actual - pred)) AS max_error, avg(abs(actual - pred)) AS mean_error FROM {OK} GROUP BY 1, 2", "corr max_error mean_error")
 def _(t):
-    err = F.abs(F.col("actual") - F.col("pred"))
-    return metrics.complete(t.pairs).groupBy("metric", "model").agg(
-        num.safe_corr("actual", "pred").alias("corr"), F.max(err).alias("max_error"), F.avg(err).alias("mean_error")
-    )
+    return boards.model_fit(t.pairs, ["metric", "model"])
 
 
 TURNS = f"""(SELECT *, CASE WHEN sign(actual - lag(actual) OVER w) <> 0 THEN CAST(sign(actual - lag(actual) OVER w) = sign(pred - lag(pred) OVER w) AS INTEGER) END AS hit
@@ -129,18 +126,15 @@ def _(t):
     return metrics.crps_ensemble(draws, ["metric", "target_quarter"])
 
 
-def _horner(cs) -> str:
-    return reduce(lambda acc, c: f"({acc}) * abs(z) + {c!r}", cs[1:], repr(cs[0]))
-
-
-UPPER = f"""CASE WHEN abs(z) < {num.CDF_TURN} THEN exp(-z * z / 2) * ({_horner(num.CDF_TOP)}) / ({_horner(num.CDF_BELOW)})
-    ELSE exp(-z * z / 2) / (abs(z) + 1 / (abs(z) + 2 / (abs(z) + 3 / (abs(z) + 4 / (abs(z) + 0.65))))) / 2.506628274631 END"""
+# the normal distribution function by its power series, the double factorials from lgamma
+SERIES_TERMS = "list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln(greatest(abs(z), 1e-12)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+BELOW = f"CASE WHEN abs(z) > 9 THEN CAST(z > 0 AS INTEGER) ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * {SERIES_TERMS} END"
 
 
 @query("metric_crps_normal", f"""
     WITH s AS (SELECT metric, model, actual, pred, greatest(stddev_pop(pred - actual) OVER (PARTITION BY metric, model), 1e-6) AS sd FROM {OK}),
-    z AS (SELECT *, (actual - pred) / sd AS z FROM s), c AS (SELECT *, {UPPER} AS u FROM z)
-    SELECT metric, model, avg(sd * (z * (2 * CASE WHEN z > 0 THEN 1 - u ELSE u END - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))) AS crps
+    z AS (SELECT *, (actual - pred) / sd AS z FROM s), c AS (SELECT *, {BELOW} AS below FROM z)
+    SELECT metric, model, avg(sd * (z * (2 * below - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))) AS crps
     FROM c GROUP BY 1, 2""", "crps")
 def _(t):
     pairs, keys = metrics.complete(t.pairs), ["metric", "model"]
@@ -168,37 +162,35 @@ LB = """SELECT entity_id, quarter, model, pred, actual FROM preds WHERE pred IS
     UNION ALL SELECT entity_id, quarter, 'ensemble', avg(pred), any_value(actual) FROM preds GROUP BY 1, 2 HAVING count(pred) >= 2"""
 
 
-def with_ensemble(preds):
-    mean = preds.groupBy(*EQ).agg(
-        F.avg("pred").alias("pred"), F.first("actual").alias("actual"), F.count("pred").alias("n")
-    ).filter("n >= 2").drop("n").withColumn("model", F.lit("ensemble"))
-    return preds.filter("pred is not null").unionByName(mean)
-
-
 @query("leaderboard", f"""
     WITH l AS ({LB}), s AS (SELECT entity_id, model, quarter < DATE '1999-01-01' AS early, actual, pred, CASE WHEN sign(actual - lag(actual) OVER w) <> 0 THEN CAST(sign(actual - lag(actual) OVER w) = sign(pred - lag(pred) OVER w) AS INTEGER) END AS hit
       FROM l WINDOW w AS (PARTITION BY entity_id, model ORDER BY quarter)),
     f AS (SELECT entity_id, model, avg(abs(actual - pred)) AS mae, avg(hit) AS fda, count(*) AS n, avg(CASE WHEN NOT early THEN abs(actual - pred) END) AS mae_ex FROM s GROUP BY 1, 2)
     SELECT *, CAST(rank() OVER (PARTITION BY entity_id ORDER BY round(mae, 9)) AS INTEGER) AS mae_rank FROM f""", "mae fda mae_ex")
 def _(t):
-    turns = metrics.with_turns(with_ensemble(t.preds), ["entity_id", "model"], ["quarter"], F.year("quarter"))
-    late = F.when(F.col("quarter") >= F.lit("1999-01-01").cast("date"), F.abs(F.col("actual") - F.col("pred")))
-    board = turns.groupBy("entity_id", "model").agg(
-        metrics.mae().alias("mae"), metrics.fda().alias("fda"), F.count(F.lit(1)).alias("n"), F.avg(late).alias("mae_ex")
-    )
-    return board.withColumn("mae_rank", F.rank().over(Window.partitionBy("entity_id").orderBy(F.round("mae", 9))))
+    late = F.col("quarter") >= F.lit("1999-01-01").cast("date")
+    return boards.leaderboard(boards.with_ensemble(t.preds, EQ), ["entity_id"], ["quarter"], late, F.year("quarter"))
 
 
-CG = """(SELECT entity_id, component, quarter, 100 * (ln(value) - ln(lag(value) OVER w)) AS value, 100 * (ln(lag(value) OVER w) - ln(lag(value, 2) OVER w)) AS pred FROM components
-    WINDOW w AS (PARTITION BY entity_id, component ORDER BY quarter))"""
+CG = """
+    WITH v AS (SELECT entity_id, component, quarter, value AS now, lag(value) OVER (PARTITION BY entity_id, component ORDER BY quarter) AS was FROM components WHERE value IS NOT NULL),
+    g AS (SELECT entity_id, component, quarter, 100 * (ln(now) - ln(was)) AS value FROM v WHERE now > 0 AND was > 0),
+    l AS (SELECT *, lag(value) OVER w AS lv, avg(value) OVER (PARTITION BY entity_id, component ORDER BY quarter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mean, row_number() OVER w AS rn FROM g WINDOW w AS (PARTITION BY entity_id, component ORDER BY quarter)),
+    r AS (SELECT *, regr_slope(value, lv) OVER w AS b, regr_intercept(value, lv) OVER w AS a, count(lv) OVER w AS n FROM l WINDOW w AS (PARTITION BY entity_id, component ORDER BY quarter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    p AS (SELECT entity_id, component, quarter, value, unnest(['NAIVE', 'MEAN', 'AR1']) AS model, unnest([lv, mean, CASE WHEN rn > 6 AND n >= 4 THEN a + b * lv END]) AS pred FROM r)"""
 
 
-@query("component_leaderboard", f"SELECT component, upper('naive') AS model, avg(abs(value - pred)) AS mae, count(*) AS n FROM {CG} WHERE pred IS NOT NULL AND value IS NOT NULL GROUP BY 1", "mae")
+@query("component_leaderboard", f"{CG} SELECT component, model, avg(abs(value - pred)) AS mae, count(*) AS n FROM p WHERE pred IS NOT NULL GROUP BY 1, 2", "mae")
 def _(t):
-    w = Window.partitionBy("entity_id", "component").orderBy("quarter")
-    g = t.components.withColumn("actual", 100 * (F.ln("value") - F.ln(F.lag("value").over(w))))
-    pairs = metrics.complete(g.withColumn("pred", F.lag("actual").over(w)).withColumn("model", F.upper(F.lit("naive"))))
-    return pairs.groupBy("component", "model").agg(metrics.mae().alias("mae"), F.count(F.lit(1)).alias("n"))
+    keys = ["entity_id", "component"]
+    change = transforms.growth_dlog_rows(t.components.withColumnRenamed("quarter", "period"), keys)
+    growth = change.withColumnRenamed("period", "quarter").withColumn("value", 100 * F.col("value"))
+    made = {
+        "naive": forecasts.naive_persistence(growth, keys), "mean": forecasts.expanding_mean(growth, keys),
+        "ar1": forecasts.expanding_ar1(growth, keys, start=6),
+    }
+    parts = [df.select(*keys, "quarter", F.lit(m).alias("model"), "pred", F.col("value").alias("actual")) for m, df in made.items()]
+    return boards.component_leaderboard(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 @query("benchmark_compare", f"""
@@ -206,14 +198,7 @@ def _(t):
       UNION ALL SELECT f.metric, 'advance', round(avg(abs(f.value - a.latest_value)), 6) FROM feed f JOIN actuals a ON a.quarter = f.quarter AND a.metric = f.metric AND a.first_release_date = f.seen_date GROUP BY 1)
     SELECT entity_id, arg_min(model, mae) AS winner, min(mae) AS mae, max(CASE WHEN model = 'advance' THEN mae END) AS advance_mae FROM m GROUP BY 1""", "mae advance_mae")
 def _(t):
-    scores = with_ensemble(t.preds).groupBy("entity_id", "model").agg(F.round(metrics.mae(), 6).alias("mae"))
-    a = t.actuals.select("quarter", "metric", F.col("first_release_date").alias("seen_date"), F.col("latest_value").alias("actual"))
-    first = t.feed.withColumnRenamed("value", "pred").join(a, ["quarter", "metric", "seen_date"])
-    advance = first.groupBy(F.col("metric").alias("entity_id"), F.lit("advance").alias("model")).agg(F.round(metrics.mae(), 6).alias("mae"))
-    return scores.unionByName(advance).groupBy("entity_id").agg(
-        F.min_by("model", "mae").alias("winner"), F.min("mae").alias("mae"),
-        F.max(F.when(F.col("model") == "advance", F.col("mae"))).alias("advance_mae"),
-    )
+    return boards.benchmark_compare(boards.with_ensemble(t.preds, EQ), boards.advance_errors(t.feed, t.actuals), "entity_id")
 
 
 @query("backcast_error", """
@@ -228,8 +213,8 @@ def _(t):
     SELECT a.entity_id, a.component, a.quarter, (a.value / b.value - 1) * 100 AS yoy FROM components a JOIN components b ON a.entity_id = b.entity_id AND a.component = b.component
     AND a.quarter = CAST(b.quarter + INTERVAL 12 MONTH AS DATE) WHERE b.value > 0 AND a.component <> 'R'""", "yoy")
 def _(t):
-    comparable = t.components.filter(F.col("component") != "R")
-    return stats.level_yoy(comparable, ["entity_id", "component"]).select("entity_id", "component", "quarter", "yoy")
+    unit = F.when(F.col("component") == "R", "USD").otherwise("MYR")
+    return boards.consensus_yoy(t.components.withColumn("unit", unit), ["entity_id", "component"], "unit", ["MYR"])
 
 
 @query("dashboard_feed", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidecast.catalog.registry import query
+from tidecast.catalog.scores import HORIZON
 from tidecast.functions import calendar as cal
 from tidecast.operators import forecasts, impute, metrics, transforms
 
@@ -160,16 +161,17 @@ def _(t):
     return forecasts.ar1_forecast(t.growth, ["entity_id"])
 
 
-@query("rank_models", """
-    SELECT metric, model, mae, fda, CAST(rank() OVER (PARTITION BY metric ORDER BY mae) AS INTEGER) AS mae_rank,
-           rank() OVER (PARTITION BY metric ORDER BY mae) = 1 AS best_mae, coalesce(fda = max(fda) OVER (PARTITION BY metric), FALSE) AS best_fda
-    FROM (SELECT metric, model, round(avg(abs(actual - pred)), 6) AS mae, avg(CASE WHEN da <> 0 THEN CAST(da = dp AS INTEGER) END) AS fda
-          FROM (SELECT *, sign(actual - lag(actual) OVER w) AS da, sign(pred - lag(pred) OVER w) AS dp FROM (SELECT * FROM pairs WHERE pred IS NOT NULL AND actual IS NOT NULL AND run_date <= CAST(substr(target_quarter, 1, 4) || '-' || lpad(CAST(CAST(right(target_quarter, 1) AS INTEGER) * 3 - 2 AS VARCHAR), 2, '0') || '-01' AS DATE))
-                WINDOW w AS (PARTITION BY metric, model ORDER BY target_quarter)) GROUP BY 1, 2)""", "mae fda")
+@query("rank_models", f"""
+    WITH h AS (SELECT *, {HORIZON} AS horizon FROM pairs WHERE pred IS NOT NULL AND actual IS NOT NULL),
+    d AS (SELECT *, sign(actual - lag(actual) OVER w) AS da, sign(pred - lag(pred) OVER w) AS dp FROM h WINDOW w AS (PARTITION BY metric, horizon, model ORDER BY target_quarter, run_date)),
+    s AS (SELECT metric, horizon, model, round(avg(abs(actual - pred)), 6) AS mae, avg(CASE WHEN da <> 0 THEN CAST(da = dp AS INTEGER) END) AS fda FROM d GROUP BY 1, 2, 3 HAVING count(*) >= 3)
+    SELECT metric, horizon, model, mae, fda, CAST(rank() OVER (PARTITION BY metric, horizon ORDER BY mae) AS INTEGER) AS mae_rank,
+           rank() OVER (PARTITION BY metric, horizon ORDER BY mae) = 1 AS best_mae, coalesce(fda = max(fda) OVER (PARTITION BY metric, horizon), FALSE) AS best_fda FROM s""", "mae fda")
 def _(t):
-    pairs = t.pairs.filter(F.col("run_date") <= cal.parse_quarter(F.col("target_quarter")))
-    scores = metrics.score_nowcasts(pairs, ["metric", "model"], ["target_quarter"]).withColumn("mae", F.round("mae", 6))
-    return metrics.rank_models(scores.drop("rmse", "n"), ["metric"])
+    target = ["metric", "horizon"]
+    pairs = t.pairs.withColumn("horizon", cal.horizon_bucket(F.col("run_date"), F.col("target_quarter")))
+    scores = metrics.score_nowcasts(pairs, [*target, "model"], ["target_quarter", "run_date"]).withColumn("mae", F.round("mae", 6))
+    return metrics.rank_models(scores.drop("rmse", "n"), target)
 
 
 @query("growth_to_level", """
@@ -180,14 +182,14 @@ def _(t):
 
 
 @query("level_path", """
-    WITH b AS (SELECT p.entity_id, p.quarter, p.pred / 100 AS g, CASE WHEN p.quarter < DATE '2000-07-01' THEN t.value END AS actual
-               FROM preds p JOIN target t ON t.entity_id = p.entity_id AND t.quarter = p.quarter WHERE p.model = 'mean' AND pred IS NOT NULL),
-    l AS (SELECT entity_id, arg_max(actual, quarter) AS base FROM b WHERE actual IS NOT NULL GROUP BY 1)
-    SELECT b.entity_id, b.quarter, coalesce(b.actual, base * exp(sum(CASE WHEN actual IS NULL THEN ln(1 + g) ELSE 0 END) OVER (PARTITION BY b.entity_id ORDER BY b.quarter))) AS level,
+    WITH b AS (SELECT p.entity_id, p.model, p.quarter, p.pred / 100 AS g, CASE WHEN p.quarter < DATE '2000-07-01' THEN t.value END AS actual
+               FROM preds p JOIN target t ON t.entity_id = p.entity_id AND t.quarter = p.quarter WHERE pred IS NOT NULL),
+    l AS (SELECT entity_id, model, arg_max(actual, quarter) AS base FROM b WHERE actual IS NOT NULL GROUP BY 1, 2)
+    SELECT b.entity_id, b.model, b.quarter, coalesce(b.actual, base * exp(sum(CASE WHEN actual IS NULL THEN ln(1 + g) ELSE 0 END) OVER (PARTITION BY b.entity_id, b.model ORDER BY b.quarter))) AS level,
            CASE WHEN actual IS NOT NULL THEN 'actual' WHEN b.quarter = DATE '2000-07-01' THEN 'nowcast' ELSE 'forecast' END AS status
-    FROM b JOIN l ON l.entity_id = b.entity_id""", "level:4")
+    FROM b JOIN l ON l.entity_id = b.entity_id AND l.model = b.model""", "level:4")
 def _(t):
-    rows = t.preds.filter("model = 'mean' and pred is not null").join(t.target, ["entity_id", "quarter"])
+    rows = t.preds.filter("pred is not null").join(t.target, ["entity_id", "quarter"])
     known = F.when(F.col("quarter") < F.lit("2000-07-01").cast("date"), F.col("value"))
-    path = rows.select("entity_id", "quarter", known.alias("actual"), (F.col("pred") / 100).alias("growth"))
-    return transforms.level_path(path, ["entity_id"]).select("entity_id", "quarter", "level", "status")
+    path = rows.select("entity_id", "model", "quarter", known.alias("actual"), (F.col("pred") / 100).alias("growth"))
+    return transforms.level_path(path, ["entity_id", "model"]).select("entity_id", "model", "quarter", "level", "status")

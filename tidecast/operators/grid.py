@@ -25,14 +25,18 @@ def period_grid(bounds: DataFrame, step: int = 1) -> DataFrame:
     )
 
 
+def vintages_between(bounds: DataFrame, step: int = 1, day: int = 1) -> DataFrame:
+    """Vintage dates of every row of ``bounds`` (keys, lo, hi), every ``step`` months; the day is capped at 28."""
+    keys = [c for c in bounds.columns if c not in ("lo", "hi")]
+    return period_grid(bounds, step).select(
+        *keys, F.make_date(F.year("period"), F.month("period"), F.lit(min(day, 28))).alias("vintage_date")
+    )
+
+
 def vintage_grid(spark: SparkSession, start: str, end: str, step: int = 1, day: int = 1) -> DataFrame:
     """Vintage dates from month ``start`` to month ``end``; the day is capped at 28."""
-    months = cal.months_between_inclusive(
-        cal.month_start(F.lit(start)), cal.month_start(F.lit(end)), step
-    )
-    return spark.range(1).select(
-        F.explode(months).alias("m")
-    ).select(F.make_date(F.year("m"), F.month("m"), F.lit(min(day, 28))).alias("vintage_date"))
+    bounds = spark.range(1).select(cal.month_start(F.lit(start)).alias("lo"), cal.month_start(F.lit(end)).alias("hi"))
+    return vintages_between(bounds, step, day)
 
 
 def panel_bounds(panel: DataFrame, start: str | None = None, keys: list[str] = ()) -> DataFrame:

@@ -58,12 +58,12 @@ def dedup(rows: DataFrame, keys: list[str], order: str, keep: str = "last") -> D
     return rows.groupBy(*keys).agg(pick(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
-def load_series(records: DataFrame, specs: list[dict], date: str = "date", order: str | None = None) -> DataFrame:
+def load_series(records: DataFrame, specs: list[dict], date: str = "date", order: str | None = None, keys: list[str] = ()) -> DataFrame:
     """Cut every specified series out of a wide multi-series dataset, in one scan.
 
     A spec is {series_id, value_col, filters}. Each record unfolds into the
     series whose filters it meets; missing values and repeated dates go (the
-    first record of a date stays).
+    first record of a date stays). ``keys`` are columns of the records that tell panels apart.
     """
     entries = []
     for spec in specs:
@@ -75,9 +75,9 @@ def load_series(records: DataFrame, specs: list[dict], date: str = "date", order
         entries.append(F.struct(F.lit(spec["series_id"]).alias("series_id"), value.alias("value")))
     at = F.to_date(date)
     rank = F.col(order) if order else F.col(date)
-    rows = records.select(at.alias("date"), rank.alias("rank"), F.inline(F.array(*entries)))
+    rows = records.select(*keys, at.alias("date"), rank.alias("rank"), F.inline(F.array(*entries)))
     rows = rows.filter(F.col("value").isNotNull())
-    return rows.groupBy("series_id", "date").agg(F.min_by("value", "rank").alias("value"))
+    return rows.groupBy(*keys, "series_id", "date").agg(F.min_by("value", "rank").alias("value"))
 
 
 __all__ = ["dedup", "json_rates", "json_records", "last_per_cell", "load_series", "observations"]

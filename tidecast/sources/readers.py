@@ -18,6 +18,16 @@ def read_wide_csv(spark: SparkSession, path: str, series: list[str]) -> DataFram
     return _dated(raw).select("date", *[F.col(f"`{s}`").try_cast("double").alias(s) for s in series])
 
 
+def read_years(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """A table kept in a folder per year, as one scan; years outside the bounds are not read."""
+    rows = spark.read.parquet(path)
+    if first is not None:
+        rows = rows.filter(F.col("year") >= first)
+    if last is not None:
+        rows = rows.filter(F.col("year") <= last)
+    return rows.drop("year")
+
+
 def _dated(df: DataFrame) -> DataFrame:
     if "date" not in df.columns:
         raise ValueError("a 'date' column is required")
