@@ -124,18 +124,48 @@ def test_stream_equals_batch_when_releases_arrive_out_of_order(spark, tmp_path):
     batches = [
         [("2024-Q1", "gdp", d(2024, 6, 1), 2.0, 2015), ("2024-Q1", "cpi", d(2024, 6, 1), None, 2015)],
         [("2024-Q1", "gdp", d(2024, 5, 1), 1.5, 2015), ("2024-Q2", "gdp", d(2024, 8, 1), 3.0, 2015)],
-        [("2024-Q1", "gdp", d(2024, 9, 1), 2.5, 2020), ("2024-Q1", "cpi", d(2024, 7, 1), 4.0, 2015)],
+        [("2024-Q1", "gdp", d(2024, 9, 1), 2.5, 2020), ("2024-Q1", "cpi", d(2024, 7, 1), 4.0, None)],
     ]
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, FEED).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
     stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     folder = jobs.run_to_table(jobs.first_release_updates(stream), "update")
-    got = jobs.current_rows(spark.read.parquet(folder), ["quarter", "metric"])
+    got = jobs.frozen_table(spark.read.parquet(folder))
     everything = spark.createDataFrame([r for b in batches for r in b], FEED)
     want = vintage.freeze_first_release(everything).select(*got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_old_releases_leave_the_state(spark, tmp_path):
+    d = dt.date
+    batches = [
+        [(f"2020-Q{q}", "gdp", d(2020, 2 * q, 1), float(q), None) for q in (1, 2, 3, 4)],
+        [("2020-Q4", "gdp", d(2020, 7, 20), 3.5, 2015), ("2020-Q4", "gdp", d(2020, 9, 1), 9.0, None)],
+        [("2022-Q1", "gdp", d(2022, 5, 1), 7.0, 2015)],
+        [("2022-Q2", "gdp", d(2022, 6, 1), 8.0, 2015), ("2020-Q1", "gdp", d(2022, 6, 2), 0.5, 2020)],
+    ]
+    root, state = str(tmp_path / "out"), []
+
+    def keep(batch, i):
+        batch.write.mode("overwrite").parquet(f"{root}/data/b={i}")
+
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, FEED).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+        stream = spark.readStream.schema(FEED).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        query = jobs.first_release_updates(stream, late=60, keep=200).writeStream.outputMode("update").foreachBatch(keep).option(
+            "checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+        state.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    # four keys (and their timers) are held; a watermark of March 2022 forgets them all
+    assert state[1] >= 4 and state[2] < state[1], state
+    got = {r["quarter"]: r for r in jobs.frozen_table(spark.read.parquet(f"{root}/data")).collect()}
+    late = got["2020-Q4"]
+    assert (late["first_release_date"], late["first_value"], late["base_year"], late["latest_value"]) == (d(2020, 7, 20), 3.5, 2015, 9.0)
+    # a key that comes back after it was forgotten keeps its first value
+    back = got["2020-Q1"]
+    assert (back["first_value"], back["latest_value"], back["base_year"], back["last_update_date"]) == (1.0, 0.5, None, d(2022, 6, 2))
+
+
 def test_log_stream_last_wins(spark, tmp_path):
     schema = "run_date string, loaded int, value double"
     table = str(tmp_path / "log")

@@ -385,8 +385,9 @@ def _(t):
     path = scratch_path(t.spark, "feed")
     t.feed.repartition(3, "seen_date").write.parquet(path)
     feed = t.spark.readStream.schema(t.feed.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    folder = jobs.run_to_table(jobs.first_release_updates(feed), "update", "first")
-    return jobs.current_rows(t.spark.read.parquet(folder), ["quarter", "metric"])
+    # the files hold releases of many years in no order
+    folder = jobs.run_to_table(jobs.first_release_updates(feed, late=4000, keep=400), "update", "first")
+    return jobs.frozen_table(t.spark.read.parquet(folder))
 
 
 @query("stream_log_upsert", """
