@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidecast.catalog import recursions
 from tidecast.catalog.panels import REGIONS, region_scaled
 from tidecast.catalog.registry import query
 from tidecast.functions import calendar as cal
-from tidecast.operators import bands, boards, bridge, bvar, dfm, news, selection, state_space, stats, transforms
+from tidecast.operators import bands, boards, bridge, bvar, dfm, grid, news, selection, state_space, stats, transforms
 from tidecast.plans import backtest, nowcast, prepare
 from tidecast.session import cut
 
@@ -110,17 +111,37 @@ def _(t):
     return state_space.kalman_filter_scalar(collapsed(t, 1), E, 0.8, 0.2)
 
 
-@query("kalman_filter_grouped")
+SUMS = f"""(SELECT entity_id, period, coalesce(sum(CASE WHEN v IS NOT NULL THEN c1 * c1 / r END), 0) AS i11, coalesce(sum(CASE WHEN v IS NOT NULL THEN c1 * c2 / r END), 0) AS i12,
+    coalesce(sum(CASE WHEN v IS NOT NULL THEN c2 * c2 / r END), 0) AS i22, coalesce(sum(c1 * v / r), 0) AS b1, coalesce(sum(c2 * v / r), 0) AS b2, count(v) AS n,
+    coalesce(sum(CASE WHEN v IS NOT NULL THEN ln(r) END), 0) AS log_r, coalesce(sum(v * v / r), 0) AS yy FROM {LOADED} GROUP BY 1, 2)"""
+FILTERED = f"WITH RECURSIVE {recursions.two_state_filter(SUMS)}"
+
+
+def flat(name: str, *cells: tuple[int, str]):
+    return [F.col(name)[i].alias(c) for i, c in cells]
+
+
+@query("kalman_filter_grouped", f"""{FILTERED}
+    SELECT entity_id, period, z1, z2, v11, v12, v22, p1, p2, q11, q12, q22 FROM f WHERE t > 0""", "z1 z2 v11 v12 v22 p1 p2 q11 q12 q22")
 def _(t):
-    return state_space.kalman_filter(collapsed(t), plain_params(t, 2), E)
+    rows = state_space.kalman_filter(collapsed(t), plain_params(t, 2), E)
+    sym = lambda c: ((0, f"{c}11"), (1, f"{c}12"), (3, f"{c}22"))
+    return rows.select(*E, "period", *flat("z", (0, "z1"), (1, "z2")), *flat("v", *sym("v")), *flat("z_pred", (0, "p1"), (1, "p2")), *flat("v_pred", *sym("q")))
 
 
-@query("kalman_smooth")
+@query("kalman_smooth", f"""{FILTERED},
+    {recursions.TWO_STATE_SMOOTHER}
+    SELECT entity_id, period, z1, z2, w11, w12, w22 FROM g""", "z1 z2 w11 w12 w22")
 def _(t):
-    return state_space.kalman_smooth(collapsed(t), plain_params(t, 2), E)
+    rows = state_space.kalman_smooth(collapsed(t), plain_params(t, 2), E)
+    return rows.select(*E, "period", *flat("z", (0, "z1"), (1, "z2")), *flat("v", (0, "w11"), (1, "w12"), (3, "w22")))
 
 
-@query("kalman_loglik")
+@query("kalman_loglik", f"""{FILTERED},
+    l AS (SELECT entity_id, n * ln(2 * pi()) + log_r + ln((q11 * q22 - q12 * q12) / (v11 * v22 - v12 * v12)) + yy - 2 * (p1 * b1 + p2 * b2) + p1 * p1 * i11 + 2 * p1 * p2 * i12 + p2 * p2 * i22
+        - (r1 * r1 * v11 + 2 * r1 * r2 * v12 + r2 * r2 * v22) AS term
+      FROM (SELECT f.*, s.n, log_r, yy, i11, i12, i22, b1, b2, b1 - i11 * p1 - i12 * p2 AS r1, b2 - i12 * p1 - i22 * p2 AS r2 FROM f JOIN s ON s.entity_id = f.entity_id AND s.t = f.t) WHERE n > 0)
+    SELECT entity_id, -0.5 * sum(term) AS loglik FROM l GROUP BY 1""", "loglik")
 def _(t):
     return state_space.kalman_loglik(collapsed(t), plain_params(t, 2), E)
 
@@ -140,6 +161,18 @@ def _(t):
     return fit(t).state.select(*E, "r", "p", "it", "loglik", "done")
 
 
+@query("dfm_fit_wide")
+def _(t):
+    """Every customer is a series of one key: more of them than one block takes, so sums are added up over blocks."""
+    sales = t.raw("orders").select(
+        F.lit("all").alias("entity_id"), F.col("o_custkey").cast("string").alias("series_id"), cal.month_start(F.col("o_orderdate")).alias("period"),
+        F.col("o_totalprice").alias("value"),
+    ).groupBy(*E, "series_id", "period").agg(F.sum("value").alias("value"))
+    dense = grid.align_to_grid(sales, t.span["lo"], t.span["hi"])
+    spent = dense.withColumn("value", F.ln(1 + F.coalesce("value", F.lit(0.0))))
+    return dfm.dfm_fit(spent, E, 1, 1, 25, block_size=128).state.select(*E, "r", "p", "it", "loglik", "done")
+
+
 @query("dfm_project")
 def _(t):
     return fit(t).project()
@@ -191,9 +224,38 @@ def moments(t):
     return cut(bvar.system_moments(region_scaled(t), REGIONS, 2, E), "moments")
 
 
-@query("minnesota_posterior")
+#: Posterior of a VAR with two lags of five series: the data and the prior's rows are added up and solved together.
+POSTERIOR = f"""
+    WITH RECURSIVE n AS (SELECT unnest(range(1, 6)) AS i, unnest(['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST']) AS series_id),
+    z AS (SELECT s.entity_id, s.period, n.i, s.value FROM scaled_region s JOIN n ON n.series_id = s.series_id),
+    y AS (SELECT entity_id, period, list(value ORDER BY i) AS y FROM z GROUP BY 1, 2),
+    x AS (SELECT *, lag(y) OVER w || lag(y, 2) OVER w AS x FROM y WINDOW w AS (PARTITION BY entity_id ORDER BY period)),
+    r AS (SELECT entity_id, x || y AS v FROM x WHERE len(x) = 10),
+    m AS (SELECT entity_id, i, avg(value) AS m, greatest(CASE WHEN stddev_samp(value) < 1e-10 THEN 1 ELSE stddev_samp(value) END, 0.01) AS s FROM z GROUP BY 1, 2),
+    each_ AS (SELECT m.entity_id, list_transform(range(1, 16), lambda c: CASE WHEN c = 5 * (l.l - 1) + m.i OR c = 10 + m.i THEN s * l.l / 0.2 ELSE 0.0 END) AS v FROM m, (SELECT unnest([1, 2]) AS l) l
+      UNION ALL SELECT entity_id, list_transform(range(1, 16), lambda c: CASE WHEN (c - 1) % 5 + 1 = i THEN s * m ELSE 0.0 END) FROM m
+      UNION ALL SELECT entity_id, list(s * m ORDER BY i) || list(s * m ORDER BY i) || list(s * m ORDER BY i) FROM m GROUP BY 1
+      UNION ALL SELECT entity_id, v FROM r),
+    ij AS (SELECT entity_id, v, i, unnest(range(1, 16)) AS j FROM (SELECT *, unnest(range(1, 16)) AS i FROM each_)),
+    sums AS (SELECT entity_id, i, j, sum(v[i] * v[j]) AS s, count(*) AS t FROM ij GROUP BY 1, 2, 3),
+    lines AS (SELECT entity_id, i, list(s ORDER BY j) AS v, max(t) AS t FROM sums GROUP BY 1, 2),
+    mat AS (SELECT entity_id, 10::BIGINT AS k, 15::BIGINT AS w, list(v ORDER BY i) AS m FROM lines WHERE i <= 10 GROUP BY 1),
+    {recursions.solved("b", "mat", "entity_id")},
+    yy AS (SELECT entity_id, list(v ORDER BY i) AS v, max(t) AS t FROM lines WHERE i > 10 GROUP BY 1),
+    p AS (SELECT b.entity_id, b.b, yy.v, yy.t, unnest(range(1, 6)) AS i FROM b JOIN yy ON yy.entity_id = b.entity_id)
+    SELECT entity_id, 'b' AS part, CAST(i AS INTEGER) AS equation, CAST(c AS INTEGER) AS place, b[c][i] AS value FROM (SELECT *, unnest(range(1, 11)) AS c FROM p)
+    UNION ALL SELECT entity_id, 'sigma', CAST(i AS INTEGER), CAST(c AS INTEGER), (v[i][10 + c] - list_sum(list_transform(range(1, 11), lambda k: v[i][k] * b[k][c]))) / t FROM (SELECT *, unnest(range(1, 6)) AS c FROM p)"""
+
+
+@query("minnesota_posterior", POSTERIOR, "value")
 def _(t):
-    return bvar.minnesota_posterior(moments(t), E)
+    rows, n = bvar.minnesota_posterior(moments(t), E), len(REGIONS)
+
+    def cells(name: str, width: int):
+        at = rows.select(*E, F.posexplode(name).alias("p", "value"))
+        return at.select(*E, F.lit(name).alias("part"), (F.floor(F.col("p") / width) + 1).cast("int").alias("equation"), (F.col("p") % width + 1).cast("int").alias("place"), "value")
+
+    return cells("b", 2 * n).unionByName(cells("sigma", n))
 
 
 @query("bvar_log_ml")
@@ -279,7 +341,27 @@ def indicators(t):
     return at_vintage(t).filter(F.col("series_id") != prepare.TARGET)
 
 
-@query("extrapolate_ar")
+#: The regional indicators as known on one day, and each series' autoregression of six lags without constant.
+KNOWN = """q AS (SELECT *, 100 * (lv - lag(lv) OVER (PARTITION BY entity_id, series_id ORDER BY period)) AS ch FROM (SELECT *, CASE WHEN value IS NOT NULL THEN ln(greatest(value, 1e-12)) END AS lv FROM region_dense)),
+    d AS (SELECT q.entity_id, q.series_id, q.period, q.ch, last_day(q.period) + CAST(10 + 7 * region.r_regionkey AS INTEGER) AS release_date FROM q JOIN region ON region.r_name = q.series_id),
+    e AS (SELECT *, max(CASE WHEN ch IS NOT NULL AND release_date <= DATE '2001-02-15' THEN period END) OVER (PARTITION BY entity_id, series_id) AS edge FROM d),
+    known AS (SELECT entity_id, series_id, period, CASE WHEN period <= edge THEN ch END AS value, row_number() OVER (PARTITION BY entity_id, series_id ORDER BY period) AS t FROM e WHERE period <= DATE '2001-03-01')"""
+
+
+@query("extrapolate_ar", f"""
+    WITH RECURSIVE {KNOWN},
+    l AS (SELECT entity_id, series_id, list(value ORDER BY t) AS x, max(CASE WHEN value IS NOT NULL THEN t END) AS last, count(value) AS seen, count(*) AS size FROM known GROUP BY 1, 2),
+    g AS (SELECT entity_id, series_id, x[t] AS y, list_transform(range(1, 7), lambda i: x[t - i]) AS v FROM (SELECT *, unnest(range(7, last + 1)) AS t FROM l WHERE seen >= 8 AND last < size)),
+    u AS (SELECT entity_id, series_id, v || [y] AS v FROM g WHERE y IS NOT NULL AND len(list_filter(v, lambda a: a IS NULL)) = 0),
+    ij AS (SELECT *, unnest(range(1, 8)) AS j FROM (SELECT *, unnest(range(1, 7)) AS i FROM u)),
+    sums AS (SELECT entity_id, series_id, i, j, sum(v[i] * v[j]) AS s, count(*) AS n FROM ij GROUP BY 1, 2, 3, 4),
+    lines AS (SELECT entity_id, series_id, i, list(s ORDER BY j) AS v FROM sums WHERE n >= 7 GROUP BY 1, 2, 3),
+    mat AS (SELECT entity_id, series_id, 6::BIGINT AS k, 7::BIGINT AS w, list(v ORDER BY i) AS m FROM lines GROUP BY 1, 2),
+    {recursions.solved("b", "mat", "entity_id, series_id")},
+    p(entity_id, series_id, t, size, recent, b) AS (SELECT l.entity_id, l.series_id, last, size, list_transform(range(0, 6), lambda i: x[last - i]), list_transform(b, lambda r: r[1]) FROM l JOIN b ON b.entity_id = l.entity_id AND b.series_id = l.series_id
+      UNION ALL SELECT entity_id, series_id, t + 1, size, [CASE WHEN len(list_filter(recent, lambda a: a IS NULL)) = 0 THEN list_sum(list_transform(range(1, 7), lambda i: recent[i] * b[i])) END] || recent[1:5], b FROM p WHERE t < size)
+    SELECT k.entity_id, k.series_id, k.period, CASE WHEN k.value IS NULL AND p.t > l.last THEN p.recent[1] ELSE k.value END AS value
+    FROM known k JOIN l ON l.entity_id = k.entity_id AND l.series_id = k.series_id LEFT JOIN p ON p.entity_id = k.entity_id AND p.series_id = k.series_id AND p.t = k.t""", "value")
 def _(t):
     return bridge.extrapolate_ar(indicators(t))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidecast.catalog import recursions
 from tidecast.catalog.registry import query
 from tidecast.catalog.scores import HORIZON
 from tidecast.functions import calendar as cal
@@ -107,7 +108,7 @@ def _(t):
     return impute.impute_block(logs(t))
 
 
-@query("impute_spline")
+@query("impute_spline", f"WITH RECURSIVE {recursions.spline('logdense')} SELECT entity_id, series_id, period, value FROM filled", "value")
 def _(t):
     return impute.impute_spline(logs(t))
 

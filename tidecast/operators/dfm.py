@@ -265,16 +265,18 @@ def fit_wide(blocks: DataFrame, keys: list[str], factors: int, lags: int, max_it
     """Steps over the blocks of all wide keys together; settled keys are set aside."""
     state = cut(initial_states(blocks, keys, factors, lags, grouped), "state")
     finished: DataFrame | None = None
-    for step in range(max_iter):
-        old, state = state, cut(em_step(blocks, state, keys, thresh), "state")
-        if step == 0:
-            discard(old)
+    written = [state]
+    for _ in range(max_iter):
+        state = cut(em_step(blocks, state, keys, thresh), "state")
+        written.append(state)
         settled = state.filter("done")
         finished = settled if finished is None else finished.unionByName(settled)
         state = state.filter("not done")
         if state.isEmpty():
             break
     basis = cut(state if finished is None else state.unionByName(finished), "state")
+    for old in written:
+        discard(old)
     # one more pass: the states under the final parameters
     last = em_step(blocks, basis, keys, thresh, update=False).withColumn("it", F.col("it") - 1)
     return basis, cut(last, "state")
