@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidecast.functions import calendar as cal
 from tidecast.functions.numeric import uniform
 from tidecast.operators import bridge, bvar, dfm, forecasts, vintage
-from tidecast.session import cut
+from tidecast.session import cut, together
 
 MODELS = ("dfm", "bvar", "beq", "ar1", "naive", "mean")
 
@@ -69,17 +69,17 @@ def run_backtest(
         hit = paths.filter((F.col("series_id") == name) & (F.col("period") == at))
         return hit.select(*fit_keys, F.col("value").alias("pred"))
 
-    made = {}
-    if "dfm" in models:
-        made["dfm"] = at_quarter(dfm.dfm_fit(systems, fit_keys, r, p, max_iter).project([name]))
-    if "bvar" in models:
-        made["bvar"] = at_quarter(bvar.bvar_fit(systems, order, fit_keys, draws=draws))
-    if "beq" in models:
-        fcst = bridge.beq_fit(
-            systems, known.withColumnRenamed("value", "y"), order[:-1], fit_keys, types=beq_types
-        )
+    def bridge_path() -> DataFrame:
+        fcst = bridge.beq_fit(systems, known.withColumnRenamed("value", "y"), order[:-1], fit_keys, types=beq_types)
         median = bridge.bridge_median(fcst, fit_keys)
-        made["beq"] = median.filter(F.col("period") == at).select(*fit_keys, F.col("value").alias("pred"))
+        return median.filter(F.col("period") == at).select(*fit_keys, F.col("value").alias("pred"))
+
+    fits = {
+        "dfm": lambda: at_quarter(dfm.dfm_fit(systems, fit_keys, r, p, max_iter).project([name])),
+        "bvar": lambda: at_quarter(bvar.bvar_fit(systems, order, fit_keys, draws=draws)),
+        "beq": bridge_path,
+    }
+    made = together({m: fits[m] for m in models if m in fits})
     if "ar1" in models:
         made["ar1"] = forecasts.ar1_forecast(known, fit_keys).select(*fit_keys, "pred")
     observed = known.filter("value is not null").groupBy(*fit_keys)

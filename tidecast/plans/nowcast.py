@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidecast.functions import calendar as cal
 from tidecast.operators import bridge, bvar, dfm, ensemble, forecasts, news, selection, transforms
 from tidecast.operators.systems import Order, indicators, place, target_rows
-from tidecast.session import cut
+from tidecast.session import cut, together
 
 FITTED = ("dfm", "bvar", "beq")
 SIMPLE = ("ar1", "naive", "mean")
@@ -24,21 +24,24 @@ def model_paths(system: DataFrame, order: Order, keys: list[str], r: int = 2, p:
     simple models have the last observed quarter and the two behind it. A model that cannot be fitted for a key has no
     path there; the others have theirs.
     """
-    system = place(system, order).select(*keys, "series_id", "period", "value")
+    # every model reads it, and several times
+    system = cut(place(system, order).select(*keys, "series_id", "period", "value"), "system")
     known = target_rows(system, order).filter(cal.is_quarter_end(F.col("period"))).select(
         *keys, cal.quarter_start(F.col("period")).alias("quarter"), F.col("value").alias("y")
     )
-    paths = []
-    if "dfm" in models:
+    def factor_path() -> DataFrame:
         fit = dfm.dfm_fit(system, keys, r, p, max_iter, specs=specs)
-        name = None if isinstance(order, DataFrame) else [order[-1]]
-        paths.append(("dfm", target_rows(fit.project(name), order)))
-    if "bvar" in models:
-        paths.append(("bvar", target_rows(bvar.bvar_fit(system, order, keys, draws=draws), order)))
-    if "beq" in models:
-        forecasts_of = bridge.beq_fit(system, known, indicators(order), keys, types=beq_types)
-        paths.append(("beq", bridge.bridge_median(forecasts_of, keys)))
-    parts = [df.select(*keys, F.lit(model).alias("model"), "period", "value") for model, df in paths]
+        return target_rows(fit.project(None if isinstance(order, DataFrame) else [order[-1]]), order)
+
+    def bridge_path() -> DataFrame:
+        return bridge.bridge_median(bridge.beq_fit(system, known, indicators(order), keys, types=beq_types), keys)
+
+    fits = {
+        "dfm": factor_path, "beq": bridge_path,
+        "bvar": lambda: target_rows(bvar.bvar_fit(system, order, keys, draws=draws), order),
+    }
+    paths = together({m: fits[m] for m in models if m in fits})
+    parts = [df.select(*keys, F.lit(model).alias("model"), "period", "value") for model, df in paths.items()]
     simple = [m for m in models if m in SIMPLE]
     if simple:
         steps = forecasts.steps_ahead(known.withColumnRenamed("y", "value"), keys, simple)
