@@ -14,7 +14,8 @@ import check
 SOME = [
     "align_to_grid", "transform_panel", "impute_block", "build_vintages", "join_asof_last_known", "leaderboard_rollup",
     "ensemble_hybrid", "metric_crps_ensemble", "moment_matrix", "kalman_collapse", "kalman_filter", "minnesota_dummies",
-    "bridge_design", "scan_html_table", "stream_first_release", "run_daily", "bootstrap_bands",
+    "bridge_design", "bridge_forecast", "scan_html_table", "scan_release_csv_rejects", "stream_first_release", "run_daily",
+    "run_daily_dashboard", "bootstrap_bands", "collinear_members", "kalman_smooth", "minnesota_posterior",
 ]
 KEYS = list(entry.oracle_sql()) if os.environ.get("TIDECAST_ALL") else SOME
 

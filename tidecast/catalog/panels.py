@@ -455,14 +455,14 @@ def _(t):
 
 
 TWINS = """
-    WITH twins AS (SELECT entity_id, series_id, series_id AS representative, period, value FROM dense
-                   UNION ALL SELECT entity_id, series_id || 'b', series_id || 'b', period, -2 * value + 1000 * (month(period) % 2) FROM dense
-                   UNION ALL SELECT entity_id, series_id || 'c', series_id, period, value FROM dense
-                   UNION ALL SELECT entity_id, series_id || 'm', series_id || 'm', period, -value FROM dense),
-    c AS (SELECT entity_id, series_id, representative, period, coalesce(value - avg(value) OVER (PARTITION BY entity_id, series_id), 0) AS v FROM twins),
-    s AS (SELECT entity_id, series_id, representative FROM c GROUP BY 1, 2, 3 HAVING sum(v * v) > 1e-24),
-    l AS (SELECT a.entity_id, a.series_id FROM c a JOIN c b ON a.entity_id = b.entity_id AND a.period = b.period AND a.series_id <> b.series_id
-      GROUP BY 1, 2, b.series_id HAVING abs(corr(a.v, b.v)) >= 0.95)"""
+    WITH twins AS (SELECT entity_id, series_id, period, value FROM dense
+                   UNION ALL SELECT entity_id, series_id || 'b', period, -2 * value + 1000 * (month(period) % 2) FROM dense
+                   UNION ALL SELECT entity_id, series_id || 'c', period, value FROM dense
+                   UNION ALL SELECT entity_id, series_id || 'm', period, -value FROM dense),
+    c AS (SELECT entity_id, series_id, period, coalesce(value - avg(value) OVER (PARTITION BY entity_id, series_id), 0) AS v FROM twins),
+    s AS (SELECT entity_id, series_id FROM c GROUP BY 1, 2 HAVING sum(v * v) > 1e-24),
+    l AS (SELECT a.entity_id, a.series_id, b.series_id AS other, corr(a.v, b.v) AS r FROM c a JOIN c b ON a.entity_id = b.entity_id AND a.period = b.period AND a.series_id <> b.series_id
+      GROUP BY 1, 2, 3 HAVING abs(corr(a.v, b.v)) >= 0.95)"""
 
 
 def twins(t):
@@ -475,7 +475,8 @@ def twins(t):
 
 
 @query("collinear_members", f"""{TWINS}
-    SELECT s.entity_id, s.series_id, s.representative, count(l.series_id) AS n_links FROM s LEFT JOIN l ON l.entity_id = s.entity_id AND l.series_id = s.series_id GROUP BY 1, 2, 3""")
+    SELECT s.entity_id, s.series_id, least(s.series_id, min(CASE WHEN r > 1 - 1e-10 THEN other END)) AS representative, count(l.other) AS n_links
+    FROM s LEFT JOIN l ON l.entity_id = s.entity_id AND l.series_id = s.series_id GROUP BY 1, 2""")
 def _(t):
     return selection.collinear_members(twins(t), 0.95)
 
