@@ -1,5 +1,7 @@
 """Small tables and brute-force versions shared by the tests of the subpackage."""
 
+import collections
+import math
 import re
 
 import numpy as np
@@ -78,3 +80,22 @@ def classes(texts, n, percent):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
+
+
+def bm25(texts, queries, k):
+    """The best documents of each query by scoring every document."""
+    counts = {i: collections.Counter(words_of(t)) for i, t in texts}
+    df = collections.Counter(w for c in counts.values() for w in c)
+    n, mean = len(counts), sum(sum(c.values()) for c in counts.values()) / len(counts)
+    out = {}
+    for q, text in queries:
+        scores = {}
+        for i, c in counts.items():
+            v = sum(
+                m * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean))
+                for w, m in collections.Counter(words_of(text)).items() if w in c
+            )
+            if v > 0:
+                scores[i] = v
+        out[q] = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]
+    return out

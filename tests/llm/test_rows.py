@@ -216,7 +216,7 @@ def test_passages():
     assert np.allclose(one[0], x[begin[3]])
 
 
-def test_gradient_of_the_attention_model(monkeypatch):
+def test_attention_model_fits_its_bags(monkeypatch):
     rng = np.random.default_rng(0)
     x, begin, y = rng.normal(size=(12, 4)), np.array([0, 3, 4, 9, 12]), np.array([1, 0, 1, 0])
     monkeypatch.setattr(quality, "STEPS", 60)

@@ -456,6 +456,8 @@ def score_texts(docs: DataFrame, held_out, *, doc_id: str = "doc_id", text: str
     ``held_out`` is a boolean column; its rows are scored but not learned from. A null, empty or blank text is one end
     token. Scores are log10 probabilities; ``base_score`` is the unigram model with one added to each count. All training
     words are in classes; ``clustered`` is how many of them are dealt first. Without training rows all tokens are unseen.
+    Repeated rows are learned from and scored one by one, with equal scores; a text of any length is scored whole, its
+    words in slices; of classes equally good for a word the first is taken; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -102,7 +102,10 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text: str = "te
     """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``accepted`` (these names are replaced), row by row.
 
     A null text or one without letters is ``und`` with score 0 and rejected; so is every text if there are no
-    dictionaries. ``accepted`` is false where the runner-up's output is less than ``narrow`` larger, relative to it.
+    dictionaries. ``accepted`` is false where the runner-up's output is less than ``narrow`` larger, relative to it; of
+    equal outputs the first language by name is given, and not accepted. A text of any length is compressed whole, in
+    windows; a text of a few words may save no whole byte with any dictionary, and is then such a tie. Repeated rows are
+    judged one by one; an empty table gives an empty result.
     """
     known = docs.sparkSession.sparkContext.broadcast(dictionaries)  # MOST_LANGUAGES * DICTIONARY_BYTES at most
     keep = docs.drop("lang_pred", "score", "accepted")

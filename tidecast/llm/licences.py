@@ -190,7 +190,8 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
     of the text that does, with the line in which it begins.
 
     Lines are counted from 0 in the whole text. Of templates equally alike the first by name is given. Null, empty and
-    wordless lines match nothing; repeated rows repeat their matches; without templates or rows the result is empty.
+    wordless lines match nothing; repeated rows repeat their matches; a text of any length is scanned whole, line by line
+    and in windows; without templates or rows the result is empty.
     ``templates`` takes the place of the notices and of ``TEXTS``.
     """
     bodies = [(name, body, True) for name, body in (TEMPLATES if templates is None else templates).items()]

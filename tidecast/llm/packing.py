@@ -202,7 +202,8 @@ def pack(pieces: DataFrame, *, size: int = SIZE, part_pieces: int = PART_PIECES,
     """``(key, sequence_id, offset, certified)`` for ``pieces (key, length)`` with distinct integer keys and lengths 1 to ``size``.
 
     A part has about ``part_pieces`` pieces whatever the input. ``certified`` tells that the piece's part needs no fewer
-    sequences. An empty input gives an empty packing.
+    sequences. An empty input gives an empty packing. Pieces of equal length are placed in the order of their keys; keys
+    that repeat are not told apart, so ``pack_documents`` numbers its pieces itself.
     """
     full = pieces.filter(F.col("length") >= size).select(
         "key", (-1 - F.col("key")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified")

@@ -128,8 +128,9 @@ def train(x: np.ndarray, begin: np.ndarray, y: np.ndarray, seed: int = 9) -> dic
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> dict:
     """Weights learned from at most ``rows`` labelled documents of each class, those with the smallest hashes of the id.
 
-    Rows whose label is not 0 or 1, and labels without a document, are left out. Without any labelled document the
-    weights are empty, and every score is 0.5.
+    Rows whose label is not 0 or 1, and labels without a document, are left out; an id with both labels counts in both
+    classes. Of texts that share an id the one whose features come first is taken. Without any labelled document, and so
+    with an empty table, the weights are empty, and every score is 0.5.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1) AND id IS NOT NULL").distinct()
     picked = first_of_each(known.withColumn("code", F.xxhash64("id")), "y", ["code", "id"], rows).select("id", "y")
@@ -143,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(cells, pa.binary())], ["id", "y", "x"])
 
     found = rows_of.mapInArrow(encode, f"id {rows_of.schema['id'].dataType.simpleString()}, y int, x binary")
-    got = sorted(((r["id"], r["y"], r["x"]) for r in found.dropDuplicates(["id", "y"]).collect()), key=lambda r: (str(r[0]), r[1], r[2]))
+    found = found.groupBy("id", "y").agg(F.min("x").alias("x"))
+    got = sorted(((r["id"], r["y"], r["x"]) for r in found.collect()), key=lambda r: (str(r[0]), r[1], r[2]))
     if not got:
         return {}
     bags = [np.frombuffer(x, np.float32).reshape(-1, CLASSES + 5).astype(float) for _, _, x in got]
@@ -154,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 def score(docs: DataFrame, model: dict, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher is better) and ``predicted`` (1 from ``threshold`` on); these names are replaced.
 
-    Null, empty and wordless texts are scored as one blank passage.
+    Null, empty and wordless texts are scored as one blank passage, texts of any length by all their passages. Repeated
+    rows are scored one by one; an empty table gives an empty result.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
     keep = docs.drop("score", "predicted")
