@@ -15,7 +15,7 @@ from tidecast.operators import bvar
 from tidecast.operators.dfm import key_schema
 from tidecast.operators.grid import SERIES, agg_quarter, series_window
 from tidecast.operators.systems import Order, own_keys, place, with_names
-from tidecast.session import cogroup, cut, spread
+from tidecast.session import cogroup, cut, spread, together
 
 # fixed values: ways to fill the ragged end
 VAR_ALL, VAR_SPEC, AR_OWN, ALL_TYPES = 901, 902, 903, 904
@@ -391,13 +391,16 @@ def beq_fit(panel: DataFrame, target: DataFrame, order: Order, keys: list[str],
     series = [*keys, "series_id"]
     # read by every kind of fill
     used = cut(place(panel, order).select(*series, "period", "value"), "indicators")
-    parts = []
+    fills = {}
     if AR_OWN in kinds or VAR_SPEC in kinds:
-        own = cut(quarter_regressors(extrapolate_ar(used, lags, series), series, terms.m), "ar-fills")
-        # a single indicator as its own system is its autoregression
-        parts += [own.withColumn("interp_type", F.lit(k)) for k in (AR_OWN, VAR_SPEC) if k in kinds]
+        fills["ar-fills"] = lambda: quarter_regressors(extrapolate_ar(used, lags, series), series, terms.m)
     if VAR_ALL in kinds:
-        parts.append(quarter_regressors(extrapolate_var(used, keys, order, lags), series, terms.m).withColumn("interp_type", F.lit(VAR_ALL)))
+        fills["var-fills"] = lambda: quarter_regressors(extrapolate_var(used, keys, order, lags), series, terms.m)
+    made = together(fills)
+    # a single indicator as its own system is its autoregression
+    parts = [made["ar-fills"].withColumn("interp_type", F.lit(k)) for k in (AR_OWN, VAR_SPEC) if k in kinds]
+    if VAR_ALL in kinds:
+        parts.append(made["var-fills"].withColumn("interp_type", F.lit(VAR_ALL)))
     regressors = parts[0]
     for part in parts[1:]:
         regressors = regressors.unionByName(part)
