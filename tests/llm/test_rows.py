@@ -76,6 +76,19 @@ def test_encoder_equals_the_tokenizer(texts):
         assert np.frombuffer(got, "<u4").tolist() == mine.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_keeps_a_bounded_store(monkeypatch):
+    """However many texts a call has, the store holds what the limit and one text allow; old splits are taken over."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    mine, made = packing.Encoder(PATH), collections.Counter()
+    merge = mine.merge
+    monkeypatch.setattr(mine, "merge", lambda split: made.update([split]) or merge(split))
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + j)}{'x' * (k // 26)} often" for j in range(5)) for k in range(60)]
+    for text, got in zip(texts, mine.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == mine.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(mine.known) <= 50 and len(mine.known.before) <= 50
+    assert made["\u0120often"] == 1 and sum(made.values()) >= 300
+
+
 def test_pieces():
     for n in (1, 4, 5, 8, 9, 13):
         ids = np.arange(n, dtype="<u4").tobytes()

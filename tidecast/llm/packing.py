@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +37,34 @@ SPLIT_LATIN = (
 SPECIAL = "<|endoftext|>"
 
 
+#: The letter that stands for each byte in the tokenizer's vocabulary: itself if it can be seen, else one from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTER = {**{b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SEEN)}, **{b: chr(b) for b in _SEEN}}
+
+
 def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class Known(dict):
+    """Ids by split; one that is not there is taken from the store before, or made."""
+
+    def __init__(self, make: Callable[[str], bytes], before: dict[str, bytes]):
+        self.make, self.before = make, before
+
+    def __missing__(self, split: str) -> bytes:
+        got = self.before.get(split)
+        self[split] = got = self.make(split) if got is None else got
+        return got
+
+
 class Encoder:
     """Token ids of texts, equal to the tokenizer's own, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer encodes each split of a text by itself, so a split's ids are kept and looked up when it comes again;
-    the store is emptied when it holds ``CACHE_WORDS`` splits.
+    The tokenizer encodes each split of a text by itself, so a split's ids are kept and looked up when it comes again.
+    When the store holds ``CACHE_WORDS`` splits a new one is begun; those that come again are taken over from the last.
+    Splits are merged one by one on the task's own thread: a call over many keeps some hundred bytes a split, and its
+    threads, beside the tasks that fill the cores, cost twice the time.
     """
 
     def __init__(self, path: str):
@@ -53,8 +72,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.split_any, self.split_latin = regex.compile(SPLIT).findall, re.compile(SPLIT_LATIN).findall
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.of_split, {})
 
     def split(self, text: str) -> list[str]:
         try:
@@ -66,15 +86,19 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def of_split(self, split: str) -> bytes:
+        return pack_ids([t.id for t in self.merge(split.encode().decode("latin-1").translate(LETTER))])
+
+    def ids(self, text: str) -> bytes:
+        if SPECIAL in text:
+            return self.plain(text)
+        if len(self.known) >= CACHE_WORDS:
+            self.known.before = {}
+            self.known = Known(self.of_split, self.known)
+        return b"".join(map(self.known.__getitem__, self.split(text)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) if SPECIAL not in t else None for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*filter(None, parts)) - known.keys())
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = pack_ids(got.ids)
-        return [self.plain(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, parts)]
+        return [self.ids(t) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
