@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from tidecast.llm import classlm
 from tidecast.llm.components import connected_components
 from tidecast.llm.jaccard import document_sets, jaccard_classes, keep_one
-from tidecast.llm.search import BLOCK, Index, document_terms, top_k
+from tidecast.llm.search import B, BLOCK, K1, Index, document_terms, top_k
 from tidecast.llm.words import slices, word_hashes
 
 
@@ -194,3 +194,23 @@ def test_rare_words_have_classes(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(4)
     got = classlm.score_texts(df, df["held"], clustered=9, classes=6).filter("held_out").collect()  # 9 of 180 words are dealt first
     assert sum(r["score"] for r in got) > 0.85 * sum(r["base_score"] for r in got)
+
+
+def test_index_is_made_in_little_memory():
+    """What is held while an index is made, by posting; the index itself has about 40 bytes when most blocks have one."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    at = rng.permutation(rng.choice(3000 * 20000, 200000, replace=False))
+    docs, words, lengths = (at % 3000).astype(np.int32), (at // 3000).astype(np.uint64), rng.integers(50, 500, 3000)
+    counts = rng.integers(1, 5, len(at)).astype(np.int32)
+    tracemalloc.start()
+    index = Index(docs, words, counts, lengths, 200.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 62 * len(at)
+    order = np.lexsort((docs, words))
+    tf = counts[order].astype(float)
+    expected = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs[order]] / 200.0))
+    np.testing.assert_allclose(index.impact, expected, rtol=1e-15)
+    assert np.array_equal(index.words, np.unique(words)) and np.array_equal(np.diff(index.first), np.unique(words, return_counts=True)[1])

@@ -47,15 +47,21 @@ class Index:
 
     def __init__(self, docs: np.ndarray, words: np.ndarray, counts: np.ndarray, lengths: np.ndarray, mean: float):
         order = np.lexsort((docs, words))
-        words, self.docs = words[order], docs[order].astype(np.int32)
-        tf = counts[order].astype(float)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / max(mean, 1e-9)))
+        words, self.docs = words[order], docs[order].astype(np.int32, copy=False)
+        self.impact = counts[order].astype(float)
+        del order
+        rest = (K1 * (1 - B + B * lengths / max(mean, 1e-9)))[self.docs]
+        rest += self.impact
+        self.impact *= K1 + 1
+        self.impact /= rest
+        del rest
         self.n, self.blocks = len(lengths), -(-len(lengths) // BLOCK)
-        self.words, first = np.unique(words, return_index=True)
-        self.first = np.append(first, len(words))
-        cell = self.docs // BLOCK
         new = np.ones(len(words), bool)
-        new[1:] = (words[1:] != words[:-1]) | (cell[1:] != cell[:-1])
+        new[1:] = words[1:] != words[:-1]
+        first = np.flatnonzero(new)
+        self.words, self.first = words[first], np.append(first, len(words))
+        cell = self.docs // BLOCK
+        new[1:] |= cell[1:] != cell[:-1]
         head = np.flatnonzero(new)  # first posting of each block of each word
         self.cell, self.top = cell[head], np.maximum.reduceat(self.impact, head) if len(head) else np.zeros(0)
         self.head = np.append(head, len(words))
@@ -150,10 +156,12 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, doc_id: str = "do
         def finish(ids: list, parts: list) -> Iterator[pa.RecordBatch]:
             ids = pa.concat_arrays(ids)
             by_id = np.asarray(pa.compute.array_sort_indices(ids))
-            place = np.empty(len(by_id), np.int64)
+            place = np.empty(len(by_id), np.int32)
             place[by_id] = np.arange(len(by_id))
-            lengths = np.concatenate([p[3] for p in parts])[by_id]
-            index = Index(place[np.concatenate([p[0] for p in parts])], *(np.concatenate([p[j] for p in parts]) for j in (1, 2)), lengths, mean)
+            owner, words, counts, lengths = (np.concatenate([p[j] for p in parts]) for j in range(4))
+            parts.clear()  # a shard's postings are held once while its index is made
+            index = Index(place[owner], words, counts, lengths[by_id], mean)
+            del owner, words, counts
             ids = ids.take(pa.array(by_id))
             for asked in query_batches(path):
                 names, found, scores = [], [], []
@@ -181,7 +189,7 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, doc_id: str = "do
                     now = b
                     owner, words, counts, lengths = document_terms(own.column("text"))
                     ids.append(own.column("doc_id"))
-                    parts.append((owner + held, words, counts, lengths))
+                    parts.append(((owner + held).astype(np.int32), words, counts.astype(np.int32), lengths))
                     held += len(lengths)
         if ids:
             yield from finish(ids, parts)
