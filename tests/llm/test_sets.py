@@ -240,3 +240,55 @@ def test_long_queries_walk_few_postings(monkeypatch):
     batch = index.search_all(asked, 10, np.array([scores[4] for _, scores, _ in got]))
     for (best, scores, _), (some, high, _) in zip(got, batch):  # a floor leaves out what is below it and nothing else
         assert some.tolist() == best[scores >= scores[4]].tolist() and np.array_equal(high, scores[scores >= scores[4]])
+
+
+def test_sweeps_leave_no_tables_behind(spark, monkeypatch):
+    """However many sweeps there are, one table of classes and counts is held beside the one being made."""
+    live, most, kept = collections.Counter(), collections.Counter(), {}
+
+    def cut(df, label):
+        out = write(df, label)
+        kept[out.cut_path] = label
+        live[label] += 1
+        most[label] = max(most[label], live[label])
+        return out
+
+    def discard(df):
+        live[kept.pop(df.cut_path)] -= 1
+        drop(df)
+
+    write, drop = classlm.cut, classlm.discard
+    monkeypatch.setattr(classlm, "cut", cut)
+    monkeypatch.setattr(classlm, "discard", discard)
+    rng = np.random.default_rng(4)
+    tongues = [[f"{p}{i}" for i in range(60)] for p in "abc"]
+    rows = [(i, " ".join(rng.choice(tongues[i % 3], 30)), i % 7 == 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(4)
+    assert classlm.score_texts(df, df["held"], clustered=9, classes=6).count() == 300
+    assert most["lm-classes"] + live["lm-start"] <= 2 and most["lm-neighbours"] <= 2
+    assert live["lm-classes"] + live["lm-start"] == 1 and not live["lm-neighbours"]
+
+
+def test_only_words_that_may_move_are_counted(spark):
+    """The counts of a turn are those of all words, without the words that may not move in it."""
+    rng = np.random.default_rng(3)
+    rows = [(i, False, " ".join(f"w{j}" for j in rng.integers(0, 90, 40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "block long, held_out boolean, text string").withColumn("block", F.col("block") % 3)
+    counted = classlm.block_counts(docs, 4).cache()
+    placed = classlm.bucket_words(counted).cache()
+    spots, state = placed.filter(F.col("block") != classlm.STATE), placed.filter(F.col("block") == classlm.STATE)
+    bigrams, found = counted.filter(F.col("bucket") == classlm.TABLE), []
+    for damping in (1, 3):
+        made = classlm.neighbours(classlm.send(spots, state, 4, 7, damping), bigrams, 6).collect()
+        cells = collections.Counter()
+        for r in made:
+            if r["bucket"] == classlm.TABLE:
+                cells["table", r["block"]] = r["a"]
+                continue
+            spot, each = np.split(np.frombuffer(r["a"], np.int32), 2)
+            for s, c, k in zip(np.repeat(spot, each).tolist(), classlm._wide(r["b"]).tolist(), classlm._wide(r["c"]).tolist()):
+                cells[r["bucket"], r["block"], s, c] += k
+        found.append(cells)
+    may = {r["bucket"]: classlm.may_move(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["c"], np.uint16), 4, 7, 3) for r in state.collect()}
+    assert 0 < sum(m.sum() for m in may.values()) < 60
+    assert found[1] == {key: n for key, n in found[0].items() if key[0] == "table" or may[key[0]][key[2]]}

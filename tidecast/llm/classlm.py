@@ -6,8 +6,8 @@ history. The ``CLUSTERED`` most frequent words are dealt first, one by one on th
 that raises the likelihood most, and sweeps over all words follow until the likelihood settles.
 
 Neither the vocabulary nor its counts meet in one place. Words lie in buckets by hash, texts in blocks of bounded size. In
-a sweep each block gets the classes of its own words, counts its words by the class before and after, and sends the counts
-to the buckets, which move their words. Only the class table is broadcast. Words of a bucket move by the same table, so the
+a sweep each block gets the classes of its own words, counts those that may move by the class before and after, and sends
+the counts to the buckets, which move their words. What a sweep replaces is deleted. Only the class table is broadcast. Words of a bucket move by the same table, so the
 new likelihood is computed before a sweep counts; one that lowers it is undone, and fewer words move at a time.
 
 The probability of a token is that of its class after the two classes before, times that of the word in its class. Each
@@ -57,6 +57,7 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 #: Rows of all steps: arrays of a bucket of words, of a block of texts, or of both.
 PACKED = "bucket long, block long, a binary, b binary, c binary"
 TABLE, STATE, MOVED = -1, -1, -2  # as a bucket; as a block
+MAY = np.uint16(1 << 15)  # beside the class of a word that may move
 
 
 def _row(bucket: int, block: int, *arrays: np.ndarray) -> tuple:
@@ -157,11 +158,21 @@ def start(state: DataFrame, known: np.ndarray, names: np.ndarray, other: int) ->
     return state.groupBy("bucket").applyInArrow(put, PACKED)
 
 
-def send(spots: DataFrame, state: DataFrame, words: bool = False) -> DataFrame:
-    """To every block the classes of its own words: spots and classes, or (``words``) the known words, totals and classes."""
+def may_move(words: np.ndarray, mine: np.ndarray, classes: int, turn: int, damping: int) -> np.ndarray:
+    """Words that may move in a turn: those without a class, and of the others one in ``damping``, others in each turn."""
+    return (mine >= classes) | (mix(words ^ mix(np.full(len(words), turn + 1, np.uint64))) % np.uint64(damping) == 0)
+
+
+def send(spots: DataFrame, state: DataFrame, classes: int = 0, turn: int = 0, damping: int = 1, words: bool = False) -> DataFrame:
+    """To every block the classes of its own words: spots and classes (with ``MAY`` if the word may move in this turn), or
+    (``words``) the known words, totals and classes."""
+    if not words:
+        spots = spots.withColumn("b", F.lit(None).cast("binary"))  # a sweep needs no hashes
 
     def give(key, part):
-        _, total, mine = _state(part)
+        own, total, mine = _state(part)
+        if not words:
+            mine = mine | np.where(may_move(own, mine, classes, turn, damping), MAY, np.uint16(0))
         out = []
         for block, a, b in zip(*(part.column(c).to_pylist() for c in ("block", "a", "b"))):
             if block == STATE:
@@ -178,7 +189,7 @@ def send(spots: DataFrame, state: DataFrame, words: bool = False) -> DataFrame:
 
 
 def neighbours(sent: DataFrame, bigrams: DataFrame, size: int) -> DataFrame:
-    """Per block and bucket how often its words (``a`` entries each) stand before (code ``c``), after (``size + c``) class
+    """Per block and bucket how often those of its words that may move (``a`` entries each) stand before (code ``c``), after (``size + c``) class
     ``c`` or after themselves (``2 * size``; left out of the others); as bucket ``TABLE`` the class bigrams."""
     width = 2 * size + 1
 
@@ -188,12 +199,14 @@ def neighbours(sent: DataFrame, bigrams: DataFrame, size: int) -> DataFrame:
         lefts, right, many = np.frombuffer(bigram["a"], np.int32), np.frombuffer(bigram["b"], np.int32), _wide(bigram["c"])
         n = len(lefts) - 1
         left = np.repeat(np.arange(n + 1), lefts)
-        mine = np.concatenate([*(np.frombuffer(r["b"], np.uint16) for r in lists), [size - 1]]).astype(np.int64)
+        mine = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(r["b"], np.uint16) for r in lists), np.array([size - 1], np.uint16)])
+        may, mine = (mine & MAY) != 0, (mine & ~MAY).astype(np.int64)  # the end does not move
         table = np.bincount(mine[left] * size + mine[right], many, size * size).astype(np.int64)
         out = [_row(TABLE, block, table)]
         same = left == right
-        codes = np.concatenate([left[~same] * width + mine[right[~same]], right[~same] * width + size + mine[left[~same]], left[same] * width + 2 * size])
-        weight = np.concatenate([many[~same], many[~same], many[same]])
+        off, on, same = may[left] & ~same, may[right] & ~same, may[left] & same
+        codes = np.concatenate([left[off] * width + mine[right[off]], right[on] * width + size + mine[left[on]], left[same] * width + 2 * size])
+        weight = np.concatenate([many[off], many[on], many[same]])
         if (n + 1) * width <= 1 << 24:
             dense = np.bincount(codes, weight, (n + 1) * width)
             code = np.flatnonzero(dense)
@@ -272,7 +285,7 @@ def gains(b: np.ndarray, right: tuple, left: tuple, own: np.ndarray, old: np.nda
 def move(counted: DataFrame, state: DataFrame, b: np.ndarray, classes: int, turn: int, damping: int) -> DataFrame:
     """``state`` with words in their best classes, and how many moved as block ``MOVED``.
 
-    Of the words that have a class one in ``damping`` may move, others in each turn.
+    Only words of ``may_move`` are looked at; ``counted`` has to hold these, and may hold others.
     """
     size = len(b)
     table = state.sparkSession.sparkContext.broadcast(b)
@@ -288,15 +301,16 @@ def move(counted: DataFrame, state: DataFrame, b: np.ndarray, classes: int, turn
                 spot, each = np.split(entry, 2)
                 cells.append((np.repeat(spot.astype(np.int64), each) * width + _wide(code), _wide(k)))
         if cells and len(words):
-            code, at = np.unique(np.concatenate([x for x, _ in cells]), return_inverse=True)
-            count = np.bincount(at, np.concatenate([k for _, k in cells]), len(code)).astype(np.int64)
-            may = (mine >= classes) | (mix(words ^ mix(np.full(len(words), turn + 1, np.uint64))) % np.uint64(damping) == 0)
-            some = np.flatnonzero(may)  # only these are looked at
+            may = may_move(words, mine, classes, turn, damping)
+            some = np.flatnonzero(may)
             place = np.full(len(words), -1)
             place[some] = np.arange(len(some))
+            code, count = (np.concatenate([x[j] for x in cells]) for j in (0, 1))
             spot, kinds = np.divmod(code, width)
             live = may[spot]
-            spot, kinds, count = place[spot[live]], kinds[live], count[live]
+            code, at = np.unique(place[spot[live]] * width + kinds[live], return_inverse=True)
+            count = np.bincount(at, count[live], len(code)).astype(np.int64)
+            spot, kinds = np.divmod(code, width)
             for i in range(0, len(some), 2048):
                 at = some[i : i + 2048]
                 x, y = np.searchsorted(spot, [i, i + len(at)])
@@ -330,32 +344,39 @@ def settle(spots: DataFrame, state: DataFrame, bigrams: DataFrame, classes: int,
     """
     spark, size = state.sparkSession, classes + 2
 
-    def counts(of: DataFrame) -> tuple[DataFrame, np.ndarray]:
-        made = cut(neighbours(send(spots, of), bigrams, size), "lm-neighbours")
+    def counts(of: DataFrame, turn: int, damping: int) -> tuple[DataFrame, np.ndarray]:
+        made = cut(neighbours(send(spots, of, classes, turn, damping), bigrams, size), "lm-neighbours")
         return made, class_table(made, size)
 
-    counted, b = counts(state)
-    best, damping, turn = None, 1, 0
+    counted, b = counts(state, 0, 1)
+    best, damping, turn, held = None, 1, 0, state
     while damping <= MOST_DAMPING:
         made = cut(move(counted, state, b, classes, turn, damping), "lm-classes")
         moved = sum(np.frombuffer(r["a"], np.int64)[0] for r in made.filter(F.col("block") == MOVED).select("a").collect())
         if not moved and damping == 1:
+            discard(made)
             break
         new = made.filter(F.col("block") == STATE)
-        new_counted, new_b = counts(new)
+        new_counted, new_b = counts(new, turn + 1, damping)
         now = _bigram_likelihood(new_b)
         turn += 1
         if best is None or now > best:
             gained = None if best is None else now - best
             discard(counted)
-            state, counted, b, best = new, new_counted, new_b, now
+            discard(held)
+            state, counted, b, best, held = new, new_counted, new_b, now, made
             if gained is not None and gained * damping < SETTLED * tokens:
                 break
         else:
             discard(new_counted)
+            discard(made)
             damping *= 2
+            if 2 < damping <= MOST_DAMPING:  # the counts before have the words of another turn; without damping, all
+                discard(counted)
+                counted, b = counts(state, turn, damping)
         gc.collect()  # with the next line: lets the cleaner drop the shuffles of past sweeps
         spark._jvm.System.gc()
+    discard(counted)
     return state
 
 
