@@ -12,7 +12,7 @@ from fixtures import bm25, classes, empty_docs, near_copies, odd_docs, shingles,
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidecast.llm import classlm
+from tidecast.llm import classlm, search
 from tidecast.llm.components import connected_components
 from tidecast.llm.jaccard import document_sets, jaccard_classes, keep_one
 from tidecast.llm.search import B, BLOCK, K1, Index, document_terms, top_k
@@ -243,6 +243,41 @@ def test_index_is_made_in_little_memory():
     assert np.array_equal(index.words, np.unique(words)) and np.array_equal(np.diff(index.first), np.unique(words, return_counts=True)[1])
 
 
+def test_index_is_made_in_the_memory_of_its_postings():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    at = rng.permutation(rng.choice(3000 * 20000, 200000, replace=False))
+    docs, words, lengths = (at % 3000).astype(np.int32), (at // 3000).astype(np.uint64), rng.integers(50, 500, 3000)
+    counts = rng.integers(1, 5, len(at)).astype(np.int32)
+    kept = Index(docs, words, counts, lengths, 200.0)
+    tracemalloc.start()
+    index = Index(docs, words, counts, lengths, 200.0, overwrite=True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 * len(at)
+    for name in ("words", "first", "docs", "slot", "impact", "by_doc", "begin", "column", "grid", "top"):
+        assert np.array_equal(getattr(index, name), getattr(kept, name))
+
+
+def test_top_k_searches_a_few_shards_first(spark, monkeypatch, tmp_path):
+    """The k-th best of these is the least that other shards hand over; ties with it go to the smaller id as before."""
+    paths = {}
+    monkeypatch.setattr(search, "scratch_path", lambda _, label: paths.setdefault(label, f"{tmp_path}/{label}"))
+    rng = np.random.default_rng(7)
+    texts = [(i, " ".join(f"w{j}" for j in rng.zipf(1.3, 40) % 500)) for i in range(900)]
+    texts += [(i + 900, texts[i % 30][1]) for i in range(300)]  # eleven equal texts at the top
+    queries = [(None, texts[50][1]), *((i, texts[i][1]) for i in range(0, 900, 30)), (7, "w1 w2 unseen"), (8, "unseen")]
+    got = top_k(spark.createDataFrame(texts, "doc_id long, text string").repartition(9), spark.createDataFrame(queries, "query_id long, query string"), k=4).collect()
+    want = bm25(texts, queries, 4)
+    for q, rows in want.items():
+        mine = sorted((r["rank"], r["doc_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [(d, round(s, 9)) for _, d, s in mine] == [(d, round(s, 9)) for d, s in rows]
+    floors = {r["query_id"]: r["floor"] for r in spark.read.parquet(paths["search-floors"]).collect()}
+    assert floors.keys() == {q for q, rows in want.items() if rows}
+    assert all(0 < floor <= want[q][3][1] + 1e-9 for q, floor in floors.items())
+
+
 def test_long_queries_walk_few_postings(monkeypatch):
     """Documents as queries: most postings of their words are those of common words, which a product scores."""
     rng = np.random.default_rng(6)
